@@ -1,20 +1,24 @@
 """Exact Jaccard self-join on word shingles in metric space, and the classes it links.
 
-1. Texts become sets of distinct hashed shingles. Equal sets are one class (by two 64-bit sums and the size), stood for
-   by its smallest id, so copies cost no pairs.
-2. On the whole corpus Jaccard distances crowd at 1, where pivots separate nothing; so the first pivots are centres in
-   projections. Sizes fall into ranges, and two sets within the radius whose sizes lie in one range differ in at most d
-   shingles; the shingles of a set are dealt by hash into d + 1 + SLACK parts, and at least one part is the same in both
-   (a set near a range's lower border from below is replicated into that range). Sets that share a part form a region
-   around the least of them. Overlapping regions are joined by connected components: no link leaves such a region.
-3. Inside a region the join is exact, by document pivots: distances to a pivot are computed; those within the radius r are
-   linked to it, and by the triangle inequality only sets between r and 2r from the pivot can link to them, so that window
-   alone is compared with them; what is beyond r is the next region, joined recursively.
-   Regions over MAX_REGION shingles are never gathered: pivots (one per group that is not yet linked) are joined to all
-   sets of the region, round by round, until every pair left over lies in one group.
-
-Returned: one row per document with its class, its links and its component, never all pairs. Nothing of the corpus comes
-to the driver. Shuffled: a tenth to a fifth of a row of two longs per shingle, and texts of documents in regions.
+1. Texts become sets of distinct hashed shingles. Equal sets are one class, stood for by its smallest id, so copies cost no
+   pairs; a task names a class once, however many copies it meets.
+2. First pivots are single shingles. Between whole documents nearly all Jaccard distances are 1, where pivots separate
+   nothing; from a shingle, documents that hold it are at less than 1. All shingles have one order: rare ones first, by
+   counts over the whole corpus in CELLS cells, so that common lines and passages come last. A set's Voronoi region is that
+   of its first shingle. A linked set lacks at most (1 - t) * n of its n shingles, so by this window the set is
+   replicated into the regions of its first n - ceil(t * n) + 1 shingles, and any two linked sets meet in one.
+3. Inside a region, counts of shingles in fixed cells (a vector per set, at least n / 4 cells) bound the number of shingles
+   that two sets differ in from below: this metric prunes by the triangle inequality. What may still be linked becomes
+   one larger region by connected components.
+4. There the join is exact, by document pivots: sets within the radius r of a pivot are linked to it; by the triangle
+   inequality only sets between r and 2r from the pivot can link to those, so that window alone is compared with them; what
+   lies beyond r is the next region, joined recursively. Regions over MAX_REGION shingles are never gathered: pivots (one
+   of each group not yet linked) are joined to all sets of the region, round by round, until every pair left over lies in
+   one group.
+
+Returned: one row per document with its class and its component, never all pairs. Nothing of the corpus comes to the
+driver but cell counts and bitmaps of fixed size. Shuffled: (1 - t) * n rows of two longs per document, and the sets of
+documents in regions.
 
 Edge cases: null and blank texts have an empty set, no links and their own id as component; a null id is kept, links with
 nothing and has a null component; repeated rows of one id are one document; fewer words than a shingle make one shingle of
@@ -29,11 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmap
 from . import textkernel as K
 from .components import components
 from .scratch import materialize
 
-SLACK = 2
+#: Cells of the shingle counts (4 MB while they are counted, 1 MB as an order).
+CELLS = 1 << 20
+CELL_CHUNK = 1 << 14
+#: Classes that a task remembers, to name each once.
+SEEN = 500_000
+#: Sets of a pivot shingle's region that are compared in memory (some MB); beyond it they stay one region.
+MAX_BUCKET = 4096
 #: Shingles of one region that a task may hold (32 MB).
 MAX_REGION = 4_000_000
 #: Pivots of one region and round, where regions are too large for a task.
@@ -42,14 +53,10 @@ _U = np.uint64
 
 
 class Threshold:
-    """Similarity of at least num / den, in whole numbers, and the size ranges that follow."""
+    """Similarity of at least num / den, in whole numbers."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.borders = [1]
-        while self.borders[-1] < 1 << 40:
-            self.borders.append(max(self.borders[-1] + 1, self.borders[-1] * 3 // 2))
-        self.lower = np.array(self.borders)
 
     def near(self, both: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         return self.den * both >= self.num * (a + b - both)
@@ -58,17 +65,13 @@ class Threshold:
         """Distance of at most twice the radius."""
         return self.den * both >= (2 * self.num - self.den) * (a + b - both)
 
-    def ranges(self, size: int) -> list[tuple[int, int]]:
-        """(number, parts) of the ranges that a set of this size enters."""
-        k = int(np.searchsorted(self.lower, size, "right")) - 1
-        out = [k]
-        if size * self.den >= self.num * self.borders[k + 1]:
-            out.append(k + 1)
-        return [(j, self.differ(2 * (self.borders[j + 1] - 1)) + 1) for j in out]
+    def window(self, size: int) -> int:
+        """Shingles, from the first on, of which a linked set has one."""
+        return size - -(-self.num * size // self.den) + 1
 
-    def differ(self, total: int) -> int:
-        """Most shingles that two linked sets of that total size differ in."""
-        return total * (self.den - self.num) // (self.den + self.num)
+    def may(self, differ: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+        """Whether sets that differ in at least so many shingles can be linked."""
+        return differ * (self.den + self.num) <= (a + b) * (self.den - self.num)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,43 +88,162 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield at + i, np.zeros(0, np.uint64)
 
 
-def signatures(own: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Hashes of the parts of a set, for every range that it enters. Parts that are empty count only in sets that have
-    more than SLACK of them."""
-    out = []
-    for number, least in limit.ranges(len(own)):
-        parts = least + SLACK if least > 1 else 1
-        part = ((own >> _U(33)) % _U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        there, first = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(K.mix(own[order]), first)
-        if parts - len(there) > SLACK:
-            full = np.zeros(parts, np.uint64)
-            full[there] = sums
-            there, sums = np.arange(parts), full
-        out.append(K.mix(sums + K.mix(there.astype(np.uint64) + _U(number << 40))))
-    return np.concatenate(out)
+def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles of all documents counted in CELLS cells; each task adds up its own before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, words in K.chunks(batch.column("text"), lower=True):
+                windows = words.windows(k)
+                if len(windows):
+                    total += np.bincount((windows >> _U(44)).astype(np.int64), minlength=CELLS)
+        parts = total.astype(np.uint32).reshape(-1, CELL_CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
+                sums[c] = sums[c] + own if c in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    found = docs.mapInArrow(run, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    out = np.zeros((CELLS // CELL_CHUNK, CELL_CHUNK), np.uint64)
+    for c, x in zip(found["chunk"].to_pylist(), found["counts"], strict=True):
+        out[c] = np.frombuffer(x.as_buffer(), np.uint64)
+    # An eighth of an octave is fine enough to tell common from rare.
+    return np.minimum(255, np.log2(out.ravel() + 1.0) * 6).astype(np.uint8)
+
+
+def vector(own: np.ndarray) -> np.ndarray:
+    """Counts (up to 255) of a set's shingles in a power of two of cells, at least a quarter of its size."""
+    cells = 1 << max(2, (max(1, len(own)) // 4).bit_length())
+    return np.minimum(255, np.bincount((own & _U(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, cells: int) -> np.ndarray:
+    """The vector over fewer cells."""
+    return counts.reshape(-1, cells).sum(0, dtype=np.int32)
 
 
 def _with_sets(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, parts) of each row."""
+    """(doc_id, n_shingles, class, first, cells) of each row; first (pivot shingles) and cells (vector) only where the task
+    meets the class for the first time."""
+    sent = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, seen = sent.value, set()
         for batch in batches:
             ids = batch.column("doc_id")
             for at in range(0, len(batch), 1000):
-                texts = batch.column("text").slice(at, 1000)
-                n, h1, h2, parts = [], [], [], []
-                for _, own in shingle_sets(texts, k):
+                part, texts = ids.slice(at, 1000), batch.column("text").slice(at, 1000)
+                known = part.is_valid().to_pylist()
+                n, cls, first, cells = [], [], [], []
+                for i, own in shingle_sets(texts, k):
                     n.append(len(own))
-                    h1.append(np.add.reduce(own, dtype=np.uint64))
-                    h2.append(np.add.reduce(K.mix(own + _U(1)), dtype=np.uint64))
-                    parts.append(K.signed(signatures(own, limit)) if len(own) else np.zeros(0, np.int64))
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), pa.array(n, pa.int64()), pa.array(K.signed(np.array(h1, np.uint64))), pa.array(K.signed(np.array(h2, np.uint64))), lists], names=["doc_id", "n_shingles", "h1", "h2", "parts"])
+                    c = int(K.mix(np.array([np.add.reduce(K.mix(own + _U(1)), dtype=np.uint64) + _U(len(own))], np.uint64))[0])
+                    cls.append(c)
+                    if not len(own) or not known[i] or c in seen:
+                        first.append(None)
+                        cells.append(None)
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    take = limit.window(len(own))
+                    order = np.argsort(rank[(own >> _U(44)).astype(np.int64)], kind="stable")[:take]  # own is sorted: ties go by hash
+                    first.append(K.signed(own[order]))
+                    cells.append(vector(own).tobytes())
+                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(K.signed(np.array(cls, np.uint64))), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "class", "first", "cells"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, first array<bigint>, cells binary")
+
+
+def link_bucket(sizes: list[int], cells: list[bytes], limit: Threshold) -> list[int]:
+    """For each set, a set before it (or itself) that leads to every set it may be linked with: a forest in which sets that
+    may be linked are connected."""
+    m = len(sizes)
+    root = list(range(m))
+    if m > MAX_BUCKET:
+        return [0] * m
+    size = np.array(sizes)
+    raw = [np.frombuffer(c, np.uint8) for c in cells]
+    order = np.argsort(size, kind="stable")
+    levels: dict[int, np.ndarray] = {}
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, parts array<bigint>")
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    ordered = size[order]
+    for a in range(m - 1):
+        i = int(order[a])
+        # Partners are no larger than size / t; their vectors are folded to the cells of the smaller set.
+        to = int(np.searchsorted(ordered, size[i] * limit.den // limit.num, "right"))
+        if to <= a + 1:
+            continue
+        width = len(raw[i])
+        if width not in levels:
+            levels.clear()
+            fit = [j for j in order[a:] if len(raw[j]) >= width]
+            levels[width] = (np.stack([folded(raw[j], width) for j in fit]), a)
+        table, begin = levels[width]
+        mine = folded(raw[i], width)
+        apart = np.abs(table[a + 1 - begin : to - begin] - mine).sum(1)
+        for j in order[a + 1 : to][limit.may(apart, size[i], ordered[a + 1 : to])].tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(m)]
+
+
+def _regions(rows: DataFrame, limit: Threshold) -> DataFrame:
+    """(node, component) of classes that may be linked with another."""
+    member = rows.where("first is not null").select("class", F.explode("first").alias("pivot"))
+    w = Window.partitionBy("pivot")
+    meet = member.withColumns({"lo": F.min("class").over(w), "hi": F.max("class").over(w), "c": F.count("*").over(w), "h": F.sum(F.xxhash64("class") % 2**40).over(w)}).where("lo < hi").select("pivot", "class", "c", "h")
+    meet = materialize(meet, "meetings")
+    # Many pivots of near copies have the same members: one of them is enough.
+    pick = meet.groupBy("c", "h").agg(F.min("pivot").alias("pivot")).select("pivot")
+    vectors = rows.where("first is not null").groupBy("class").agg(F.first("cells").alias("cells"), F.first("n_shingles").cast("long").alias("n"))
+    own = meet.join(pick, "pivot", "left_semi").select("pivot", "class").join(vectors, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, classes, sizes, cells, hub = None, [], [], [], None
+        u, v = [], []
+
+        def done() -> None:
+            for i, r in enumerate(link_bucket(sizes, cells, limit)):
+                if r != i:
+                    u.append(classes[i])
+                    v.append(classes[r])
+
+        for batch in batches:
+            for p, c, n, x in zip(batch.column("pivot").to_pylist(), batch.column("class").to_pylist(), batch.column("n").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if p != now:
+                    done()
+                    now, classes, sizes, cells, hub = p, [], [], [], None
+                if hub is not None:  # a region too large to compare stays one region, without being held
+                    u.append(c)
+                    v.append(hub)
+                elif not classes or classes[-1] != c:
+                    classes.append(c)
+                    sizes.append(n)
+                    cells.append(x)
+                    if len(classes) > MAX_BUCKET:
+                        done()
+                        hub, classes, sizes, cells = classes[0], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            u, v = [], []
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    edges = own.repartition("pivot").sortWithinPartitions("pivot", "class").mapInArrow(run, "u bigint, v bigint")
+    return components(edges)
 
 
 def _counts(flat: np.ndarray, first: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -180,18 +302,21 @@ def join_region(ids: list[int], sets: list[np.ndarray], limit: Threshold) -> lis
     return [best[find(i)] for i in range(n)]
 
 
-def _sets_of(rows: DataFrame, k: int) -> DataFrame:
-    """(region, rep, own): the sets of rows (region, rep, text)."""
+def _sets_of(docs: DataFrame, regions: DataFrame, k: int) -> DataFrame:
+    """(region, rep, own): the sets of the documents in regions. A bitmap of their ids spares all others the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap.collect(regions, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bitmap.contains(sent.value, batch.column("doc_id").to_numpy())))
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 sets = [K.signed(own) for _, own in shingle_sets(part.column("text"), k)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("region"), part.column("rep"), lists], names=["region", "rep", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "own"])
 
-    return rows.mapInArrow(run, "region bigint, rep bigint, own array<bigint>")
+    sets = docs.where("doc_id is not null").mapInArrow(run, "doc_id bigint, own array<bigint>")
+    return sets.join(regions, sets["doc_id"] == regions["rep"]).select("region", "rep", "own")
 
 
 def _small_regions(sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -255,26 +380,19 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     limit = Threshold(num, den)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_with_sets(slim, k, limit), "shingles")
-    key = ["n_shingles", "h1", "h2"]
-    classes = materialize(rows.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("parts", "doc_id").alias("parts")), "classes")
-
-    # Regions around the least set of each part, joined where they overlap.
-    member = classes.select("rep", F.explode("parts").alias("part"))
-    star = member.withColumn("least", F.min("rep").over(Window.partitionBy("part"))).where("least < rep").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    regions = materialize(components(star).withColumnRenamed("node", "rep").withColumnRenamed("component", "region"), "regions")
+    classes = materialize(rows.where("doc_id is not null and n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
+    linked = _regions(rows, limit).withColumnRenamed("node", "class")
+    regions = materialize(linked.join(classes, "class").select("rep", F.col("component").alias("region")), "regions")
 
-    # Sets of the regions only; a row whose set is not that of its class is another row of the same id.
-    texts = slim.join(regions, slim["doc_id"] == regions["rep"]).select("region", "rep", "text")
-    sets = materialize(_sets_of(texts, k), "region-sets")
+    sets = materialize(_sets_of(slim, regions, k), "region-sets")
     weight = materialize(sets.groupBy("region").agg(F.sum(F.size("own")).alias("w")), "region-weights")
     parts = [_small_regions(sets.join(weight.where(F.col("w") <= max_region), "region", "left_semi"), limit)]
     if not weight.where(F.col("w") > max_region).isEmpty():
         parts.append(_large_regions(sets.join(weight.where(F.col("w") > max_region), "region", "left_semi"), limit))
     found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    joined = classes.drop("parts").join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left")
-    named = joined.select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("parts").join(named, key, "left")
-    alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
+    named = classes.join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    alone = F.col("class_id").isNull() | F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

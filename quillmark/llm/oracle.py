@@ -1,3 +1,63 @@
-"""DuckDB SQL for the queries that it can express."""
+"""DuckDB SQL for the queries that it can express: URL filters, quality rules, Jaccard join, substring removal."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from .quality_rules import FENCES, LEAST_ROWS
+from .url_filters import LOWER, MAX_DEPTH, RULES, UPPER
+
+SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def url_filters(max_children: int = 50, z: float = 1.96, strength: float = 20.0, least: float = 0.5) -> str:
+    rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1] + r[2]}'" for r in rules) + " END"
+    told = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in rules) + " END"
+    kind = r"CASE WHEN regexp_matches(s, '^[0-9]+(\.[a-z]{2,5})?$') THEN '{n}' WHEN regexp_matches(s, '^[0-9a-f-]{8,}(\.[a-z]{2,5})?$') AND regexp_matches(s, '[0-9]') THEN '{h}' ELSE s END"
+    parts = "list_filter(string_split(path, '/'), lambda s: s <> '')"
+    raw = f"list_concat(list_transform(list_slice({parts}, 1, {MAX_DEPTH}), lambda s: {kind}), CASE WHEN len({parts}) > {MAX_DEPTH} THEN ['**'] ELSE [] END)"
+    sql = rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path FROM pages),
+ r AS (SELECT *, {raw} raw, TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) doc FROM u), lb AS (SELECT doc_id, min(quality) quality FROM labels GROUP BY 1),
+ t0 AS (SELECT host, raw, '' node, count(*) n, sum(coalesce(quality, 0)) good, count(quality) labelled FROM r LEFT JOIN lb ON doc_id = doc GROUP BY 1, 2)"""
+    for k in range(MAX_DEPTH + 1):
+        sql += f""", c{k} AS (SELECT host, node, raw[{k + 1}] p, sum(n) c FROM t{k} WHERE len(raw) > {k} GROUP BY 1, 2, 3), w{k} AS (SELECT host, node, 1 wild FROM c{k} GROUP BY 1, 2 HAVING count(*) > {max_children} AND sum(c) < count(*) * 8),
+ t{k + 1} AS (SELECT host, raw, CASE WHEN len(raw) <= {k} THEN node WHEN wild = 1 THEN node || '/*' ELSE node || '/' || raw[{k + 1}] END node, n, good, labelled FROM t{k} LEFT JOIN w{k} USING (host, node))"""
+    return sql + f""", nd AS (SELECT host, node, sum(good) good, sum(labelled) labelled FROM t{MAX_DEPTH + 1} GROUP BY 1, 2), hs AS (SELECT host, (sum(good) + 1) / (sum(labelled) + 2) share FROM nd GROUP BY 1), pr AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) prior FROM nd),
+ m AS (SELECT nd.*, prior, labelled = 0 OR abs(good / greatest(labelled, 1) - share) <= {z} * sqrt(share * (1 - share) / greatest(labelled, 1)) merged FROM nd JOIN hs USING (host), pr),
+ p AS (SELECT host, node, prior, CASE WHEN merged THEN sum(good) FILTER (merged) OVER (PARTITION BY host) ELSE good END g, CASE WHEN merged THEN sum(labelled) FILTER (merged) OVER (PARTITION BY host) ELSE labelled END l FROM m),
+ v AS (SELECT host, node, (g + {strength} * prior) / (l + {strength}) purity FROM p)
+ SELECT page_id, r.host, path, {rule.replace('host', 'r.host')} "rule", node "template", round(purity, 9) purity, coalesce({told.replace('host', 'r.host')}, CASE WHEN purity < {least} THEN 'block' ELSE 'allow' END) verdict FROM r JOIN t{MAX_DEPTH + 1} USING (host, raw) JOIN v USING (host, node)"""
+
+
+def quality_rules() -> str:
+    bucket = lambda m: f"(({m} >> greatest(length(bin({m})) - 5, 0)) << greatest(length(bin({m})) - 5, 0))"
+    levels = {"s": ["lang", "source"], "l": ["lang"], "a": []}
+    sql = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source FROM documents), w AS (SELECT *, {SPLIT.format("text")} w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l FROM t),
+ win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM w)), hit AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ rep AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i, i + 8)) p FROM hit) GROUP BY 1),
+ c AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) n_dup_lines, coalesce(n, 0) n_repeat_words, len(l) n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) n_upper FROM w LEFT JOIN rep USING (doc_id)),
+ f AS (SELECT *, CAST(word_chars * 100 // greatest(n_words, 1) AS BIGINT) m_word_len, CAST(n_symbols * 1000 // greatest(n_words, 1) AS BIGINT) m_symbols, CAST(n_dup_lines * 1000 // greatest(n_lines, 1) AS BIGINT) m_dup_lines, CAST(n_repeat_words * 1000 // greatest(n_words, 1) AS BIGINT) m_repeats, CAST(n_upper * 1000 // greatest(word_chars, 1) AS BIGINT) m_upper, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed FROM c),
+ b AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' metric, {bucket(m)} bucket, count(*) n FROM f WHERE NOT base_failed GROUP BY 1, 2, 4" for m in FENCES)})"""
+    for tag, keys in levels.items():
+        by = "".join(f"{k}, " for k in keys)
+        cols = ", ".join(f"max(q3 + {up} * greatest(q3 - q1, {least})) FILTER (metric = '{m}') {tag}_{m}_hi" + (f", max(q1 - {down} * greatest(q3 - q1, {least})) FILTER (metric = '{m}') {tag}_{m}_lo" if down is not None else "") for m, (up, down, least) in FENCES.items())
+        sql += f""", {tag}b AS (SELECT {by}metric, bucket, sum(n) n FROM b GROUP BY {by}metric, bucket), {tag}c AS (SELECT {by}metric, bucket, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) c, sum(n) OVER (PARTITION BY {by}metric) t FROM {tag}b),
+ {tag}q AS (SELECT {by}metric, max(t) t, min(bucket) FILTER (c * 4 >= t) q1, min(bucket) FILTER (c * 4 >= t * 3) q3 FROM {tag}c GROUP BY {by}metric), {tag}f AS (SELECT {by}max(t) {tag}_rows, {cols} FROM {tag}q {"GROUP BY " + ", ".join(keys) if keys else ""})"""
+    pick = lambda c: f"CASE WHEN s_rows >= {LEAST_ROWS} THEN s_{c} WHEN l_rows >= {LEAST_ROWS} THEN l_{c} ELSE a_{c} END"
+    ok = " AND ".join(f"coalesce({m} <= {pick(m + '_hi')}, true)" + (f" AND coalesce({m} >= {pick(m + '_lo')}, true)" if f[1] is not None else "") for m, f in FENCES.items())
+    return sql + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {', '.join(FENCES)}, base_failed, NOT base_failed AND {ok} kept FROM f LEFT JOIN sf USING (lang, source) LEFT JOIN lf USING (lang) LEFT JOIN af ON true"
+
+
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {SPLIT.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} w FROM documents),
+ s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM w)),
+ n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1), b AS (SELECT x.doc_id x, y.doc_id y, count(*) i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM b JOIN n a ON a.doc_id = x JOIN n c ON c.doc_id = y WHERE 100 * i >= 90 * (a.n + c.n - i)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r(a, z) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.z)
+ SELECT d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(m.z, d.doc_id)) component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(z) z FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+
+SUBSTRING = f"""WITH w AS (SELECT doc_id, {SPLIT.format("coalesce(text, '')")} w FROM documents), win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) i FROM w)),
+ hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) f FROM win) WHERE f < doc_id), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) p FROM hit), pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x FROM w),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) t, count(*) c FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(c, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op1_url_filters": url_filters(), "op2_quality_rules": quality_rules(), "op3_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING}

@@ -111,7 +111,7 @@ def judge_urls(
     found = template_verdicts(seen, max_children, z, strength, min_purity)
     rule, by_rule = match_rules(F.col("host"), F.col("path"), rules)
     out = rows.join(found, ["host", "raw"], "left").withColumns({"rule": rule, "_qm_rule_verdict": by_rule})
-    return out.select("page_id", "host", "path", "rule", F.col("node").alias("template"), "purity", F.coalesce("_qm_rule_verdict", "_qm_verdict", F.lit("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", F.col("node").alias("template"), F.round("purity", 9).alias("purity"), F.coalesce("_qm_rule_verdict", "_qm_verdict", F.lit("allow")).alias("verdict"))
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ class SchemaMismatch(RuntimeError):
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Quoted CSV with newlines inside fields; every column is a string, blanks stay blank."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=-1, encoding="UTF-8", nullValue="\0", emptyValue="", mode="FAILFAST")
+    """Quoted CSV with newlines inside fields; every column is a string, and a blank is an empty string."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=-1, encoding="UTF-8", mode="FAILFAST").fillna("")
 
 
 def verify_columns(df: DataFrame, expected: Iterable[str], path: str) -> DataFrame:

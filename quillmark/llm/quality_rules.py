@@ -21,7 +21,7 @@ from .scratch import materialize
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = "[#*$%&|<>]"
 WINDOW = 8
 #: metric: (quartile multiple above, or None; below, or None; least spread).
 FENCES = {
@@ -57,12 +57,19 @@ def _repeat_words(words: Column) -> Column:
         return F.transform(near, lambda k: s[k]["i"])
 
     def count(own: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(own) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(own, i, WINDOW)))
+        pairs = let(own, lambda h: _joined(h, 1))
+        fours = let(pairs, lambda h: _joined(h, 2))
+        windows = let(fours, lambda h: _joined(h, 4))
         return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), cover(w)).otherwise(F.lit(0).cast("long")))
 
     return F.when(F.size(words) > WINDOW, let(F.transform(words, lambda x: F.xxhash64(x)), count)).otherwise(F.lit(0).cast("long"))
 
 
+def _joined(hashes: Column, by: int) -> Column:
+    """Hash of each element with the one `by` places on; the last `by` have none and go."""
+    return F.transform(F.slice(hashes, 1, F.size(hashes) - by), lambda h, i: F.xxhash64(h, hashes[i + by]))
+
+
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus the base counts and the metrics of each whole text; no row is moved."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -73,28 +80,25 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.struct(words.alias("w"), lines.alias("l")),
         lambda x: F.struct(
             F.size(x["w"]).cast("long").alias("n_words"),
-            F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(x["w"], "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOL_CLASS, ""))).cast("long").alias("n_symbols"),
             (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
             _repeat_words(x["w"]).alias("n_repeat_words"),
             F.size(x["l"]).cast("long").alias("n_lines"),
-            F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+            (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
         ),
     )
-    one = lambda c: F.greatest(F.col(c), F.lit(1))
-    return (
-        docs.withColumn("_qm_c", found)
-        .withColumns({c: F.col("_qm_c")[c] for c in [*BASE, "n_lines", "n_upper"]})
-        .withColumns({
-            "m_word_len": F.expr("word_chars * 100 div greatest(n_words, 1)"),
-            "m_symbols": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
-            "m_dup_lines": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
-            "m_repeats": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
-            "m_upper": F.expr("n_upper * 1000 div greatest(word_chars, 1)"),
-            "base_failed": (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30),
-        })
-        .drop("_qm_c")
-    )
+    # A generator is computed once a row, and filters on its columns stay above it.
+    names = [*BASE, "n_lines", "n_upper", *FENCES, "base_failed"]
+    rest = docs.select(*(c for c in docs.columns if c.lower() not in names))
+    return rest.select("*", F.inline(F.array(found))).withColumns({
+        "m_word_len": F.expr("word_chars * 100 div greatest(n_words, 1)"),
+        "m_symbols": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
+        "m_dup_lines": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
+        "m_repeats": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
+        "m_upper": F.expr("n_upper * 1000 div greatest(word_chars, 1)"),
+        "base_failed": (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30),
+    })
 
 
 def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:

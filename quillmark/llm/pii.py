@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the contract.
 KINDS = ["email", "ip", "card", "phone"]
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
+# Those two are searched in forms that find the same matches in linear time, on runs of any length.
+LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Kinds of the method, after the base ones.
@@ -37,7 +40,6 @@ START = {"iban": 0.9, "local_phone": 0.2, "national_id": 0.4}
 CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD = 40, 0.4, 0.5
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"[0-9]")
-NEAR_AT = re.compile(r"\S*@\S*")
 
 
 def luhn(digits: str) -> bool:
@@ -58,12 +60,24 @@ def digits_of(text: str) -> str:
     return "".join(DIGIT.findall(text))
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of the e-mail pattern: at each @, all it can take on the left that no match has taken, and a domain."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL_PART:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        done = m.end() if m else at + 1
+        if m:
+            out.append((start, done))
+        at = text.find("@", done)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four base kinds, by kind, then start."""
-    out = []
-    if "@" in text:  # no match crosses white space
-        for run in NEAR_AT.finditer(text):
-            out += [("email", run.start() + m.start(), run.start() + m.end()) for m in EMAIL.finditer(run[0])]
+    out = [("email", a, b) for a, b in emails(text)]
     if not DIGIT.search(text):
         return out
     out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split("."))]

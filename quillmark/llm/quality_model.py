@@ -29,9 +29,9 @@ HELD_OUT = 1
 HIDDEN, GATES, STEPS, RATE, DECAY = 24, 12, 400, 0.02, 1e-4
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "symbol": b"#*$%&|<>@^~_=+{}[]\\/", "digit": b"0123456789", "stop": b".,;:?", "shout": b"!", "line": b"\n"}
-_CLASS = np.zeros((256, len(_CLASSES)), np.int32)
+_CLASS = np.zeros((len(_CLASSES), 256), np.int32)
 for _k, _v in enumerate(_CLASSES.values()):
-    _CLASS[list(_v), _k] = 1
+    _CLASS[_k, list(_v)] = 1
 FEATURES = len(_CLASSES) + 9
 
 
@@ -51,10 +51,11 @@ def passages(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
         return out, bags
     lo, hi = words.starts[a[full]], words.ends[b[full] - 1]
     count = (b - a)[full]
-    sums = np.zeros((len(words.data) + 1, len(_CLASSES)), np.int32)
-    np.cumsum(_CLASS[words.data], axis=0, out=sums[1:])
     chars = np.maximum(1, hi - lo)
-    out[full, : len(_CLASSES)] = (sums[hi] - sums[lo]) / chars[:, None] * 10
+    sums = np.zeros(len(words.data) + 1, np.int32)
+    for k in range(len(_CLASSES)):
+        np.cumsum(_CLASS[k][words.data], out=sums[1:])
+        out[full, k] = (sums[hi] - sums[lo]) / chars * 10
     size = (words.ends - words.starts).astype(np.float64)
     h = words.hash
     doc_of = words.doc_of()

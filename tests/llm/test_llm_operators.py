@@ -340,6 +340,17 @@ def test_base_spans(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "!@x.com", "1." * 100_000, "+1" + " " * 300_000, "@" * 100_000, "9-" * 150_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.base_spans(text)
+    pii.extra_spans(text, [])
+    html_text.extract("<a href='" * 2000 + text)
+    assert time.process_time() - began < 10
+
+
 def test_extra_spans_need_checks_and_context():
     assert pii.extra_spans("IBAN GB82 WEST 1234 5698 7654 32 here", []) == [("iban", 5, 32)]
     assert pii.extra_spans("IBAN GB83 WEST 1234 5698 7654 32 here", []) == []

@@ -172,3 +172,30 @@ def sweep_single_key(df: DataFrame, truth: DataFrame, n_records: int, ks: Iterab
     out = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int").join(found, "k", "left").fillna(0).join(t.agg(F.count("*").alias("n_true")), F.lit(True))
     possible = max(1, n_records * (n_records - 1) // 2)
     return out.withColumns({"pair_completeness": F.when(F.col("n_true") > 0, F.col("n_retained") / F.col("n_true")), "reduction_ratio": 1 - F.col("n_candidates") / possible})
+
+
+def evaluate_corpus(df: DataFrame, truth: DataFrame | None, most: int = MAX_BLOCK, options: dict[str, dict] | None = None) -> DataFrame:
+    """One row per scheme and one for their union: report counts and metrics. A scheme whose column is missing or empty has
+    a reason instead of figures."""
+    n, there, out = df.count(), applicable(df), None
+    for s in [*SCHEMES, "union"]:
+        if s != "union" and s not in there:
+            row = df.sparkSession.range(1).select(F.lit(s).alias("scheme"), F.lit("its column is absent or wholly null").alias("unavailable"))
+        else:
+            metrics = evaluate(candidate_pairs(df, there if s == "union" else [s], most, options), truth, n)
+            if s != "union":
+                own = dict((options or {}).get(s, {}))
+                kept_only = own.pop("min_overlap", None) is not None
+                metrics = metrics.join(block_report(df, build_blocks(df, s, **own), s, most, kept_only).drop("scheme"), F.lit(True))
+            row = metrics.withColumns({"scheme": F.lit(s), "unavailable": F.lit(None).cast("string")})
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out
+
+
+def dropped_total(df: DataFrame, schemes: Iterable[str], most: int = MAX_BLOCK) -> DataFrame:
+    """One row: blocks dropped over all schemes."""
+    out = None
+    for s in schemes:
+        own = block_sizes(build_blocks(df, s)).agg(F.count_if(F.col("size") > most).alias("c"))
+        out = own if out is None else out.union(own)
+    return out.agg(F.sum("c").alias("blocks_dropped_total"))

@@ -11,6 +11,9 @@ from ..functions.scalars import safe_rate
 from .matching import running
 
 
+DEFAULT_TARGET = 0.95
+
+
 def curve(scored: DataFrame, label: str = "label") -> DataFrame:
     """(threshold, precision, recall, automated_share), one row per distinct score; label is 1 where the answer is right."""
     own = scored.select("score", F.col(label).alias("label"))
@@ -20,15 +23,16 @@ def curve(scored: DataFrame, label: str = "label") -> DataFrame:
     return r.select(F.col("score").alias("threshold"), safe_rate(F.col("tp"), taken).alias("precision"), safe_rate(F.col("tp"), F.col("pos")).alias("recall"), safe_rate(taken, F.col("n")).alias("automated_share"))
 
 
-def automated_share(points: DataFrame, target: float = 0.95) -> DataFrame:
+def automated_share(points: DataFrame, target: float = DEFAULT_TARGET) -> DataFrame:
     """One row: the lowest threshold whose precision reaches the target and the share it automates; NaN and 0 if none."""
     good = F.col("precision") >= target
     return points.agg(F.coalesce(F.min(F.when(good, F.col("threshold"))), F.lit(float("nan"))).alias("threshold"), F.coalesce(F.max(F.when(good, F.col("automated_share"))), F.lit(0.0)).alias("automated_share"))
 
 
-def residual_effort(n: int, share: float, mean_seconds: float) -> float:
-    """Hours that people still spend. The mean has no default: it must have been measured."""
-    return n * (1 - share) * mean_seconds / 3600
+def residual_effort(n: int, share: float, mean_seconds: float) -> dict[str, float]:
+    """Hours by hand, hours that remain and hours saved. The mean has no default: it must have been measured."""
+    base = n * mean_seconds / 3600
+    return {"baseline_hours": base, "residual_hours": base * (1 - share), "hours_saved": base * share}
 
 
 def severity_grid(spark, severities: Iterable[float], seeds: Iterable[int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise, tokens
+from ..functions.text import normalise, token_grams, tokens
 
 
 def route(rows: DataFrame, matches: DataFrame, supported: DataFrame, duplicate_from: float, new_to: float, auto_from: float) -> DataFrame:
@@ -75,9 +75,24 @@ def new_notifications(states: DataFrame, sent: DataFrame) -> DataFrame:
     return now.join(sent.select("asset_id", "kind", "due"), ["asset_id", "kind", "due"], "left_anti")
 
 
-def with_hazard(records: DataFrame, intervals: dict[str, int]) -> DataFrame:
-    """records with the service interval of their division; null where it is no hazard."""
-    expr = F.lit(None).cast("int")
-    for code, days in intervals.items():
-        expr = F.when(F.substring("cpv_code", 1, 2) == code, F.lit(days)).otherwise(expr)
-    return records.withColumn("interval_days", expr)
+# Divisions designated (for illustration) as carrying rules, their class and interval in days; header aliases.
+HAZARDS = {"33": ("regulated", 365), "38": ("calibration_required", 365), "42": ("mechanical", 180)}
+ALIASES = [("name", "Equipment Name"), ("manufacturer", "Make"), ("serial_number", "Serial No"), ("owning_department", "Dept")]
+
+
+def with_hazard(records: DataFrame, hazards: dict[str, tuple[str, int]] = HAZARDS) -> DataFrame:
+    """records with hazard_class and interval_days of their division; null where none is designated."""
+    name, days = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for code, (kind, interval) in hazards.items():
+        own = F.substring("cpv_code", 1, 2) == code
+        name, days = F.when(own, F.lit(kind)).otherwise(name), F.when(own, F.lit(interval)).otherwise(days)
+    return records.withColumns({"hazard_class": name, "interval_days": days})
+
+
+def evidence(pairs: DataFrame, records: DataFrame, most: int = 10) -> DataFrame:
+    """pairs plus matched: the first grams in order that both titles share, as what a reviewer sees."""
+    g = records.select("record_id", token_grams(normalise(F.col("title"))).alias("g"))
+    for side in ("left", "right"):
+        pairs = pairs.join(g.select(F.col("record_id").alias(f"{side}_id"), F.col("g").alias(f"_{side}")), f"{side}_id", "left")
+    shared = F.array_sort(F.array_intersect("_left", "_right"))
+    return pairs.withColumn("matched", F.slice(F.coalesce(shared, F.array().cast("array<string>")), 1, most)).drop("_left", "_right")

@@ -277,6 +277,23 @@ def blocking_eval(spark, d):
     return rounded(B.evaluate(_candidates(spark, d), people_truth(spark, d), people(spark, d).count()), "pair_completeness", "reduction_ratio")
 
 
+@query()
+def corpus_evaluation(spark, d):
+    p = people(spark, d)
+    return rounded(B.evaluate_corpus(p, people_truth(spark, d), options={"sorted_ngrams": {"min_overlap": 14}}), "pair_completeness", "reduction_ratio", "unblocked_share", "mean_block_size")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) record_id, CASE 30 + doc_id % 15 WHEN 33 THEN 'regulated' WHEN 38 THEN 'calibration_required' WHEN 42 THEN 'mechanical' END hazard_class, CAST(CASE 30 + doc_id % 15 WHEN 33 THEN 365 WHEN 38 THEN 365 WHEN 42 THEN 180 END AS VARCHAR) interval_days FROM documents")
+def hazard_classes(spark, d):
+    return register.with_hazard(doc_records(spark, d)).select("record_id", "hazard_class", F.col("interval_days").cast("string"))
+
+
+@query(f"""WITH {PEOPLE_SHARED}, gg AS (SELECT record_id, {grams(norm('title'))} g FROM ppl) SELECT left_id, right_id, array_to_string(list_slice(list_sort(list_intersect(a.g, b.g)), 1, 10), '|') matched FROM shared JOIN gg a ON a.record_id = left_id JOIN gg b ON b.record_id = right_id WHERE shared >= 8""")
+def match_evidence(spark, d):
+    p = people(spark, d)
+    return register.evidence(B.overlap_pairs(p), p).select("left_id", "right_id", F.array_join("matched", "|").alias("matched"))
+
+
 # Matching.
 
 

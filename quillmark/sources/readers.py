@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from ..operators.ledger import LEDGER_SCHEMA
 
 TIMING_SCHEMA = "item_id string, seconds double, started_at string, abandoned boolean"
-#: Code and description columns of the two classification files of a bundle.
-CLASSIFICATION_FILES = {"main.csv": ("tender_classification_id", "tender_classification_description"), "items.csv": ("classification_id", "classification_description")}
+# The header of a notice bundle, and the code and description columns of its two classification files.
+NOTICE_COLUMNS = [
+    "id", "tag", "date", "ocid", "language", "initiationType", "buyer_id", "buyer_name", "tender_id", "tender_mainProcurementCategory", "tender_title", "tender_status",
+    "tender_procurementMethodDetails", "tender_description", "tender_procurementMethod", "tender_datePublished", "tender_suitability_sme", "tender_suitability_vcse",
+    "tender_tenderPeriod_endDate", "tender_classification_id", "tender_classification_scheme", "tender_classification_description", "tender_contractPeriod_endDate",
+    "tender_contractPeriod_startDate", "tender_value_amount", "tender_value_currency", "tender_minValue_amount", "tender_minValue_currency", "tender_procedure_isAccelerated",
+    "title", "tender_communication_futureNoticeDate", "tender_procedure_acceleratedRationale",
+]
+CLASSIFICATION_FILES = {"main.csv": ("tender_classification_id", "tender_classification_description"), "tender_additionalClassifications.csv": ("id", "description")}
 
 
 class SchemaMismatch(RuntimeError):
@@ -39,7 +46,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_bundle(spark: SparkSession, year_dir: str, expected: Iterable[str], name: str = "main.csv") -> DataFrame:
+def read_bundle(spark: SparkSession, year_dir: str, expected: Iterable[str] = tuple(NOTICE_COLUMNS), name: str = "main.csv") -> DataFrame:
     path = f"{year_dir}/{name}"
     if not exists(spark, path):
         raise FileNotFoundError(path)

@@ -79,6 +79,16 @@ def test_blocking_metrics(spark):
     assert blocking.evaluate(cand, truth, 1).first().reduction_ratio is None
 
 
+def test_corpus_evaluation(spark):
+    df = recs(spark, ["zeiss microscope lens", "microscope zeiss lens", "pump"])
+    truth = spark.createDataFrame([("0", "1", 1)], "left_id string, right_id string, label int")
+    rows = {r.scheme: r for r in blocking.evaluate_corpus(df, truth, options={"sorted_ngrams": {"min_overlap": 3}}).collect()}
+    assert set(rows) == {"sorted_ngrams", "leading_token", "buyer", "union"}
+    assert rows["buyer"].unavailable and rows["sorted_ngrams"].pair_completeness == 1 and rows["union"].n_candidates == 1
+    assert rows["sorted_ngrams"].unblocked == 0 and rows["leading_token"].n_blocks == 3
+    assert blocking.dropped_total(df, ["leading_token"], 0).first()[0] == 3
+
+
 def test_sweep_and_operating_point(spark):
     shared = spark.createDataFrame([("a", "b", 9), ("a", "c", 3), ("b", "c", 1)], "left_id string, right_id string, shared long")
     truth = spark.createDataFrame([("a", "b", 1), ("a", "c", 1)], "left_id string, right_id string, label int")
@@ -138,7 +148,7 @@ def test_threshold_and_rates(spark):
     assert operating.automated_share(curve, 1.0).first().automated_share == 0.5
     none = operating.automated_share(curve.where("precision < 1"), 1.0).first()
     assert math.isnan(none.threshold) and none.automated_share == 0
-    assert operating.residual_effort(100, 0.5, 72) == 1.0
+    assert operating.residual_effort(100, 0.5, 72) == {"baseline_hours": 2.0, "residual_hours": 1.0, "hours_saved": 1.0}
 
 
 def test_cascade(spark):
@@ -363,6 +373,13 @@ def test_service_and_notices(spark):
     assert first.count() == 1 and register.new_notifications(s, first).isEmpty()
 
 
+def test_hazards_and_evidence(spark):
+    df = recs(spark, ["red pump", "pump blue"], cpv_code=["38120000", "99000000"])
+    assert got(register.with_hazard(df).select("hazard_class", "interval_days")) == {("calibration_required", 365), (None, None)}
+    assert register.evidence(pairs(spark, ("0", "1")), df).first().matched == ["pum", "ump"]
+    assert len(register.ALIASES) == 4
+
+
 def test_search_and_headers(spark):
     df = recs(spark, ["Red pump", "blue pump", "red ring"]).withColumn("description", F.lit("steel"))
     hits = register.search(df, "red steel", {"title": "A", "description": "C"})

@@ -3,9 +3,9 @@
 Windows carry Rabin-Karp hashes and are counted in Spark. Most windows of a corpus occur once, so a lossless filter comes
 first: the least hash of the WINDOW - GRAM + 1 grams of GRAM words inside a window is its anchor, and equal windows have
 equal anchors. Anchors that occur in one document only rule their windows out. The shared anchors travel as a bitmap of
-BITMAP_WORDS 64-bit words, whatever the size of the corpus; a bit set by two anchors lets more windows through and
-changes no result. Each remaining window is one row (hash, document, position); those whose hash has a smaller document
-are merged per document into maximal intervals, which cut the text.
+fixed size; a bit set by two anchors lets more windows through and changes no result. Each remaining window is one row
+(hash, document, position); those whose hash has a smaller document are merged per document into maximal intervals,
+which cut the text.
 
 Passes over the texts: anchors, windows, cutting. Shuffled: anchors (about a twentieth of the words), the windows under
 shared anchors, the positions found, and once the texts. No row is larger than a document.
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmap
 from . import textkernel as K
 
 WINDOW = 50
 GRAM = 8
-#: 16 MB at most, as a broadcast bitmap.
-BITMAP_WORDS = 1 << 21
+#: Windows that a task holds to settle those it has twice (some 30 MB).
+HELD_WINDOWS = 1_000_000
 
 
 def window_anchors(words: K.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(word, bits): the bitmap of anchors that occur in two documents or more."""
+    """Anchors that occur in two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,49 +70,53 @@ def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchors[change])), pa.array(ids[at + doc[change]], pa.int64())], names=["anchor", "doc_id"])
 
     found = docs.where("doc_id is not null").mapInArrow(run, "anchor bigint, doc_id bigint")
-    bits = BITMAP_WORDS * 64
-    return (
-        found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        .where("a < b")
-        .select(F.pmod("anchor", F.lit(bits)).alias("bit"))
-        .groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    )
+    return found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
 
 
-def bitmap(rows: DataFrame) -> np.ndarray:
-    """At most BITMAP_WORDS rows come to the driver."""
-    out = np.zeros(BITMAP_WORDS, np.uint64)
-    table = rows.toArrow()
-    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return out
+def _settled(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash to deal by, whether the window goes for sure). Where a task holds several windows of one hash, only those of
+    its least document are still open; the others are dealt evenly, so a hot passage doesn't fill one task."""
+    order = np.lexsort((ids, hashes))
+    h, d = hashes[order], ids[order]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    least = d[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
+    sure = np.zeros(len(h), bool)
+    sure[order] = d > least
+    return np.where(sure, K.mix(hashes ^ K.mix(ids.view(np.uint64) * np.uint64(3) + starts.astype(np.uint64))), hashes), sure
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, start): word positions of windows that also start in a document of a smaller id."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(shared_anchors(docs, window, gram)))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.collect(shared_anchors(docs, window, gram), "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            hashes, ids, keys, starts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            dealt, sure = _settled(hashes, ids, starts)
+            return pa.RecordBatch.from_arrays([pa.array(K.signed(dealt)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts), pa.array(sure)], names=["hash", "doc_id", "text_hash", "start", "sure"])
+
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text_hash").to_numpy()
             for at, words in K.chunks(batch.column("text")):
                 starts, anchors = window_anchors(words, window, gram)
-                if not len(starts):
-                    continue
-                bit = anchors & np.uint64(BITMAP_WORDS * 64 - 1)
-                there = (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
-                starts = starts[there.astype(bool)]
+                starts = starts[bitmap.contains(table, anchors)] if len(starts) else starts
                 if not len(starts):
                     continue
                 doc = words.doc_of()[starts]
-                hashes = words.windows(window)[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(hashes)), pa.array(ids[at + doc], pa.int64()), pa.array(keys[at + doc], pa.int64()), pa.array((starts - words.first[doc]).astype(np.int32))], names=["hash", "doc_id", "text_hash", "start"])
+                held.append((words.windows(window)[starts], ids[at + doc], keys[at + doc], (starts - words.first[doc]).astype(np.int32)))
+                if sum(len(x[0]) for x in held) >= HELD_WINDOWS:
+                    yield flush()
+        if held:
+            yield flush()
 
-    rows = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "hash bigint, doc_id bigint, text_hash bigint, start int")
+    rows = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "hash bigint, doc_id bigint, text_hash bigint, start int, sure boolean")
     first = F.min("doc_id").over(Window.partitionBy("hash"))
-    return rows.withColumn("least", first).where("least < doc_id").select("doc_id", "text_hash", "start")
+    return rows.withColumn("least", first).where("sure or least < doc_id").select("doc_id", "text_hash", "start")
 
 
 def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:

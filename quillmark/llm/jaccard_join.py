@@ -7,7 +7,7 @@
    counts over the whole corpus in CELLS cells, so that common lines and passages come last. A set's Voronoi region is that
    of its first shingle. A linked set lacks at most (1 - t) * n of its n shingles, so by this window the set is
    replicated into the regions of its first n - ceil(t * n) + 1 shingles, and any two linked sets meet in one.
-3. Inside a region, counts of shingles in fixed cells (a vector per set, at least n / 4 cells) bound the number of shingles
+3. Inside a region, counts of shingles in fixed cells (a vector per set, at least n / 8 cells) bound the number of shingles
    that two sets differ in from below: this metric prunes by the triangle inequality. What may still be linked becomes
    one larger region by connected components.
 4. There the join is exact, by document pivots: sets within the radius r of a pivot are linked to it; by the triangle
@@ -118,8 +118,8 @@ def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def vector(own: np.ndarray) -> np.ndarray:
-    """Counts (up to 255) of a set's shingles in a power of two of cells, at least a quarter of its size."""
-    cells = 1 << max(2, (max(1, len(own)) // 4).bit_length())
+    """Counts (up to 255) of a set's shingles in a power of two of cells, at least an eighth of its size."""
+    cells = 1 << max(3, (max(1, len(own)) // 8).bit_length())
     return np.minimum(255, np.bincount((own & _U(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
 
 

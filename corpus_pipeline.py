@@ -10,7 +10,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
+from quillmark.llm import bitmap, bpe, decontaminate, jaccard_join, pii, quality_rules
 from quillmark.llm.scratch import materialize
 
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
@@ -18,14 +18,17 @@ SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_qm_row"), "text", "lang", "source")
+    return quality_rules.judge(rows).where("kept").select("_qm_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by a Jaccard similarity of 0.8 or more."""
     linked = materialize(jaccard_join.link(docs, SHINGLE_WORDS, NUM, DEN).select("doc_id", "component_id"), "linked")
     drop = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_qm_drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_qm_drop"], "left_anti")
+    # A bitmap of the ids to drop spares the texts of all other documents the shuffle.
+    maybe, others = bitmap.split(docs, "doc_id", bitmap.collect(drop, "_qm_drop"))
+    kept = others.unionByName(maybe.join(drop, maybe["doc_id"] == drop["_qm_drop"], "left_anti"))
     again = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_qm_again")).agg(F.count("*").alias("c")).where("c > 1").drop("c")
     if again.isEmpty():
         return kept

@@ -5,7 +5,10 @@ only let more rows through: whoever uses it must not rely on a set bit."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +29,20 @@ def contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the bit of each value (as 64 bits) is set."""
     bit = values.view(np.uint64) & np.uint64(BITS - 1)
     return ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def split(docs: DataFrame, id_col: str, table: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in the bitmap, all others): only the former need an exact join, and so a shuffle. Null ids are
+    among the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def rows(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+                hit = contains(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit if inside else ~hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return rows(True), rows(False)

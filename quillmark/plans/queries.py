@@ -608,10 +608,10 @@ def service_due(spark, d):
     return service(spark, d).select("asset_id", F.col("last_serviced").cast("string"), F.col("next_due").cast("string"), "state")
 
 
-@query(f"WITH {SERVICE} SELECT asset_id, state kind, CAST(next_due AS VARCHAR) due FROM sv WHERE state IN ('overdue', 'due_soon') AND asset_id % 3 <> 0")
+@query(f"WITH {SERVICE} SELECT asset_id, state kind, CAST(next_due AS VARCHAR) due FROM sv WHERE state IN ('overdue', 'due_soon') AND next_due >= DATE '1998-01-01'")
 def notifications_new(spark, d):
     s = service(spark, d)
-    sent = s.where("asset_id % 3 = 0").select("asset_id", F.col("state").alias("kind"), F.col("next_due").alias("due"))
+    sent = s.where("next_due < date '1998-01-01'").select("asset_id", F.col("state").alias("kind"), F.col("next_due").alias("due"))
     return register.new_notifications(s, sent).withColumn("due", F.col("due").cast("string"))
 
 

@@ -1,6 +1,6 @@
 """A bitmap of fixed size that tells workers which values can be skipped.
 
-It has BITMAP_WORDS 64-bit words (16 MB) whatever the input, so it can be broadcast at any scale. Values that share a bit
+It has BITMAP_WORDS 64-bit words (8 MB) whatever the input, so it can be broadcast at any scale. Values that share a bit
 only let more rows through: whoever uses it must not rely on a set bit."""
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITMAP_WORDS = 1 << 21
+from .scratch import bounded
+
+BITMAP_WORDS = 1 << 20
 BITS = BITMAP_WORDS * 64
 
 
@@ -34,7 +36,7 @@ def contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 def split(docs: DataFrame, id_col: str, table: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(rows whose id may be in the bitmap, all others): only the former need an exact join, and so a shuffle. Null ids are
     among the others."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = bounded(docs).sparkSession.sparkContext.broadcast(table)
 
     def rows(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,15 +17,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 #: Words kept per worker, in two generations: a full table becomes the old one. A word that is gone is folded again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 LONG = 48
 
 
@@ -119,8 +123,8 @@ class Encoder:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, r in self.ranks.items():
             self.pieces[r] = piece
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids of a word as 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -128,20 +132,23 @@ class Encoder:
             cls.loaded[path, pattern] = cls(path, pattern)
         return cls.loaded[path, pattern]
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def ids_of(self, text: str) -> np.ndarray:
+        parts: list[bytes] = []
         known = self.known
         for word in self.cut(text):
             got = known.get(word)
             if got is None:
-                got = self.older.get(word) or fold(word.encode(), self.ranks)
+                got = self.older.get(word) or array("I", fold(word.encode(), self.ranks)).tobytes()
                 if len(word) <= LONG:
                     if len(known) >= CACHE_WORDS:
                         self.older, self.known = known, {}
                         known = self.known
                     known[word] = got
-            ids += got
-        return ids
+            parts.append(got)
+        return np.frombuffer(b"".join(parts), np.uint32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.ids_of(text).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -149,7 +156,7 @@ class Encoder:
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts are encoded, then the ids are decoded."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder.load(path, pattern)
@@ -169,16 +176,17 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs plus ids (array<int>), n_tokens and decoded (binary)."""
     added = "ids array<int>, n_tokens bigint, decoded binary"
-    keep = docs.select(*(c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")))
+    keep = bounded(docs).select(*(c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder.load(path, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for at in range(0, len(batch), 200):  # ids are larger than the texts
-                ids = [own.encode(v.as_py() or "") for v in texts[at : at + 200]]
-                part = batch.slice(at, 200)
-                new = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.binary())]
+                ids = [own.ids_of(v.as_py() or "") for v in texts[at : at + 200]]
+                part, sizes = batch.slice(at, 200), [len(x) for x in ids]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
+                new = [lists, pa.array(sizes, pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "ids", "n_tokens", "decoded"])
 
     from pyspark.sql.types import StructType

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -
         # Settled when every node points at a node that points nowhere.
         if after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select("v", "v").distinct())
+        discard(now)
         now = after
     raise RuntimeError("components did not settle")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import bounded
+
 Q = 8
 EDITS = 0.08
 LEAST_CHARS = 20
@@ -183,7 +185,7 @@ def _index(block) -> Index:
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_items, items, contaminated): one row for each row of docs; items are item:edits, joined by commas."""
-    now = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit("").alias("items"))
+    now = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit("").alias("items"))
     for block in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without contaminated rows; all columns stay."""
-    schema: StructType = docs.schema
+    schema: StructType = bounded(docs).schema
     for block in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

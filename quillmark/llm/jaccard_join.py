@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import bitmap
 from . import textkernel as K
 from .components import components
-from .scratch import materialize
+from .scratch import bounded, materialize
 
 #: Cells of the shingle counts (4 MB while they are counted, 1 MB as an order).
 CELLS = 1 << 20
@@ -378,7 +378,7 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     """(doc_id, n_shingles, class_id, component_id): one row for each row of docs. class_id is the smallest id with an
     equal set; component_id the smallest id that links reach."""
     limit = Threshold(num, den)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_with_sets(slim, k, limit), "shingles")
     classes = materialize(rows.where("doc_id is not null and n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     linked = _regions(rows, limit).withColumnRenamed("node", "class")

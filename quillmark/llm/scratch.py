@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Bytes of texts that reach a Python worker at a time.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes: rows are as long as documents, so a bound in rows alone
+    says little about memory. A smaller setting stays."""
+    conf = df.sparkSession.conf
+    now = conf.get(_ARROW, "67108864").rstrip("bB")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(_ARROW, str(ARROW_BYTES))
+    return df
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,6 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="quillmark-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
     return "file://" + _LOCAL["dir"]
 
 
@@ -25,3 +41,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/quillmark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() wrote and nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/quillmark/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

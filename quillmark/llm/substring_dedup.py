@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import textkernel as K
+from .scratch import bounded
 
 WINDOW = 50
 GRAM = 8
@@ -51,7 +52,7 @@ def window_anchors(words: K.Words, window: int, gram: int) -> tuple[np.ndarray,
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:

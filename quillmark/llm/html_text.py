@@ -39,6 +39,8 @@ BOILER_WORDS = {
     "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies",
     "responses", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search", "login", "header", "alert",
 }
+#: Those that also tell an article element from the main one.
+ARTICLE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored"}
 SPLIT_MARK = re.compile(r"[^a-z]+")
 
 
@@ -54,10 +56,11 @@ class Node:
 def _boiler(name: str, attributes: str, inside: bool) -> bool:
     if name in SKIP or (name == "header" and not inside):
         return True
-    if name in ("body", "html", "article", "main") or not attributes:
+    if name in ("body", "html", "main") or not attributes:
         return False
+    words = BOILER_WORDS if name != "article" else ARTICLE_WORDS
     for m in MARK.finditer(attributes):
-        if BOILER_WORDS & set(SPLIT_MARK.split((m[1] or m[2] or m[3] or "").lower())):
+        if words & set(SPLIT_MARK.split((m[1] or m[2] or m[3] or "").lower())):
             return True
     return False
 

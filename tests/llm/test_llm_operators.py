@@ -160,6 +160,13 @@ def test_quality_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_empty_tables(spark):
+    d = docs_of(spark, [])
+    assert quality_rules.report(d).count() == 0 and pii.scan(d).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
 def test_quality_outliers_go_and_columns_stay(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["pump", "valve", "steel", "bolts", "rings"]) + str(rng.randrange(1000)) for _ in range(40)) for _ in range(150)] + [" ".join(f"word{rng.randrange(9999)}$$$###" for _ in range(40))]
@@ -242,6 +249,7 @@ def test_jaccard_edges(spark):
         ("<script>if (a<b) x()</script><p>x &am", "x &am"),
         ("<html><head><title>T</title></head><body><nav><a href=x>menu</a></nav><article><h1>T</h1><p>o<i>n</i>e<br>two\n three<p>four</article><footer>f</footer></body></html>", "T one two three four"),
         ("<article><p>a</p><aside>s</aside><form><input>q</form><div class='comments'><p>c</p></div><!-- x --><p>b</p></article>", "a b"),
+        ("<article class='post header'><p>a</p></article><section id=reader-comments><article><p>c c c</p></article></section><article class=comment><p>c</p></article>", "a"),
         ("<div><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></div>", "x y 1 2"),
     ],
 )

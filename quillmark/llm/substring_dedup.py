@@ -8,7 +8,7 @@ fixed size; a bit set by two anchors lets more windows through and changes no re
 which cut the text.
 
 Passes over the texts: anchors, windows, cutting. Shuffled: anchors (about a twentieth of the words), the windows under
-shared anchors, the positions found, and once the texts. No row is larger than a document.
+shared anchors, the positions found, and the texts that have any. No row is larger than a document.
 
 Edge cases: a null or short text has no window; a null id never is the smaller one and its windows stay; rows of one id
 don't remove each other's windows; repeated rows are cut alike. The hash has 64 bits: two different windows are taken for
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import textkernel as K
-from .scratch import bounded
+from .scratch import bounded, materialize
 
 WINDOW = 50
 GRAM = 8
@@ -129,8 +129,11 @@ def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text), one row for each row of docs."""
     slim = _keyed(docs, id_col, text_col)
-    found = repeated_starts(slim, window, gram).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"))
-    both = slim.withColumn("text_hash", F.xxhash64("text")).join(found, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    found = materialize(repeated_starts(slim, window, gram).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts")), "passages")
+    # A bitmap of the ids with passages to cut spares all other texts the shuffle.
+    maybe, others = bitmap.split(slim, "doc_id", bitmap.collect(found, "doc_id"))
+    cut = maybe.withColumn("text_hash", F.xxhash64("text")).join(found, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    both = cut.unionByName(others.withColumn("starts", F.lit(None).cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

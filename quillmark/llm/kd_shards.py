@@ -147,7 +147,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     # Where equal texts weigh over the limit, their documents are dealt into runs by a hash of the id.
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("g"))
     large = groups.where(F.col("g") > limit).withColumn("runs", F.ceil(F.col("g") / limit))
-    rows = rows.join(large.select("text_hash", "runs"), "text_hash", "left")
+    # Fewer than GROUP_SHARE groups a shard can weigh over the limit, so this side is small at any scale.
+    rows = rows.join(F.broadcast(large.select("text_hash", "runs")), "text_hash", "left")
     run = F.when(F.col("runs").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.coalesce("runs", F.lit(1))))
     rows = rows.withColumn("point", F.xxhash64("text_hash", run)).drop("runs")
     points = materialize(_codes(points_of(rows)), "kd-points")

@@ -57,7 +57,8 @@ def lexical_template(path: Column) -> Column:
 def generalise(templates: DataFrame, max_children: int) -> DataFrame:
     """(host, raw, n, good, labelled) gets node: the template in the tree after wildcards, level by level."""
     tree = templates.withColumn("node", F.lit("").cast("string"))
-    for k in range(MAX_DEPTH + 1):
+    deepest = templates.agg(F.max(F.size("raw"))).first()[0] or 0  # at most MAX_DEPTH + 1
+    for k in range(deepest):
         part = F.get(F.col("raw"), k)
         child = tree.where(part.isNotNull()).groupBy("host", "node", part.alias("_qm_part")).agg(F.sum("n").alias("c"))
         many = child.groupBy("host", "node").agg(F.count("*").alias("_qm_kids"), F.sum("c").alias("_qm_all"))

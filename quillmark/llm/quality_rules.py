@@ -167,7 +167,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """One row for each document: id, base counts, metrics, base_failed, kept. Counts are taken once and written."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     counted = materialize(with_counts(slim).drop("text"), "quality-counts")
-    return apply_thresholds(counted, thresholds(counted, least_rows=least_rows)).select("doc_id", *BASE, *FENCES, "base_failed", "kept")
+    # Written: a small table of its own is broadcast while it is small, and else joined with skewed pairs split.
+    limits = materialize(thresholds(counted, least_rows=least_rows), "quality-limits")
+    return apply_thresholds(counted, limits).select("doc_id", *BASE, *FENCES, "base_failed", "kept")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

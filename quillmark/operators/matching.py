@@ -17,6 +17,11 @@ def record_texts(records: DataFrame) -> DataFrame:
     return records.select("record_id", normalise(text_of(F.col("title"), d)).alias("text"))
 
 
+def record_keys(records: DataFrame) -> DataFrame:
+    """(record_id, key): a digest of the comparison key, which is as long as the texts."""
+    return record_texts(records).select("record_id", F.md5(key_of(F.col("text")).cast("binary")).alias("key"))
+
+
 def check_known(pairs: DataFrame, records: DataFrame) -> None:
     """KeyError if a pair names a record that is not there."""
     ids = pairs.select(F.explode(F.array("left_id", "right_id")).alias("record_id"))
@@ -61,7 +66,10 @@ class ExactMatcher(Matcher):
 
     def score_pairs(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         check_known(pairs, records)
-        keys = record_texts(records).select("record_id", key_of(F.col("text")).alias("key"))
+        return self.score_keys(pairs, record_keys(records))
+
+    def score_keys(self, pairs: DataFrame, keys: DataFrame) -> DataFrame:
+        """The same from (record_id, key), for callers that have them already."""
         return with_both(pairs, keys, ["key"]).withColumn("score", (F.col("left_key") == F.col("right_key")).cast("double")).drop("left_key", "right_key")
 
 

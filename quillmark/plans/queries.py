@@ -299,9 +299,9 @@ def match_evidence(spark, d):
 
 @query(f"""WITH {REC}, k AS (SELECT record_id, {key("coalesce(title, '') || ' ' || coalesce(description, '')")} k FROM rec), b AS (SELECT k FROM k GROUP BY k HAVING count(*) BETWEEN 2 AND 500) SELECT x.record_id left_id, y.record_id right_id, CAST(1 AS DOUBLE) score FROM k x JOIN k y ON x.k = y.k AND x.record_id < y.record_id JOIN b ON b.k = x.k""")
 def exact_match_pairs(spark, d):
-    keys = matching.record_keys(doc_records(spark, d)).persist()  # read five times; every text is normalised once
-    pairs = B.block_pairs(keys.withColumnRenamed("key", "block_key"))
-    return matching.ExactMatcher().score_keys(pairs, keys)
+    # The SQL gives groups of up to 500 only; larger ones are added here, as links to their least record.
+    keys = matching.record_keys(doc_records(spark, d)).persist()  # read seven times; every text is normalised once
+    return matching.ExactMatcher().equal_pairs(keys)
 
 
 BENCH = f"bn AS (SELECT CAST(item_id AS VARCHAR) record_id, {norm('text')} t FROM benchmark)"

@@ -70,6 +70,13 @@ def test_blocks_pairs_and_reports(spark):
     assert blocking.block_pairs(blocking.gram_blocks(df), most=1).count() == 0
 
 
+def test_exact_pairs_of_large_groups(spark):
+    keys = spark.createDataFrame([(str(i), "a") for i in range(1000, 1700)] + [("1", "b"), ("2", "b"), ("3", "c"), ("4", "d"), ("5", "d"), ("6", "d")], "record_id string, key string")
+    small = {("1", "2", 1.0), ("4", "5", 1.0), ("4", "6", 1.0), ("5", "6", 1.0)}
+    assert got(matching.ExactMatcher().equal_pairs(keys)) == small | {("1000", str(i), 1.0) for i in range(1001, 1700)}
+    assert got(matching.ExactMatcher().equal_pairs(keys, most=2)) - {("1000", str(i), 1.0) for i in range(1001, 1700)} == small - {("5", "6", 1.0)}
+
+
 def test_blocking_metrics(spark):
     cand = pairs(spark, ("a", "b"), ("d", "c"))
     truth = spark.createDataFrame([("b", "a", 1), ("a", "d", 1), ("c", "d", 0)], "left_id string, right_id string, label int")

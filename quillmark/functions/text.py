@@ -38,7 +38,7 @@ def strip_punctuation(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Normal form by built-in functions: exact for texts that are NFKC already, carry no cp1252 damage and whose case
-    folding is that of lower() and sharp s. normalise_exact() covers the rest."""
+    folding is that of lower() and sharp s. The operators call normalise_exact(), which covers the rest."""
     folded = F.replace(F.lower(strip_control(F.coalesce(text, F.lit("")))), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(strip_punctuation(folded), r"(?U)\s+", " "))
 
@@ -65,19 +65,25 @@ def repair_encoding(text: str) -> str:
     return text.replace("�", "")
 
 
-def _fold_char(c: str) -> str:
-    if c in APOSTROPHES:
-        return ""
-    return " " if unicodedata.category(c)[0] == "P" else c
+class _Folds(dict):
+    """For str.translate: control characters and apostrophes go, other punctuation becomes a space."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        self[code] = to = None if c in APOSTROPHES or (kind == "Cc" and c not in "\n\r\t") else " " if kind[0] == "P" else code
+        return to
+
+
+_FOLDS = _Folds()
 
 
 def normalise_str(text: str | None) -> str:
     """The whole normal form of one text."""
     if not text:
         return ""
-    text = unicodedata.normalize("NFKC", repair_encoding(text))
-    text = "".join(c for c in text if c in "\n\r\t" or unicodedata.category(c) != "Cc").casefold()
-    return " ".join("".join(map(_fold_char, text)).split())
+    # Case folding neither makes nor needs control characters, so they go with the punctuation.
+    return " ".join(unicodedata.normalize("NFKC", repair_encoding(text)).casefold().translate(_FOLDS).split())
 
 
 @F.pandas_udf(StringType())

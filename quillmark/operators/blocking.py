@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import choose_two
-from ..functions.text import LEADING_STOPWORDS, gram_key, leading_token, normalise, token_grams
+from ..functions.text import LEADING_STOPWORDS, gram_key, leading_token, normalise_exact, token_grams
 
 MAX_BLOCK = 500
 
@@ -22,7 +22,7 @@ class SchemeUnavailable(ValueError):
 
 def gram_blocks(df: DataFrame, n: int = 3, k: int = 4, mode: str = "per_gram") -> DataFrame:
     """One block per distinct gram, or one key of the first k grams."""
-    title = normalise(F.col("title"))
+    title = normalise_exact(F.col("title"))
     if mode == "per_gram":
         return df.select(F.explode(token_grams(title, n)).alias("block_key"), "record_id")
     if mode == "single_key":
@@ -31,7 +31,7 @@ def gram_blocks(df: DataFrame, n: int = 3, k: int = 4, mode: str = "per_gram") -
 
 
 def leading_blocks(df: DataFrame, stopwords: Iterable[str] = LEADING_STOPWORDS) -> DataFrame:
-    return df.select(leading_token(normalise(F.col("title")), stopwords).alias("block_key"), "record_id").where("block_key is not null")
+    return df.select(leading_token(normalise_exact(F.col("title")), stopwords).alias("block_key"), "record_id").where("block_key is not null")
 
 
 def buyer_blocks(df: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def operating_point(curve: DataFrame, floor: float = 0.98) -> DataFrame:
 
 def sweep_single_key(df: DataFrame, truth: DataFrame, n_records: int, ks: Iterable[int], n: int = 3, most: int = MAX_BLOCK) -> DataFrame:
     """Metrics of single-key blocking for every k: one pass, k being part of the block key."""
-    grams = df.select("record_id", F.array_sort(token_grams(normalise(F.col("title")), n)).alias("g")).where(F.size("g") > 0)
+    grams = df.select("record_id", F.array_sort(token_grams(normalise_exact(F.col("title")), n)).alias("g")).where(F.size("g") > 0)
     keyed = grams.select("record_id", F.explode(F.array(*(F.lit(int(k)) for k in ks))).alias("k"), "g").select("k", "record_id", F.concat_ws("#", "k", F.array_join(F.expr("slice(g, 1, k)"), "|")).alias("block_key"))
     own = keyed.withColumn("size", F.count("*").over(Window.partitionBy("block_key"))).where(F.col("size").between(2, most))
     a, b = own.select("k", "block_key", F.col("record_id").alias("left_id")), own.select("block_key", F.col("record_id").alias("right_id"))

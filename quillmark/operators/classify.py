@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_rate
-from ..functions.text import normalise, padded_grams
+from ..functions.text import normalise_exact, padded_grams
 
 
 def _labels(train: DataFrame, label_col: str) -> list[str]:
@@ -31,7 +31,7 @@ class TfidfSvm:
         self.features, self.max_iter = features, max_iter
 
     def _terms(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_terms", padded_grams(normalise(F.col("text")), 2, 5))
+        return df.withColumn("_terms", padded_grams(normalise_exact(F.col("text")), 2, 5))
 
     def fit(self, train: DataFrame, label_col: str = "label") -> TfidfSvm:
         from pyspark.ml import Pipeline

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, safe_rate
-from ..functions.text import key_of, normalise, padded_grams, text_of
+from ..functions.text import key_of, normalise_exact, padded_grams, text_of
 from .blocking import MAX_BLOCK, block_pairs, hub_pairs
 
 
 def record_texts(records: DataFrame) -> DataFrame:
     """(record_id, text): the normal form of title and description."""
     d = F.col("description") if "description" in records.columns else F.lit(None).cast("string")
-    return records.select("record_id", normalise(text_of(F.col("title"), d)).alias("text"))
+    return records.select("record_id", normalise_exact(text_of(F.col("title"), d)).alias("text"))
 
 
 def record_keys(records: DataFrame) -> DataFrame:

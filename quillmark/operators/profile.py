@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_rate
-from ..functions.text import key_of, normalise
+from ..functions.text import key_of, normalise_exact
 from . import taxonomy
 
 
@@ -30,7 +30,7 @@ def excluded_share(df: DataFrame, wide: Iterable[str], narrow: Iterable[str]) ->
 
 def natural_duplicates(records: DataFrame) -> DataFrame:
     """One row: groups of one buyer and title key with several notices, notices in them, titles with several buyers."""
-    rows = records.where("buyer_id is not null").select("buyer_id", key_of(normalise(F.col("title"))).alias("title_key"))
+    rows = records.where("buyer_id is not null").select("buyer_id", key_of(normalise_exact(F.col("title"))).alias("title_key"))
     groups = rows.groupBy("buyer_id", "title_key").agg(F.count("*").alias("n"))
     titles = groups.groupBy("title_key").agg(F.count("*").alias("buyers"))
     return groups.agg(F.count_if(F.col("n") > 1).alias("n_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_notices")).join(titles.agg(F.count_if(F.col("buyers") > 1).alias("n_shared_titles")), F.lit(True))

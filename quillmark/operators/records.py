@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import tolerant_date
-from ..functions.text import normalise
+from ..functions.text import normalise_exact
 
 RECORD_SCHEMA = T.StructType([T.StructField(c, T.DateType() if c == "release_date" else T.StringType()) for c in ("record_id", "title", "description", "manufacturer", "model", "serial_number", "buyer_id", "cpv_code", "release_date", "source")])
 RECORD_COLUMNS = RECORD_SCHEMA.names
@@ -80,7 +80,7 @@ def discard_reason(code: Column, title: Column, description: Column, divisions:
 
 def waterfall(df: DataFrame, **rules) -> DataFrame:
     """df plus discard_reason, in one pass."""
-    return df.withColumn("discard_reason", discard_reason(F.col("cpv_code"), normalise(F.col("title")), normalise(F.col("description")), **rules))
+    return df.withColumn("discard_reason", discard_reason(F.col("cpv_code"), normalise_exact(F.col("title")), normalise_exact(F.col("description")), **rules))
 
 
 def discard_report(judged: DataFrame, *keys: str) -> DataFrame:

@@ -327,7 +327,7 @@ GROUP_SQL = f"""{PART}, dd AS (SELECT cpv_code g, record_id, {norm("title")} t F
 
 @query(f"WITH {GROUP_SQL} SELECT g cls, left_id, right_id, similarity FROM sim")
 def tfidf_in_group_similar(spark, d):
-    docs = part_records(spark, d).select(F.col("cpv_code").alias("cls"), "record_id", X.normalise(F.col("title")).alias("text"))
+    docs = part_records(spark, d).select(F.col("cpv_code").alias("cls"), "record_id", X.normalise_exact(F.col("title")).alias("text"))
     return rounded(matching.similar_in_group(docs, "cls"), "similarity")
 
 

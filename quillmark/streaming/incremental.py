@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import key_of, leading_token, normalise, token_grams
+from ..functions.text import key_of, leading_token, normalise_exact, token_grams
 from ..sources.readers import exists
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    title = normalise(F.col("title"))
+    title = normalise_exact(F.col("title"))
     return records.select("record_id", title.alias("title_norm"), key_of(title).alias("title_key"), F.coalesce(leading_token(title), F.lit("")).alias("block_key"), token_grams(title).alias("grams"))
 
 

@@ -77,6 +77,20 @@ def test_exact_pairs_of_large_groups(spark):
     assert got(matching.ExactMatcher().equal_pairs(keys, most=2)) - {("1000", str(i), 1.0) for i in range(1001, 1700)} == small - {("5", "6", 1.0)}
 
 
+def test_operators_see_through_encodings(spark):
+    same = [("ﬁlter press unit", "filter press unit"), ("ＡＢＣ pump", "abc pump"), ("CafÃ© grinder", "Café grinder")]
+    df = recs(spark, [t for p in same for t in p], buyer_id=["b"] * 6)
+    want = {("0", "1"), ("2", "3"), ("4", "5")}
+    assert {r[:2] for r in matching.ExactMatcher().equal_pairs(matching.record_keys(df)).collect()} == want
+    assert got(blocking.block_pairs(blocking.gram_blocks(df, mode="single_key"))) == want
+    assert got(blocking.block_pairs(blocking.leading_blocks(df))) == want
+    assert got(blocking.overlap_pairs(df, min_overlap=3)) == want
+    assert {r.left_id: round(r.score, 6) for r in matching.TfidfMatcher().score_pairs(pairs(spark, *want), df).collect()} == {"0": 1.0, "2": 1.0, "4": 1.0}
+    long = "laboratory ﬁlter press with a long title of more than sixty characters"
+    row = spark.createDataFrame([("1", long, long.replace("ﬁ", "fi"), "38000000")], "record_id string, title string, description string, cpv_code string")
+    assert records.waterfall(row).first().discard_reason == "desc_equals_title"
+
+
 def test_blocking_metrics(spark):
     cand = pairs(spark, ("a", "b"), ("d", "c"))
     truth = spark.createDataFrame([("b", "a", 1), ("a", "d", 1), ("c", "d", 0)], "left_id string, right_id string, label int")

@@ -2,8 +2,9 @@
 
 Every element of the page's tree gets its characters, link characters, tags and link tags; its density is characters per
 tag, corrected by a logarithm of how much of it is linked. The sum of the densities of its children is an element's
-score, and the element of the largest score holds the main text. The least density on the path from it to body is the
-threshold: elements inside it that stay below the threshold and are mostly links are dropped as well. Elements that are
+score, and the element of the largest score holds the main text, with subtrees beside its path that are as dense (see
+main_nodes). The least density on that path to body is the threshold: elements inside that stay below it and are mostly
+links are dropped as well. Elements that are
 boilerplate by name (navigation, footers, forms and so on, or such words in class and id) are cut before any counting.
 
 Edge cases: a null or empty page has an empty text; a page without markup is one block; a page cut off anywhere is read
@@ -175,28 +176,55 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node of the largest density sum and the threshold of its path to body. An article or main element that
-    holds it, and a node that adds only more of the same kind of text around it, are taken in its place."""
+def _mostly_links(x: Node) -> bool:
+    return x.link_chars * 2 > x.chars
+
+
+def _densest(x: Node) -> float:
+    most, stack = 0.0, [x]
+    while stack:
+        k = stack.pop()
+        most = max(most, k.density)
+        stack += [c for c in k.kids if type(c) is Node]
+    return most
+
+
+def main_nodes(root: Node) -> tuple[list[Node], float]:
+    """The nodes that hold the main text, in the order of the page, and the threshold of the path from the node of the
+    largest density sum to body. All outermost article and main elements that are not mostly links are taken where there
+    are any; else that node and, beside its path, all subtrees not mostly links that somewhere reach the threshold or the
+    density of the sparsest child of the node that is no heading."""
     order = measure(root)
     best = max(reversed(order), key=lambda x: x.score)
     if best.score <= 0:
         best = root
-    threshold = min((x.density for x in _up(best) if x.density > 0), default=0.0)
-    for x in _up(best):
-        if x.name in ("article", "main"):
-            return x, threshold
-    inner = [x for x in order if x.name in ("article", "main") and x.chars > 0]
+    path = list(_up(best))
+    on_path = {id(x) for x in path}
+    threshold = min((x.density for x in path if x.density > 0), default=0.0)
+    inner = [x for x in order if x.name in ("article", "main") and x.chars > 0 and not any(a.name in ("article", "main") for a in _up(x.parent))]
     if inner:
-        best = max(inner, key=lambda x: x.chars)
-    return best, threshold
+        good = {id(x) for x in inner if not _mostly_links(x)} or {id(max(inner, key=lambda x: x.chars))}
+        good |= {id(x) for x in inner if id(x) in on_path}
+    else:
+        least = min([threshold, *(k.density for k in best.kids if type(k) is Node and k.density > 0 and not k.name.startswith("h") and k.name not in INLINE)])
+        good = {id(best)}
+        for x in path[1:]:
+            good |= {id(k) for k in x.kids if type(k) is Node and id(k) not in on_path and k.chars > 0 and not _mostly_links(k) and _densest(k) >= least}
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if id(x) in good:
+            found.append(x)
+        else:
+            stack += [k for k in reversed(x.kids) if type(k) is Node]
+    return found, threshold
 
 
 def extract(page: str | None) -> str:
     """The main text: white space inside a block is one space, blocks are joined by one space."""
     if not page:
         return ""
-    node, threshold = main_node(parse(page))
+    nodes, threshold = main_nodes(parse(page))
     blocks: list[str] = []
     current: list[str] = []
 
@@ -206,7 +234,8 @@ def extract(page: str | None) -> str:
             blocks.append(text)
         current.clear()
 
-    stack: list = [node]
+    tops = {id(x) for x in nodes}
+    stack: list = [k for x in reversed(nodes) for k in (None, x, None)]
     while stack:
         x = stack.pop()
         if type(x) is str:
@@ -214,7 +243,7 @@ def extract(page: str | None) -> str:
         elif x is None:
             flush()
         else:
-            if x is not node and x.density < threshold and x.link_chars * 2 > x.chars and x.name not in INLINE:
+            if id(x) not in tops and x.density < threshold and _mostly_links(x) and x.name not in INLINE:
                 continue
             block = x.name not in INLINE
             if block:

@@ -270,6 +270,19 @@ def test_html_density_finds_the_text():
     assert text.startswith("A long sentence") and "link number" not in text
 
 
+def test_html_text_in_several_containers():
+    links = "".join(f"<a href=/{i}>link number {i}</a> " for i in range(30))
+    part = lambda c: "".join(f"<p>{c}{i} {'words of a sentence ' * 20}</p>" for i in range(5))
+    for page in (
+        f"<body><div>{links}</div><div>{part('a')}</div><div>{part('b')}</div><div>{links}</div></body>",
+        f"<body><div>{links}</div><article>{part('a')}</article><article>{part('b')}</article></body>",
+    ):
+        text = html_text.extract(page)
+        assert all(f"{c}{i} words" in text for c in "ab" for i in range(5)) and "link number" not in text
+    text = html_text.extract(f"<body><div><p>lead {'words of a sentence ' * 20}</p></div><div>{part('a')}</div><div>{links}</div></body>")
+    assert text.startswith("lead words") and "a4 words" in text and "link number" not in text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "<p>a"), (1, "u", "<p>a"), (2, "u", None)], "page_id int, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]

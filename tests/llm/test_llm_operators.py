@@ -533,10 +533,78 @@ def test_model_edges(spark):
 def test_gradient():
     rng = np.random.default_rng(0)
     bags = np.array([1, 3, 2])
-    x, y = rng.normal(size=(6, quality_model.FEATURES)), np.array([1.0, 0.0, 1.0])
+    x, y, weight = rng.normal(size=(6, quality_model.FEATURES)), np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.2, 0.3])
+    c = quality_model.counted(rng.integers(0, quality_model.CELLS, 60), rng.integers(0, 6, 60), 6)
     m = quality_model.Model()
-    loss = lambda: -np.sum(y * np.log(m.forward(x, bags)["y"]) + (1 - y) * np.log(1 - m.forward(x, bags)["y"]))
-    before = loss()
-    m.fit(x, bags, y)
-    m.center, m.scale = m.center, m.scale
-    assert loss() < before
+    _, grad = m.gradients(x, c, bags, y, weight)
+    for k, g in grad.items():
+        for at in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g).ravel())[:3]]:
+            keep, got = m.p[k][at], []
+            for step in (1e-5, -1e-5):
+                m.p[k][at] = keep + step
+                got.append(m.gradients(x, c, bags, y, weight)[0])
+            m.p[k][at] = keep
+            assert abs((got[0] - got[1]) / 2e-5 - g[at]) < 1e-6
+
+
+def plain_score(model, text):
+    """The forward pass in plain Python, from the words of one text."""
+    import math
+
+    words = WORD.findall(text)
+    raw = pa.array([text])
+    own = next(K.chunks(raw))[1]
+    x, _ = quality_model.measures(own, quality_model.pairs_of(own))
+    hashes = own.hash.tolist()
+    enc, weights = [], []
+    for k in range(max(1, -(-len(words) // quality_model.PASSAGE))):
+        part = hashes[k * quality_model.PASSAGE : (k + 1) * quality_model.PASSAGE]
+        cells = collections.Counter(h >> (64 - quality_model.CELL_BITS) for h in part)
+        for a, b in zip(part, part[1:]):
+            h = int(K.mix(np.array([a], np.uint64) + K.mix(np.array([b], np.uint64)))[0])
+            cells[(1 << quality_model.CELL_BITS) + (h >> (64 - quality_model.CELL_BITS))] += 1
+        norm = math.sqrt(max(1, sum(cells.values())))
+        p = model.p
+        h = [math.tanh(sum((float(x[k][f]) - model.center[f]) / model.scale[f] * p["W"][f][j] for f in range(quality_model.FEATURES)) + sum(n / norm * p["E"][c][j] for c, n in cells.items()) + p["b"][j]) for j in range(quality_model.HIDDEN)]
+        enc.append(h)
+        dot = lambda m, g: sum(h[j] * m[j][g] for j in range(quality_model.HIDDEN))  # noqa: B023, E731
+        weights.append(sum(math.tanh(dot(p["V"], g)) / (1 + math.exp(-dot(p["U"], g))) * p["w"][g] for g in range(quality_model.GATES)))
+    top = max(weights)
+    a = [math.exp(w - top) for w in weights]
+    z = [sum(w * h[j] for w, h in zip(a, enc)) / sum(a) for j in range(quality_model.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(z[j] * p["c"][j] for j in range(quality_model.HIDDEN)) + p["d"][0])))
+
+
+def test_scores_are_those_of_the_text_alone():
+    """Equal bits alone, first, last and in any order; and the plain forward pass."""
+    texts = [t or "" for t in random_texts(5)]
+    model = quality_model.Model()
+    model.center, model.scale = np.full(quality_model.FEATURES, 0.3), np.full(quality_model.FEATURES, 0.7)
+
+    def scores(rows, chunk=1 << 19):
+        return [y for _, w in K.chunks(pa.array(rows, pa.string()), chunk=chunk) for y in model.score_words(w)]
+
+    alone = [scores([t])[0] for t in texts]
+    assert scores(texts) == alone and scores(texts[::-1])[::-1] == alone and scores(texts, chunk=700) == alone
+    for t, y in list(zip(texts, alone))[:40]:
+        assert abs(plain_score(model, t) - y) < 1e-9
+
+
+def test_measures_know_no_neighbour():
+    for tail in ("beta gamma", "zeta alpha", ""):
+        w = next(K.chunks(pa.array(["alpha beta alpha", tail, "alpha"])))[1]
+        first = quality_model.measures(w, quality_model.pairs_of(w))[0][0]
+        alone = next(K.chunks(pa.array(["alpha beta alpha"])))[1]
+        assert (first == quality_model.measures(alone, quality_model.pairs_of(alone))[0][0]).all()
+
+
+def test_training_sample_is_bounded(spark):
+    d = docs_of(spark, [f"word{i} other{i} " * 40 for i in range(60)] * 2, [i for i in range(60)] * 2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    keep, quality_model.Model.fit = quality_model.Model.fit, lambda self, x, cells, labels: seen.append((len(x), sum(map(len, x)))) or self
+    try:
+        quality_model.train(d.withColumn("quality", F.lit(9)), labels, rows=30, passages=12)
+    finally:
+        quality_model.Model.fit = keep
+    assert seen[0][0] <= 6 and 0 < seen[0][1] <= 12

@@ -1,16 +1,24 @@
 """Benchmark decontamination by the q-gram lemma, with banded alignment as proof.
 
 An item of m characters that stands in a text with at most k edits shares m - Q + 1 - k * Q of its q-grams with it, all
-inside a band of diagonals no wider than k. Hits of q-grams are counted in overlapping bands (2k wide, every k); bands
-that reach the bound are aligned within the band, and the text is contaminated when the item fits within its edit budget
-k = floor(EDITS * m). Texts and items are compared case-folded, with white space as one space.
+inside a band of diagonals no wider than k. Hits of q-grams are counted in overlapping bands (2k wide, every k);
+neighbouring bands that reach the bound form a region, which is aligned within the band, and the text is contaminated when
+the item fits within its edit budget k = floor(EDITS * m). Items under Q characters have no q-gram: they count where they
+stand exactly, with no letter or digit beside them. Texts and items are compared case-folded, white space as one space.
 
-Items come in blocks of at most BLOCK_CHARS characters, each broadcast in turn; the texts pass all blocks in one stage
-without a shuffle. Counting uses numpy over a slice of texts of about CHUNK characters.
+Repeated q-grams (rules of dashes, say) would give hits x places of the item. A slice of text with more than MOST_HITS of
+them is halved down to LEAST_SLICE characters; beyond that its costliest q-grams are left out of the count, and the bound
+of each item falls by the places it loses, so nothing is missed. Items that lose too many are looked for by the number of
+their q-grams in a stretch of text; equal stretches are aligned once.
 
-Edge cases: null and empty texts are clean; null ids of documents are kept; null or repeated items count once, items under
-LEAST_CHARS characters are not looked for (they say too little), nor are null texts of items; an empty benchmark leaves
-every text clean; repeated rows are judged each for itself."""
+Items come in blocks of at most BLOCK_CHARS characters, each broadcast for itself; a worker takes its texts past all
+blocks in one pass, without a shuffle, and keeps CACHED indexes.
+
+Edge cases: null and empty texts are clean; null ids of documents are kept; items of null or blank text are not looked
+for; items of equal normal form count once, under the least id (null first); very long texts are searched whole, in
+slices that overlap by an item; of several places of an item the one of fewest edits is reported; an empty benchmark
+leaves every text clean, an empty table gives an empty result; repeated rows are judged each for itself. clean() keeps all
+columns of docs as they are, mark() reads the id and text alone, so names of other columns never clash."""
 
 from __future__ import annotations
 
@@ -20,20 +28,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .scratch import bounded
 
 Q = 8
 EDITS = 0.08
-LEAST_CHARS = 20
-BLOCK_CHARS = 4_000_000
-CHUNK = 1 << 20
+BLOCK_CHARS = 2_000_000
+CHUNK, LEAST_SLICE = 1 << 20, 1 << 16
+#: Pairs of a hit and a place of an item that are counted at a time (some 100 MB).
+MOST_HITS = 2_000_000
+#: Indexes that a worker keeps; with more blocks it holds HELD bytes of texts for each pass.
+CACHED, HELD = 2, 32 << 20
+#: Alignments remembered by their text.
+MEMO = 20_000
 _U = np.uint64
 _B1 = 0x9E3779B97F4A7C15 | 1
 _BASE = [_U(pow(_B1, e, 2**64)) for e in (1, 2, 4)]
 _SPREAD = _U(0xD6E8FEB86659FD93)
 TABLE_BITS = 22
+END = "\0"
 
 
 def normal(text: str) -> str:
@@ -80,79 +93,176 @@ def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> int | No
 class Index:
     """Q-grams of a block of items, and the search of texts for them."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
+        self.short: dict[int, list[tuple[int | None, str]]] = {}
+        for i, t in items:
+            if 0 < len(t) < Q:
+                self.short.setdefault(len(t), []).append((i, t))
+        items = [x for x in items if len(x[1]) >= Q]
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.points = [code_points(t) for t in self.texts]
         self.size = np.array([len(p) for p in self.points], np.int64)
         self.budget = np.floor(self.size * edits + 1e-9).astype(np.int64)
         self.budget = np.minimum(self.budget, (self.size - Q) // Q).clip(0)  # beyond it the lemma says nothing
         self.least = self.size - Q + 1 - self.budget * Q
+        self.reach = int((self.size + self.budget).max(initial=0))
         own = [grams(p) for p in self.points]
         every = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        where = np.concatenate([np.full(len(g), i) for i, g in enumerate(own)]) if own else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in own]) if own else np.zeros(0, np.int64)
+        where = np.repeat(np.arange(len(own), dtype=np.int32), [len(g) for g in own])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in own]) if own else np.zeros(0, np.int32)
         order = np.argsort(every, kind="stable")
         self.item, self.place = where[order], place[order]
         self.gram, self.first = np.unique(every[order], return_index=True)
         self.first = np.append(self.first, len(every))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.gram >> _U(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.memo: dict[tuple[int, str], int | None] = {}
 
-    def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """(item id, start, end of the band, edits) for each normalised text."""
-        found: list[list] = [[] for _ in texts]
+    def search(self, texts: list[str]) -> list[dict[int | None, int]]:
+        """{item id: least edits} for each normalised text."""
+        found: list[dict[int, int]] = [{} for _ in texts]
         at = 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) < CHUNK):
                 size += len(texts[to]) + 1
                 to += 1
-            self._slice(texts, at, to, found)
+            pieces = [(d, 0, len(texts[d])) for d in range(at, to)]
+            if self.ids:
+                self._pieces(texts, pieces, found)
             at = to
-        return found
-
-    def _slice(self, texts: list[str], at: int, to: int, found: list[list]) -> None:
-        points = code_points("\0".join(texts[at:to]))
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts[at:to])])
+        out: list[dict[int | None, int]] = [{self.ids[i]: e for i, e in x.items()} for x in found]
+        if self.short:
+            for d, text in enumerate(texts):
+                out[d] |= dict.fromkeys(self._short_in(text), 0)
+        return out
+
+    def _short_in(self, text: str) -> list[int | None]:
+        """Ids of the items under Q characters that stand in a text with no letter or digit beside them."""
+        out: list[int | None] = []
+        for items in self.short.values():
+            for i, t in items:
+                at = text.find(t)
+                while at >= 0:
+                    to = at + len(t)
+                    if not (at and text[at - 1].isalnum()) and not (to < len(text) and text[to].isalnum()):
+                        out.append(i)
+                        break
+                    at = text.find(t, at + 1)
+        return out
+
+    def _pieces(self, texts: list[str], pieces: list[tuple[int, int, int]], found: list[dict[int, int]]) -> None:
+        """Counts the hits of pieces (text, from, to) of texts and aligns the regions that reach the bound."""
+        points = code_points(END.join(texts[d][a:z] for d, a, z in pieces))
         hashes = grams(points)
         hit = np.flatnonzero(self.table[(hashes >> _U(64 - TABLE_BITS)).astype(np.int64)])
-        if not len(hit):
-            return
         g = np.searchsorted(self.gram, hashes[hit]).clip(max=len(self.gram) - 1)
         same = self.gram[g] == hashes[hit]
         hit, g = hit[same], g[same]
         if not len(hit):
             return
         many = self.first[g + 1] - self.first[g]
-        where = np.repeat(self.first[g], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        item = self.item[where]
+        cold = np.ones(len(g), bool)
+        need = self.least
+        if int(many.sum()) > MOST_HITS:
+            if len(pieces) > 1:
+                self._pieces(texts, pieces[: len(pieces) // 2], found)
+                self._pieces(texts, pieces[len(pieces) // 2 :], found)
+                return
+            d, a, z = pieces[0]
+            if z - a > max(LEAST_SLICE, 4 * self.reach):
+                middle = (a + z) // 2
+                self._pieces(texts, [(d, a, middle + self.reach)], found)
+                self._pieces(texts, [(d, middle, z)], found)
+                return
+            # The cheapest q-grams that keep within the bound are counted; items lose the places of the others.
+            kinds, which, times = np.unique(g, return_inverse=True, return_counts=True)
+            cost = times * (self.first[kinds + 1] - self.first[kinds])
+            order = np.argsort(cost, kind="stable")
+            dear = np.zeros(len(kinds), bool)
+            dear[order[np.cumsum(cost[order]) > MOST_HITS]] = True
+            cold = ~dear[which]
+            lost = np.bincount(self.item[_ranges(self.first[kinds[dear]], self.first[kinds[dear] + 1])], minlength=len(self.ids))
+            need = self.least - lost
+        begins = np.cumsum([0, *(z - a + 1 for _, a, z in pieces)])
+        for i, low, high in self._banded(hit[cold], g[cold], need):
+            self._align(texts, pieces, begins, i, low, high, found)
+        for i in np.flatnonzero(need < 1).tolist():
+            for low, high in self._crowded(i, hit, g):
+                self._align(texts, pieces, begins, i, low, high, found)
+
+    def _banded(self, hit: np.ndarray, g: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to) of regions whose bands have the hits that an item needs."""
+        many = self.first[g + 1] - self.first[g]
+        where = _ranges(self.first[g], self.first[g + 1])
+        item = self.item[where].astype(np.int64)
         diagonal = np.repeat(hit, many) - self.place[where] + self.size[item]  # never negative
         step = np.maximum(self.budget[item], 1)
         band = diagonal // step
         keys = np.concatenate([item << 40 | band, item << 40 | (band - 1).clip(0)])
         keys, counts = np.unique(keys, return_counts=True)
-        item, band = keys >> 40, keys & ((1 << 40) - 1)
-        enough = counts >= self.least[item]
-        done: set[tuple[int, int]] = set()
-        for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
+        item = keys >> 40
+        keys = keys[(counts >= need[item]) & (need[item] > 0)]
+        if not len(keys):
+            return
+        cut = np.flatnonzero(np.diff(keys) > 1) + 1
+        for a, z in zip(keys[np.r_[0, cut]].tolist(), keys[np.r_[cut, len(keys)] - 1].tolist(), strict=True):
+            i = a >> 40
             k, size = int(self.budget[i]), int(self.size[i])
-            low = b * max(k, 1) - size - k
-            high = low + 4 * max(k, 1) + size + k
-            # A band at a border of texts is tried in each text that it touches.
-            first = max(0, int(np.searchsorted(begins, max(low, 0), "right")) - 1)
-            for d in range(first, to - at):
-                if begins[d] >= high:
-                    break
-                if (d, i) in done:
-                    continue
-                text = texts[at + d]
-                a, z = max(0, low - int(begins[d])), min(len(text), high - int(begins[d]))
-                if z - a < size - k:
-                    continue
-                edits = 0 if self.texts[i] in text[a:z] else banded_distance(self.points[i], code_points(text[a:z]), k) if k else None
-                if edits is not None:
-                    done.add((d, i))
-                    found[at + d].append((self.ids[i], a, z, edits))
+            step, mask = max(k, 1), (1 << 40) - 1
+            yield i, (a & mask) * step - size - k, (z & mask) * step + 2 * step + k
+
+    def _crowded(self, i: int, hit: np.ndarray, g: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches of text, as long as the item may be, that hold enough q-grams of it in any order."""
+        mine = np.zeros(len(self.gram), bool)
+        mine[np.searchsorted(self.gram, grams(self.points[i]))] = True
+        at = hit[mine[g]]
+        reach, least = int(self.size[i] + self.budget[i]), int(self.least[i])
+        # A stretch from at[j] on has enough where the hit `least` - 1 further on is still within reach.
+        at = at[: max(0, len(at) - least + 1)][at[least - 1 :] - at[: max(0, len(at) - least + 1)] < reach]
+        if not len(at):
+            return
+        cut = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+        for a, z in zip(at[np.r_[0, cut]].tolist(), at[np.r_[cut, len(at)] - 1].tolist(), strict=True):
+            yield a - reach, z + reach
+
+    def _align(self, texts: list[str], pieces: list, begins: np.ndarray, i: int, low: int, high: int, found: list[dict[int, int]]) -> None:
+        """Aligns item i with the region low to high, in each piece that it touches."""
+        size, k = int(self.size[i]), int(self.budget[i])
+        for p in range(max(0, int(np.searchsorted(begins, max(low, 0), "right")) - 1), len(pieces)):
+            if begins[p] >= high:
+                return
+            d, begin, end = pieces[p]
+            a, z = begin + max(0, low - int(begins[p])), min(end, begin + high - int(begins[p]))
+            best = found[d].get(i, k + 1)
+            if z - a < size - k or best == 0:
+                continue
+            text = texts[d]
+            if text.find(self.texts[i], a, z) >= 0:
+                found[d][i] = 0
+            elif k:
+                # Long regions go window by window, each with the reach of the item beyond the next one's begin.
+                stride = max(size, Q * Q)
+                for x in range(a, z, stride):
+                    window = text[x : min(z, x + stride + size + k)]
+                    if len(window) >= size - k and (e := self._edits(i, window)) is not None and e < best:
+                        best = found[d][i] = e
+                        if e == 1:
+                            break
+
+    def _edits(self, i: int, window: str) -> int | None:
+        key = (i, window)
+        if key not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[key] = banded_distance(self.points[i], code_points(window), int(self.budget[i]))
+        return self.memo[key]
+
+
+def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The numbers from each a up to its z, one range after another."""
+    many = z - a
+    return np.repeat(a - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list:
@@ -164,8 +274,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).select("id", "text").toArrow()
         own: dict[str, int | None] = {}
-        for i, t in sorted(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            if len(t := normal(t)) >= LEAST_CHARS:
+        for i, t in sorted(zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+            if t := normal(t):
                 own.setdefault(t, i)
         if own:
             out.append(benchmark.sparkSession.sparkContext.broadcast([(i, t) for t, i in own.items()]))
@@ -176,47 +286,60 @@ _BUILT: dict = {}
 
 
 def _index(block) -> Index:
-    """One index a worker and block, built once."""
+    """The index of a block; a worker keeps the last CACHED ones."""
     if (key := id(block)) not in _BUILT:
-        _BUILT.clear()
+        while len(_BUILT) >= CACHED:
+            _BUILT.pop(next(iter(_BUILT)))
         _BUILT[key] = (block, Index(block.value))
     return _BUILT[key][1]
 
 
+def _searched(batches: Iterator[pa.RecordBatch], own: list, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Each batch with what all blocks find in its texts. All blocks pass in one go over the texts held."""
+    held: list[pa.RecordBatch] = []
+    room = HELD if len(own) > CACHED else 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+        texts = [[normal(v.as_py() or "") for v in b.column(b.schema.get_field_index(text_col))] for b in held]
+        found: list[list[dict]] = [[{} for _ in t] for t in texts]
+        for block in own:
+            index = _index(block)
+            for t, f in zip(texts, found, strict=True):
+                for mine, new in zip(f, index.search(t), strict=True):
+                    mine |= new
+        yield from zip(held, found, strict=True)
+        held.clear()
+
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            held.append(batch.slice(at, 500))
+            if sum(b.nbytes for b in held) > room:
+                yield from flush()
+    yield from flush()
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_items, items, contaminated): one row for each row of docs; items are item:edits, joined by commas."""
-    now = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit("").alias("items"))
-    for block in blocks(benchmark):
+    slim = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = blocks(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = _index(block)
-            for batch in batches:
-                for at in range(0, len(batch), 500):
-                    part = batch.slice(at, 500)
-                    found = index.search([normal(v.as_py() or "") for v in part.column("text")])
-                    items = [",".join(filter(None, [old.as_py(), *(f"{i}:{e}" for i, _, _, e in sorted(x, key=lambda y: (y[0] is None, y[0] or 0)))])) for old, x in zip(part.column("items"), found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(items, pa.string())], names=["doc_id", "text", "items"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _searched(batches, own, "text"):
+            items = [",".join(f"{i}:{e}" for i, e in sorted(x.items(), key=lambda y: (y[0] is not None, y[0] or 0))) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(items, pa.string()), pa.array([bool(x) for x in found])], names=["doc_id", "n_items", "items", "contaminated"])
 
-        now = now.mapInArrow(run, f"doc_id {now.schema['doc_id'].dataType.simpleString()}, text string, items string")
-    size = F.when(F.col("items") == "", F.lit(0)).otherwise(F.size(F.split("items", ",")))
-    return now.select("doc_id", size.cast("long").alias("n_items"), "items", (F.col("items") != "").alias("contaminated"))
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_items bigint, items string, contaminated boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without contaminated rows; all columns stay."""
-    schema: StructType = bounded(docs).schema
-    for block in blocks(benchmark):
+    own = blocks(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = _index(block)
-            for batch in batches:
-                for at in range(0, len(batch), 500):
-                    part = batch.slice(at, 500)
-                    found = index.search([normal(v.as_py() or "") for v in part.column(part.schema.get_field_index(text_col))])
-                    yield part.filter(pa.array([not x for x in found], pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _searched(batches, own, text_col):
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

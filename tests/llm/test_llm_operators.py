@@ -420,12 +420,40 @@ def test_leaks_within_the_budget_are_found():
     index = decontaminate.Index(list(enumerate(items)))
     noise = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(0, 60)))
     texts = []
-    for _ in range(150):
+    for _ in range(60):
         i = rng.randrange(25)
         texts.append(decontaminate.normal(f"{noise()} {edited(rng, items[i], rng.randint(0, int(index.budget[i]) + 3))} {noise()}"))
     for text, found in zip(texts, index.search(texts), strict=True):
         want = {i for i, item in enumerate(items) if best_distance(item, text) <= index.budget[i]}
-        assert {f[0] for f in found} == want
+        assert set(found) == want
+        assert all(e == best_distance(items[i], text) for i, e in found.items())
+
+
+@pytest.mark.parametrize("most", [1, 40, 400])
+def test_leaks_among_repeated_grams(monkeypatch, most):
+    """Rules of dashes and repeated words, in slices as small as they get: still what a full alignment finds."""
+    monkeypatch.setattr(decontaminate, "MOST_HITS", most)
+    monkeypatch.setattr(decontaminate, "LEAST_SLICE", 150)
+    rng = random.Random(most)
+    word = lambda: rng.choice(["--------------------", "=-=-=-=-", "abc", "abcabcabcabc", "".join(rng.choice("abcdefgh") for _ in range(9))])
+    items = [decontaminate.normal(" ".join(word() for _ in range(rng.randint(2, 6)))) for _ in range(10)] + ["-" * 60]
+    items = list(dict.fromkeys(t for t in items if len(t) >= decontaminate.Q))
+    index = decontaminate.Index(list(enumerate(items)))
+    texts = [decontaminate.normal(" ".join(word() for _ in range(rng.randint(0, 12))) + " " + edited(rng, rng.choice(items), rng.randint(0, 4)) + " " + " ".join(word() for _ in range(rng.randint(0, 12)))) for _ in range(12)] + ["-" * 300]
+    for text, found in zip(texts, index.search(texts), strict=True):
+        want = {i: best_distance(item, text) for i, item in enumerate(items)}
+        assert found == {i: e for i, e in want.items() if e <= index.budget[i]}
+
+
+def test_a_megabyte_of_dashes_is_searched_fast():
+    import time
+
+    rng = random.Random(1)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(k))
+    index = decontaminate.Index([(i, f"{words(15)} {'-' * 60} {words(12)}") for i in range(200)])
+    began = time.process_time()
+    assert index.search(["-" * 1_000_000, f"{'-' * 5000} {index.texts[7]}"]) == [{}, {7: 0}]
+    assert time.process_time() - began < 5
 
 
 def test_banded_distance():
@@ -440,15 +468,19 @@ def test_banded_distance():
 
 def test_leak_rows(spark, monkeypatch):
     long = "the quick brown fox jumps over the lazy dog and runs away"
-    bench = spark.createDataFrame([(1, long), (1, long), (2, None), (3, "tiny"), (None, "another passage that is long enough to count")], "item_id long, text string")
-    texts = [None, "", f"x {long.upper()} y", "clean text", "ANOTHER passage  that is\nlong enough to count", "tiny"]
-    d = docs_of(spark, texts)
-    for block in (4_000_000, 60):
+    bench = spark.createDataFrame([(1, long), (1, long), (2, None), (3, "tiny"), (5, " "), (6, "a-b"), (None, "another passage that is long enough to count")], "item_id long, text string")
+    texts = [None, "", f"x {long.upper()} y", "clean text of tinyness a-bc", "ANOTHER passage  that is\nlong enough to count", "(Tiny)", "xa-b a-b", "y " * 200_000 + long]
+    d = docs_of(spark, texts).withColumn("items", F.lit("clash")).withColumn("n_items", F.lit(7)).withColumn("item_id", F.lit(1))
+    want = {0: "", 1: "", 2: "1:0", 3: "", 4: "None:0", 5: "3:0", 6: "6:0", 7: "1:0"}
+    for block, cached in ((4_000_000, 2), (60, 2), (60, 0)):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
-        out = {r.doc_id: r.contaminated for r in decontaminate.mark(d, bench).collect()}
-        assert out == {0: False, 1: False, 2: True, 3: False, 4: True, 5: False}
-        assert {r.doc_id for r in decontaminate.clean(d, bench).collect()} == {0, 1, 3, 5}
-    assert decontaminate.clean(d, bench.limit(0)).count() == 6
+        monkeypatch.setattr(decontaminate, "CACHED", max(1, cached))
+        out = {r.doc_id: r for r in decontaminate.mark(d, bench).collect()}
+        assert {i: r["items"] for i, r in out.items()} == want and all(r.contaminated == (r.n_items > 0) == bool(want[i]) for i, r in out.items())
+        left = decontaminate.clean(d, bench)
+        assert {r.doc_id for r in left.collect()} == {0, 1, 3} and left.columns == d.columns
+    assert decontaminate.clean(d, bench.limit(0)).count() == 8 and decontaminate.mark(d, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.mark(d.limit(0), bench).count() == 0 and decontaminate.mark(d.union(d), bench).where("contaminated").count() == 10
 
 
 # 8 Shards.

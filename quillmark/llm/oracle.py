@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 from .quality_rules import FENCES, LEAST_ROWS
-from .url_filters import LOWER, MAX_DEPTH, RULES, UPPER
+from .url_filters import LOWER, RULES, UPPER
 
 SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
-def url_filters(max_children: int = 50, z: float = 1.96, strength: float = 20.0, least: float = 0.5) -> str:
+def url_filters(max_children: int = 50, z: float = 1.96, strength: float = 20.0, least: float = 0.5, levels: int = 12) -> str:
+    """levels is the deepest path that the SQL follows; the operator has no such bound."""
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1] + r[2]}'" for r in rules) + " END"
     told = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in rules) + " END"
     kind = r"CASE WHEN regexp_matches(s, '^[0-9]+(\.[a-z]{2,5})?$') THEN '{n}' WHEN regexp_matches(s, '^[0-9a-f-]{8,}(\.[a-z]{2,5})?$') AND regexp_matches(s, '[0-9]') THEN '{h}' ELSE s END"
-    parts = "list_filter(string_split(path, '/'), lambda s: s <> '')"
-    raw = f"list_concat(list_transform(list_slice({parts}, 1, {MAX_DEPTH}), lambda s: {kind}), CASE WHEN len({parts}) > {MAX_DEPTH} THEN ['**'] ELSE [] END)"
-    sql = rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path FROM pages),
- r AS (SELECT *, {raw} raw, TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) doc FROM u), lb AS (SELECT doc_id, min(quality) quality FROM labels GROUP BY 1),
- t0 AS (SELECT host, raw, '' node, count(*) n, sum(coalesce(quality, 0)) good, count(quality) labelled FROM r LEFT JOIN lb ON doc_id = doc GROUP BY 1, 2)"""
-    for k in range(MAX_DEPTH + 1):
-        sql += f""", c{k} AS (SELECT host, node, raw[{k + 1}] p, sum(n) c FROM t{k} WHERE len(raw) > {k} GROUP BY 1, 2, 3), w{k} AS (SELECT host, node, 1 wild FROM c{k} GROUP BY 1, 2 HAVING count(*) > {max_children} AND sum(c) < count(*) * 8),
- t{k + 1} AS (SELECT host, raw, CASE WHEN len(raw) <= {k} THEN node WHEN wild = 1 THEN node || '/*' ELSE node || '/' || raw[{k + 1}] END node, n, good, labelled FROM t{k} LEFT JOIN w{k} USING (host, node))"""
-    return sql + f""", nd AS (SELECT host, node, sum(good) good, sum(labelled) labelled FROM t{MAX_DEPTH + 1} GROUP BY 1, 2), hs AS (SELECT host, (sum(good) + 1) / (sum(labelled) + 2) share FROM nd GROUP BY 1), pr AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) prior FROM nd),
- m AS (SELECT nd.*, prior, labelled = 0 OR abs(good / greatest(labelled, 1) - share) <= {z} * sqrt(share * (1 - share) / greatest(labelled, 1)) merged FROM nd JOIN hs USING (host), pr),
- p AS (SELECT host, node, prior, CASE WHEN merged THEN sum(good) FILTER (merged) OVER (PARTITION BY host) ELSE good END g, CASE WHEN merged THEN sum(labelled) FILTER (merged) OVER (PARTITION BY host) ELSE labelled END l FROM m),
- v AS (SELECT host, node, (g + {strength} * prior) / (l + {strength}) purity FROM p)
- SELECT page_id, r.host, path, {rule.replace('host', 'r.host')} "rule", node "template", round(purity, 9) purity, coalesce({told.replace('host', 'r.host')}, CASE WHEN purity < {least} THEN 'block' ELSE 'allow' END) verdict FROM r JOIN t{MAX_DEPTH + 1} USING (host, raw) JOIN v USING (host, node)"""
+    raw = f"list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind})"
+    apart = lambda share: f"abs(good / labelled - {share}) > {z} * sqrt({share} * (1 - {share}) / labelled)"
+    sql = rf"""WITH u AS MATERIALIZED (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path FROM pages),
+ r AS MATERIALIZED (SELECT *, {raw} raw, TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) doc FROM u), lb AS (SELECT doc_id, min(quality) quality FROM labels GROUP BY 1),
+ t0 AS MATERIALIZED (SELECT host, raw, '' node, count(*) n, sum(coalesce(quality, 0)) good, count(quality) labelled FROM r LEFT JOIN lb ON doc_id = doc GROUP BY 1, 2)"""
+    for k in range(levels):
+        sql += f""", c{k} AS MATERIALIZED (SELECT host, node, raw[{k + 1}] p, sum(n) c, count(*) OVER w > {max_children} AND sum(n) * {max_children} < sum(sum(n)) OVER w wild FROM t{k} WHERE len(raw) > {k} GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY host, node)),
+ t{k + 1} AS MATERIALIZED (SELECT t.host, raw, CASE WHEN len(raw) <= {k} THEN t.node WHEN wild THEN t.node || '/*' ELSE t.node || '/' || raw[{k + 1}] END node, n, good, labelled FROM t{k} t LEFT JOIN c{k} c ON c.host = t.host AND c.node = t.node AND c.p = raw[{k + 1}])"""
+    sql += f""", b{levels} AS MATERIALIZED (SELECT host, node, len(string_split(node, '/')) - 1 depth, sum(good) good, sum(labelled) labelled FROM t{levels} GROUP BY 1, 2 HAVING sum(labelled) > 0), pr AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) prior FROM t0)"""
+    for k in range(levels, 0, -1):
+        sql += f""", kid{k} AS MATERIALIZED (SELECT *, array_to_string(list_slice(string_split(node, '/'), 1, {k}), '/') up FROM b{k} WHERE depth = {k}),
+ pool{k} AS (SELECT host, up, (sum(good) + 1) / (sum(labelled) + 2) p FROM (SELECT host, up, good, labelled FROM kid{k} UNION ALL SELECT host, node, good, labelled FROM b{k} WHERE depth = {k - 1}) GROUP BY 1, 2),
+ j{k} AS MATERIALIZED (SELECT *, {apart("p")} split, good / labelled > p high FROM kid{k} JOIN pool{k} USING (host, up)), side{k} AS (SELECT host, up, high, (sum(good) + 1) / (sum(labelled) + 2) q FROM j{k} WHERE split GROUP BY 1, 2, 3),
+ e{k} AS MATERIALIZED (SELECT *, NOT ({apart("q")}) alike FROM j{k} JOIN side{k} USING (host, up, high) WHERE split),
+ s{k} AS MATERIALIZED (SELECT host, node branch, CASE WHEN alike THEN sum(good) FILTER (alike) OVER w ELSE good END good, CASE WHEN alike THEN sum(labelled) FILTER (alike) OVER w ELSE labelled END labelled FROM e{k} WINDOW w AS (PARTITION BY host, up, high)),
+ b{k - 1} AS MATERIALIZED (SELECT host, node, depth, sum(good) good, sum(labelled) labelled FROM (SELECT host, node, depth, good, labelled FROM b{k} WHERE depth < {k} UNION ALL SELECT host, up, {k - 1}, good, labelled FROM j{k} WHERE NOT split) GROUP BY 1, 2, 3)"""
+    every = " UNION ALL ".join(f"SELECT host, branch, good, labelled FROM s{k}" for k in range(1, levels + 1))
+    return sql + f""", br AS MATERIALIZED ({every} UNION ALL SELECT host, node, good, labelled FROM b0), nd AS (SELECT DISTINCT host, node FROM t{levels}),
+ best AS MATERIALIZED (SELECT nd.host, nd.node, br.branch, good, labelled FROM nd LEFT JOIN br ON br.host = nd.host AND (br.branch = nd.node OR starts_with(nd.node, br.branch || '/')) QUALIFY row_number() OVER (PARTITION BY nd.host, nd.node ORDER BY length(br.branch) DESC) = 1),
+ v AS (SELECT host, node, coalesce(branch, '') branch, coalesce((good + {strength} * prior) / (labelled + {strength}), prior) purity FROM best, pr)
+ SELECT page_id, r.host, path, {rule.replace('host', 'r.host')} "rule", node "template", branch, round(purity, 9) purity, coalesce({told.replace('host', 'r.host')}, CASE WHEN purity < {least} THEN 'block' ELSE 'allow' END) verdict FROM r JOIN t{levels} USING (host, raw) JOIN v USING (host, node)"""
 
 
 def quality_rules() -> str:

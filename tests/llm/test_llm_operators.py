@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmark.llm import bitmap, bpe, components, decontaminate, html_text, jaccard_join, kd_shards, pii, quality_model, quality_rules, substring_dedup, url_filters
+from quillmark.llm import bitmap, bpe, components, decontaminate, html_text, jaccard_join, kd_shards, oracle, pii, quality_model, quality_rules, substring_dedup, url_filters
 from quillmark.llm import textkernel as K
 
 DATA = "/root/testdata/sf0.001"
@@ -101,9 +101,8 @@ def test_bitmap_never_forgets(spark):
 # 1 URL filters.
 
 
-@pytest.mark.parametrize(
-    ("url", "host", "path", "rule", "verdict"),
-    [
+def test_url_rules(spark):
+    cases = [
         ("https://WWW.Example.NET/en/1?x=1", "www.example.net", "/en/1", "example.net/en/", "allow"),
         ("http://a.net/x#y", "a.net", "/x", "net/", "block"),
         ("http://notexample.com/de/1", "notexample.com", "/de/1", None, "allow"),
@@ -113,12 +112,10 @@ def test_bitmap_never_forgets(spark):
         ("http://net", "net", "", None, "allow"),
         ("no scheme", "", "", None, "allow"),
         (None, "", "", None, "allow"),
-    ],
-)
-def test_url_rules(spark, url, host, path, rule, verdict):
-    pages = spark.createDataFrame([(1, url, "h")], "page_id long, url string, host string")
-    r = url_filters.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int")).collect()
-    assert [(x.host, x.path, x.rule, x.verdict) for x in r] == [(host, path, rule, verdict)]
+    ]
+    pages = spark.createDataFrame([(i, c[0], "h") for i, c in enumerate(cases)], "page_id long, url string, host string")
+    out = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filters.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert out == {i: c[1:] for i, c in enumerate(cases)}
 
 
 def test_impure_templates_are_blocked(spark):
@@ -129,9 +126,103 @@ def test_impure_templates_are_blocked(spark):
     assert v["/good/{n}", "allow"] == 60 and v["/bad/{n}", "block"] == 60 and v["/u/*/x", "allow"] == 70
 
 
-def test_url_rules_bound(spark):
-    with pytest.raises(ValueError):
-        url_filters.match_rules(F.lit("a"), F.lit("b"), [("block", "a", "/")] * 1001)
+def plain_tree(rows, quality, kids_most, z, strength):
+    """The tree by dictionaries: {page: (template, branch, purity)} from rows (page, host, segments, document)."""
+    label = {p: quality.get(d) for p, _, _, d in rows}
+    node = {p: () for p, *_ in rows}
+    for k in range(max(len(s) for _, _, s, _ in rows)):
+        count = collections.defaultdict(collections.Counter)
+        for p, h, s, _ in rows:
+            if len(s) > k:
+                count[h, node[p]][s[k]] += 1
+        for p, h, s, _ in rows:
+            if len(s) > k:
+                c = count[h, node[p]]
+                node[p] = (*node[p], "*" if len(c) > kids_most and c[s[k]] * kids_most < c.total() else s[k])
+    now, found = collections.defaultdict(lambda: [0, 0]), {}
+    for p, h, _, _ in rows:
+        if label[p] is not None:
+            now[h, node[p]][0] += label[p]
+            now[h, node[p]][1] += 1
+    apart = lambda g, n, share: abs(g / n - share) > z * (share * (1 - share) / n) ** 0.5
+    for k in range(max((len(t) for _, t in now), default=0), 0, -1):
+        ups = collections.defaultdict(list)
+        for (h, t), c in list(now.items()):
+            if len(t) in (k, k - 1):
+                ups[h, t[: k - 1]].append((t, *c))
+        for (h, up), kids in ups.items():
+            share = (sum(g for _, g, _ in kids) + 1) / (sum(n for *_, n in kids) + 2)
+            off = [x for x in kids if len(x[0]) == k and apart(x[1], x[2], share)]
+            for t, g, n in kids:
+                if len(t) == k and (t, g, n) not in off:
+                    now[h, up][0] += g
+                    now[h, up][1] += n
+                if len(t) == k:
+                    del now[h, t]
+            for high in (True, False):
+                side = [x for x in off if (x[1] / x[2] > share) == high]
+                both = (sum(g for _, g, _ in side) + 1) / (sum(n for *_, n in side) + 2)
+                like = [x for x in side if not apart(x[1], x[2], both)]
+                for x in side:
+                    found[h, x[0]] = (sum(y[1] for y in like), sum(y[2] for y in like)) if x in like else x[1:]
+    found |= {(h, ()): tuple(c) for (h, t), c in now.items()}
+    marks = [v for v in label.values() if v is not None]
+    prior = (sum(marks) + 1) / (len(marks) + 2)
+    out = {}
+    for p, h, _, _ in rows:
+        at = next((node[p][:d] for d in range(len(node[p]), -1, -1) if (h, node[p][:d]) in found), None)
+        g, n = found.get((h, at), (None, None))
+        text = lambda t: "".join("/" + x for x in t)
+        out[p] = (text(node[p]), text(at or ()), round(prior if g is None else (g + strength * prior) / (n + strength), 9))
+    return out
+
+
+def test_url_tree_is_that_of_dictionaries(spark):
+    """Paths of up to 12 levels, wide and narrow nodes, good and bad branches; the SQL agrees as well."""
+    import duckdb
+
+    rng = random.Random(5)
+    rows, urls, quality = [], [], {}
+    for p in range(900):
+        host = rng.choice(["a.example", "b.example"])
+        kind = rng.randrange(4)
+        s = [["blog", f"user{rng.choice('abcdefghijk')}{rng.choice('abc')}", rng.choice("xyz")], ["hot" if rng.random() < 0.5 else f"s{rng.choice('abcdefghijklmnop')}", "p"], [*"abcdefghij"[: rng.randint(1, 10)], rng.choice(["spam", "news"])], ["old", rng.choice("qrs")]][kind]
+        if rng.random() < 0.9:
+            s = [*s, "{n}"]
+            quality |= {p: int(rng.random() < (0.1 if "spam" in s or "hot" in s else 0.9))} if rng.random() < 0.6 else {}
+            rows.append((p, host, s, p))
+        else:
+            rows.append((p, host, s, None))
+        urls.append((p, f"http://{host}/" + "/".join(str(p) if x == "{n}" else x for x in s)))
+    pages, labels = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    out = {r.page_id: r for r in url_filters.judge_urls(pages, labels, max_children=5).collect()}
+    want = plain_tree(rows, quality, 5, 1.96, 20.0)
+    assert {p: (r.template, r.branch, r.purity) for p, r in out.items()} == want
+    assert len({w[1] for w in want.values()}) > 4 and any("/*" in w[0] for w in want.values()) and any(r.template.count("/") == 12 for r in out.values())
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        con.register(name, df.toPandas())
+    assert {r[0]: r[1:] for r in con.sql(f'SELECT page_id, template, branch, purity, verdict FROM ({oracle.url_filters(5)})').fetchall()} == {p: (*w, out[p].verdict) for p, w in want.items()}
+
+
+def test_weak_leaves_follow_their_branch(spark):
+    """Hundreds of leaves with one bad label each, and such without a label, go with the branch and not with the host."""
+    rows = [(i, f"http://h.example/good/{i}") for i in range(700)] + [(1000 + i, f"http://h.example/bad/t{chr(97 + i % 7)}{chr(97 + i // 7)}/{1000 + i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(700)] + [(1000 + i, 0) for i in range(30)], "doc_id long, quality int")
+    out = url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, strength=5).collect()
+    assert {(r.page_id < 1000, r.verdict) for r in out} == {(True, "allow"), (False, "block")}
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    hosts = ["net", "a.net", "b.a.net", "org", "x.org", ""]
+    rules = [(rng.choice(["block", "allow"]), rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 4)))) for _ in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{rng.choice(['net', 'a.net', 'c.a.net', 'b.a.net', 'q.x.org', 'anet', 'com.'])}/{''.join(rng.choice('ab/') for _ in range(5))}") for i in range(200)] + [(500, None)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    inline = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, labels, rules).collect()}
+    monkeypatch.setattr(url_filters, "INLINE_RULES", 5)
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, labels, rules).collect()} == inline
+    assert len({x[0] for x in inline.values()}) > 10
 
 
 # 2 Quality rules.

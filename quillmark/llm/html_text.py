@@ -4,12 +4,17 @@ Every element of the page's tree gets its characters, link characters, tags and
 tag, corrected by a logarithm of how much of it is linked. The sum of the densities of its children is an element's
 score, and the element of the largest score holds the main text, with subtrees beside its path that are as dense (see
 main_nodes). The least density on that path to body is the threshold: elements inside that stay below it and are mostly
-links are dropped as well. Elements that are
-boilerplate by name (navigation, footers, forms and so on, or such words in class and id) are cut before any counting.
+links are dropped as well. Elements that are boilerplate by name (navigation, footers, forms and so on) or by a class or
+role that says so are cut before any counting. Inside an article or main element a word that may also name content
+(related, search, social and so on) as a part of a class, or in an id, is a hint alone: such an element goes when it is
+mostly links or stays below the threshold. Headings are never cut by such words.
 
 Edge cases: a null or empty page has an empty text; a page without markup is one block; a page cut off anywhere is read
-as far as it goes (a tag cut off at the end is dropped); elements left open end with their parent. Repeated rows are read
-each for itself. One Arrow pass, no shuffle; the tree of one page at a time is held in memory."""
+as far as it goes (a tag cut off at the end is dropped); elements left open end with their parent. Of nodes of equal score
+the one that ends last in the page, which is the outer one, is taken. Very long and deeply nested pages take time in
+proportion to their length. Repeated rows are read each for itself; an empty table gives an empty result; only the three
+named columns are read, so others never clash. One Arrow pass, no shuffle; the tree of one page at a time is held in
+memory."""
 
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)
 MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"}
-SKIP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "figcaption", "label", "fieldset"}
+SKIP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label", "fieldset"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: What a start tag ends: open elements of these names, up to the nearest border.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,41 +45,88 @@ BOILER_WORDS = {
     "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies",
     "responses", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search", "login", "header", "alert",
 }
+#: Those that may also name content, and are but hints as a part of a class inside an article.
+HINTS = {"banner", "copyright", "disclaimer", "menu", "modal", "notice", "notices", "recommended", "related", "responses", "search", "share", "sharing", "skip", "social", "header", "alert", "login", "widget", "cookie", "cookies", "consent"}
 #: Those that also tell an article element from the main one.
 ARTICLE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SPLIT_MARK = re.compile(r"[^a-z]+")
+_RAW_ENDS: dict[str, re.Pattern] = {}
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "chars", "link_chars", "tags", "link_tags", "density", "score")
+    __slots__ = ("name", "parent", "depth", "hint", "kids", "chars", "link_chars", "tags", "link_tags", "density", "score")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.kids = name, parent, []
+    def __init__(self, name: str, parent: Node | None, hint: bool = False):
+        self.name, self.parent, self.hint, self.kids = name, parent, hint, []
+        self.depth = parent.depth + 1 if parent else 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def _boiler(name: str, attributes: str, inside: bool) -> bool:
+def _boiler(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(whether an element is boilerplate by its names, whether they hint at it)."""
     if name in SKIP or (name == "header" and not inside):
-        return True
-    if name in ("body", "html", "main") or not attributes:
-        return False
+        return True, False
+    if name in ("body", "html", "main") or name in HEADINGS or not attributes:
+        return False, False
     words = BOILER_WORDS if name != "article" else ARTICLE_WORDS
+    hint = False
     for m in MARK.finditer(attributes):
-        if words & set(SPLIT_MARK.split((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        is_id = m[0].lstrip()[:2].lower() == "id"
+        for mark in (m[1] or m[2] or m[3] or "").lower().split():
+            found = words.intersection(SPLIT_MARK.split(mark))
+            if not found:
+                continue
+            if not inside or found - HINTS or (mark in words and not is_id):
+                return True, False
+            hint = True
+    return False, hint
+
+
+class _Path:
+    """The open elements, by name as well: finding and closing one costs no walk over its ancestors."""
+
+    def __init__(self, root: Node):
+        self.node, self.root = root, root
+        self.by_name: dict[str, list[Node]] = {"html": [root]}
+
+    def open(self, name: str, attributes_hint: bool) -> None:
+        kid = Node(name, self.node, attributes_hint)
+        self.node.kids.append(kid)
+        self.node = kid
+        self.by_name.setdefault(name, []).append(kid)
+
+    def last(self, name: str) -> Node | None:
+        return own[-1] if (own := self.by_name.get(name)) else None
+
+    def near(self, name: str) -> Node | None:
+        """The innermost open element of a name, if no border lies inside it."""
+        own = self.last(name)
+        if own is None or any((b := self.last(e)) is not None and b.depth > own.depth for e in BORDER):
+            return None
+        return own
+
+    def close(self, own: Node) -> None:
+        """Ends an element and all inside it; the root stays."""
+        while self.node.depth >= own.depth and self.node is not self.root:
+            self.by_name[self.node.name].pop()
+            self.node = self.node.parent
+
+    def inside(self) -> bool:
+        return bool(self.by_name.get("article") or self.by_name.get("main"))
 
 
 def parse(page: str) -> Node:
     """The tree of a page without boilerplate elements; texts are strings among the kids."""
-    root = node = Node("html", None)
-    at, n, lower = 0, len(page), None
+    root = Node("html", None)
+    path = _Path(root)
+    at, n = 0, len(page)
     muted, depth = "", 0  # inside a boilerplate element: its name and how many of that name are open
     while at < n:
         m = TOKEN.search(page, at)
         if not muted and (m is None or m.start() > at):
-            node.kids.append(page[at : m.start() if m else n])
+            path.node.kids.append(page[at : m.start() if m else n])
         if m is None:
             break
         at = m.end()
@@ -87,40 +139,37 @@ def parse(page: str) -> Node:
                 depth += -1 if closing else 1
                 if depth == 0:
                     muted = ""
-            elif closing and name in ("body", "html", "article", "main") and muted not in RAW and _open(node, name):
+            elif closing and name in ("body", "html", "article", "main") and muted not in RAW and path.last(name):
                 muted = ""
             if muted:
                 if name in RAW and not closing:
-                    lower = lower or page.lower()
-                    at = _after_raw(lower, name, at)
+                    at = _after_raw(page, name, at)
                 continue
         if closing:
             if name in VOID:
                 if name == "br":
-                    node.kids.append("\n")
-            elif (own := _open(node, name)) is not None:
-                node = own.parent or own
+                    path.node.kids.append("\n")
+            elif (own := path.last(name)) is not None:
+                path.close(own)
             continue
         if name in RAW:
-            lower = lower or page.lower()
-            at = _after_raw(lower, name, at)
+            at = _after_raw(page, name, at)
             continue
-        if name in ENDS_P and (own := _open(node, "p", BORDER)) is not None:
-            node = own.parent or own
+        if name in ENDS_P and (own := path.near("p")) is not None:
+            path.close(own)
         if name in ENDS:
-            while (own := next((o for e in ENDS[name] if (o := _open(node, e, BORDER)) is not None), None)) is not None:
-                node = own.parent or own
+            while (own := next((o for e in ENDS[name] if (o := path.near(e)) is not None), None)) is not None:
+                path.close(own)
         if name in VOID:
-            node.kids.append("\n" if name in ("br", "hr") else "")
+            path.node.kids.append("\n" if name in ("br", "hr") else "")
             continue
         if m[2].endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        if _boiler(name, m[2], any(a.name in ("article", "main") for a in _up(node))):
+        cut, hint = _boiler(name, m[2], path.inside())
+        if cut:
             muted, depth = name, 1
-            continue
-        kid = Node(name, node)
-        node.kids.append(kid)
-        node = kid
+        else:
+            path.open(name, hint)
     return root
 
 
@@ -130,21 +179,12 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _open(node: Node, name: str, border: set[str] = frozenset()) -> Node | None:
-    for a in _up(node):
-        if a.name == name:
-            return a
-        if a.name in border:
-            return None
-    return None
-
-
-def _after_raw(lower: str, name: str, at: int) -> int:
-    end = lower.find(f"</{name}", at)
-    if end < 0:
-        return len(lower)
-    close = lower.find(">", end)
-    return len(lower) if close < 0 else close + 1
+def _after_raw(page: str, name: str, at: int) -> int:
+    """The end of an element whose content is no markup."""
+    if name not in _RAW_ENDS:
+        _RAW_ENDS[name] = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I | re.A)
+    end = _RAW_ENDS[name].search(page, at)
+    return end.end() if end else len(page)
 
 
 def measure(root: Node) -> list[Node]:
@@ -191,25 +231,20 @@ def _densest(x: Node) -> float:
 
 def main_nodes(root: Node) -> tuple[list[Node], float]:
     """The nodes that hold the main text, in the order of the page, and the threshold of the path from the node of the
-    largest density sum to body. All outermost article and main elements that are not mostly links are taken where there
-    are any; else that node and, beside its path, all subtrees not mostly links that somewhere reach the threshold or the
-    density of the sparsest child of the node that is no heading."""
+    largest density sum to body. That node is widened to the outermost article or main element around it; beside its path,
+    all subtrees not mostly links are taken that somewhere reach the threshold or the density of the sparsest child of the
+    node that is no heading."""
     order = measure(root)
     best = max(reversed(order), key=lambda x: x.score)
     if best.score <= 0:
         best = root
     path = list(_up(best))
-    on_path = {id(x) for x in path}
     threshold = min((x.density for x in path if x.density > 0), default=0.0)
-    inner = [x for x in order if x.name in ("article", "main") and x.chars > 0 and not any(a.name in ("article", "main") for a in _up(x.parent))]
-    if inner:
-        good = {id(x) for x in inner if not _mostly_links(x)} or {id(max(inner, key=lambda x: x.chars))}
-        good |= {id(x) for x in inner if id(x) in on_path}
-    else:
-        least = min([threshold, *(k.density for k in best.kids if type(k) is Node and k.density > 0 and not k.name.startswith("h") and k.name not in INLINE)])
-        good = {id(best)}
-        for x in path[1:]:
-            good |= {id(k) for k in x.kids if type(k) is Node and id(k) not in on_path and k.chars > 0 and not _mostly_links(k) and _densest(k) >= least}
+    least = min([threshold, *(k.density for k in best.kids if type(k) is Node and k.density > 0 and k.name not in HEADINGS and k.name not in INLINE)])
+    top = next((k for k in range(len(path) - 1, 0, -1) if path[k].name in ("article", "main")), 0)
+    on_path, good = {id(x) for x in path}, {id(path[top])}
+    for x in path[top + 1 :]:
+        good |= {id(k) for k in x.kids if type(k) is Node and id(k) not in on_path and k.chars > 0 and not _mostly_links(k) and _densest(k) >= least}
     found, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -243,8 +278,10 @@ def extract(page: str | None) -> str:
         elif x is None:
             flush()
         else:
-            if id(x) not in tops and x.density < threshold and _mostly_links(x) and x.name not in INLINE:
-                continue
+            if id(x) not in tops and x.name not in INLINE:
+                sparse, linked = x.density < threshold, _mostly_links(x)
+                if (sparse and linked) or (x.hint and (sparse or linked)):
+                    continue
             block = x.name not in INLINE
             if block:
                 flush()

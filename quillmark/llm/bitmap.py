@@ -1,6 +1,7 @@
-"""A bitmap of fixed size that tells workers which values can be skipped.
+"""A bitmap that tells workers which values can be skipped.
 
-It has BITMAP_WORDS 64-bit words (8 MB) whatever the input, so it can be broadcast at any scale. Values that share a bit
+Its size follows the number of values, at least LEAST_BITS_EACH bits for each, up to MAX_BITS (32 MB), so it can be
+broadcast at any scale; more values than fit have no bitmap (None), and the caller joins instead. Values that share a bit
 only let more rows through: whoever uses it must not rely on a set bit."""
 
 from __future__ import annotations
@@ -14,28 +15,34 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded
 
-BITMAP_WORDS = 1 << 20
-BITS = BITMAP_WORDS * 64
+MIN_BITS, MAX_BITS, LEAST_BITS_EACH = 1 << 16, 1 << 28, 8
 
 
-def collect(values: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of a column of longs. Bits are joined in Spark; at most BITMAP_WORDS rows come to the driver."""
-    words = values.select(F.pmod(column, F.lit(BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+def collect(values: DataFrame, column: str) -> np.ndarray | None:
+    """The bitmap of a column of longs (a written table: it is read twice). Bits are joined in Spark; at most MAX_BITS / 64
+    rows come to the driver."""
+    n = values.count()
+    bits = max(MIN_BITS, 1 << (n * LEAST_BITS_EACH).bit_length())
+    if bits > MAX_BITS:
+        return None
+    words = values.select(F.pmod(column, F.lit(bits)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     table = words.toArrow()
-    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the bit of each value (as 64 bits) is set."""
-    bit = values.view(np.uint64) & np.uint64(BITS - 1)
+    bit = values.view(np.uint64) & np.uint64(len(table) * 64 - 1)
     return ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def split(docs: DataFrame, id_col: str, table: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def split(docs: DataFrame, id_col: str, table: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
     """(rows whose id may be in the bitmap, all others): only the former need an exact join, and so a shuffle. Null ids are
-    among the others."""
+    among the others; without a bitmap all rows are among the former."""
+    if table is None:
+        return docs, docs.where(F.lit(False))
     sent = bounded(docs).sparkSession.sparkContext.broadcast(table)
 
     def rows(inside: bool) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Windows carry Rabin-Karp hashes and are counted in Spark. Most windows of a corpus occur once, so a lossless filter comes
 first: the least hash of the WINDOW - GRAM + 1 grams of GRAM words inside a window is its anchor, and equal windows have
-equal anchors. Anchors that occur in one document only rule their windows out. The shared anchors travel as a bitmap of
-fixed size; a bit set by two anchors lets more windows through and changes no result. Each remaining window is one row
-(hash, document, position); those whose hash has a smaller document are merged per document into maximal intervals,
-which cut the text.
+equal anchors. Anchors that occur in one document only rule their windows out. The shared anchors travel as a bitmap
+sized by their number; a bit set by two anchors lets more windows through and changes no result. Where they are too many
+for a bitmap, they are joined with the stretches of windows that each document has under them, and the texts of those
+documents are joined with their stretches. Each remaining window is one row (hash, document, position); those whose hash
+has a smaller document are merged per document into maximal intervals, which cut the text.
 
 Passes over the texts: anchors, windows, cutting. Shuffled: anchors (about a twentieth of the words), the windows under
-shared anchors, the positions found, and the texts that have any. No row is larger than a document.
+shared anchors, the positions found, and the texts that have any (with stretches also those that have shared anchors). No
+row is larger than a document.
 
 Edge cases: a null or short text has no window; a null id never is the smaller one and its windows stay; rows of one id
-don't remove each other's windows; repeated rows are cut alike. The hash has 64 bits: two different windows are taken for
-equal with a chance of 1 in 1.8e19 a pair."""
+don't remove each other's windows; repeated rows are cut alike; very long texts are hashed and cut whole; an empty table
+gives an empty result. Only the id and text columns are read, so other columns never clash. The hash has 64 bits: two
+different windows are taken for equal with a chance of 1 in 1.8e19 a pair."""
 
 from __future__ import annotations
 
@@ -55,12 +58,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Anchors that occur in two documents or more."""
+def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, doc_id, text_hash, start, n): n windows from word `start` on that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text_hash").to_numpy()
             for at, words in K.chunks(batch.column("text")):
                 starts, anchors = window_anchors(words, window, gram)
                 if not len(starts):
@@ -68,10 +71,16 @@ def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 doc = words.doc_of()[starts]
                 change = np.ones(len(starts), bool)  # runs of windows share their anchor
                 change[1:] = (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchors[change])), pa.array(ids[at + doc[change]], pa.int64())], names=["anchor", "doc_id"])
+                own, first = doc[change], np.flatnonzero(change)
+                n = np.diff(first, append=len(starts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchors[change])), pa.array(ids[at + own], pa.int64()), pa.array(keys[at + own], pa.int64()), pa.array((starts[change] - words.first[own]).astype(np.int32)), pa.array(n)], names=["anchor", "doc_id", "text_hash", "start", "n"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "anchor bigint, doc_id bigint, text_hash bigint, start int, n int")
+
 
-    found = docs.where("doc_id is not null").mapInArrow(run, "anchor bigint, doc_id bigint")
-    return found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Anchors that occur in two documents or more."""
+    return _runs(docs, window, gram).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
 
 
 def _settled(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +96,23 @@ def _settled(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[n
     return np.where(sure, K.mix(hashes ^ K.mix(ids.view(np.uint64) * np.uint64(3) + starts.astype(np.uint64))), hashes), sure
 
 
+def _with_stretches(docs: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
+    """The documents that have shared anchors, with the (start, n) of their windows under them."""
+    own = _runs(docs, window, gram).join(shared, "anchor", "left_semi").select("doc_id", "text_hash", "start", "n").distinct()
+    return docs.join(own.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("stretches")), ["doc_id", "text_hash"])
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, start): word positions of windows that also start in a document of a smaller id."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.collect(shared_anchors(docs, window, gram), "anchor"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    shared = materialize(shared_anchors(docs, window, gram), "anchors")
+    table = bitmap.collect(shared, "anchor")
+    if table is None:
+        docs = _with_stretches(docs, shared, window, gram)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = sent.value
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
@@ -104,8 +124,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text_hash").to_numpy()
             for at, words in K.chunks(batch.column("text")):
-                starts, anchors = window_anchors(words, window, gram)
-                starts = starts[bitmap.contains(table, anchors)] if len(starts) else starts
+                if table is None:
+                    parts = [np.arange(s["start"], s["start"] + s["n"]) + words.first[i] for i, own in enumerate(batch.column("stretches").slice(at, len(words.first) - 1).to_pylist()) for s in own]
+                    starts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                else:
+                    starts, anchors = window_anchors(words, window, gram)
+                    starts = starts[bitmap.contains(table, anchors)] if len(starts) else starts
                 if not len(starts):
                     continue
                 doc = words.doc_of()[starts]
@@ -115,7 +139,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         if held:
             yield flush()
 
-    rows = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "hash bigint, doc_id bigint, text_hash bigint, start int, sure boolean")
+    rows = docs.where("doc_id is not null").mapInArrow(run, "hash bigint, doc_id bigint, text_hash bigint, start int, sure boolean")
     first = F.min("doc_id").over(Window.partitionBy("hash"))
     return rows.withColumn("least", first).where("sure or least < doc_id").select("doc_id", "text_hash", "start")
 

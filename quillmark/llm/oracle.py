@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FENCES, LEAST_ROWS
+from .quality_rules import FENCES, PRIOR_ROWS
 from .url_filters import LOWER, RULES, UPPER
 
 SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -49,10 +49,10 @@ def quality_rules() -> str:
  b AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' metric, {bucket(m)} bucket, count(*) n FROM f WHERE NOT base_failed GROUP BY 1, 2, 4" for m in FENCES)})"""
     for tag, keys in levels.items():
         by = "".join(f"{k}, " for k in keys)
-        cols = ", ".join(f"max(q3 + {up} * greatest(q3 - q1, {least})) FILTER (metric = '{m}') {tag}_{m}_hi" + (f", max(q1 - {down} * greatest(q3 - q1, {least})) FILTER (metric = '{m}') {tag}_{m}_lo" if down is not None else "") for m, (up, down, least) in FENCES.items())
+        cols = ", ".join(f"max(q3 + {up} * greatest(q3 - q1, {least})) FILTER (metric = '{m}') {tag}_{m}_hi" + (f", max(greatest(q1 - {down} * greatest(q3 - q1, {least}), 0)) FILTER (metric = '{m}') {tag}_{m}_lo" if down is not None else "") for m, (up, down, least) in FENCES.items())
         sql += f""", {tag}b AS (SELECT {by}metric, bucket, sum(n) n FROM b GROUP BY {by}metric, bucket), {tag}c AS (SELECT {by}metric, bucket, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) c, sum(n) OVER (PARTITION BY {by}metric) t FROM {tag}b),
  {tag}q AS (SELECT {by}metric, max(t) t, min(bucket) FILTER (c * 4 >= t) q1, min(bucket) FILTER (c * 4 >= t * 3) q3 FROM {tag}c GROUP BY {by}metric), {tag}f AS (SELECT {by}max(t) {tag}_rows, {cols} FROM {tag}q {"GROUP BY " + ", ".join(keys) if keys else ""})"""
-    pick = lambda c: f"CASE WHEN s_rows >= {LEAST_ROWS} THEN s_{c} WHEN l_rows >= {LEAST_ROWS} THEN l_{c} ELSE a_{c} END"
+    pick = lambda c: f"((s_rows * s_{c} + {PRIOR_ROWS} * ((l_rows * l_{c} + {PRIOR_ROWS} * a_{c}) // (l_rows + {PRIOR_ROWS}))) // (s_rows + {PRIOR_ROWS}))"
     ok = " AND ".join(f"coalesce({m} <= {pick(m + '_hi')}, true)" + (f" AND coalesce({m} >= {pick(m + '_lo')}, true)" if f[1] is not None else "") for m, f in FENCES.items())
     return sql + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {', '.join(FENCES)}, base_failed, NOT base_failed AND {ok} kept FROM f LEFT JOIN sf USING (lang, source) LEFT JOIN lf USING (lang) LEFT JOIN af ON true"
 

@@ -4,11 +4,14 @@ Every text gets counts of words, symbols, repeated lines and repeated 8-word win
 metrics follow. Per language and source, and merged per language and over all, each metric has a quantile sketch: a
 histogram whose buckets keep the leading five bits of a value (relative error under 1/16), so sketches merge by adding
 counts and come out alike however rows are dealt or retried. Fences over the sketches' quartiles (Tukey's, with a least
-spread per metric) replace fixed cutoffs; a small joined table then judges the rows.
+spread per metric) replace fixed cutoffs. A group's fence is drawn to that of its language, and this to that of all rows,
+by weight: the coarser fence counts as PRIOR_ROWS rows, so a verdict never jumps with the size of a group. A small joined
+table then judges the rows.
 
-Edge cases: a null text is an empty text and fails the base rules (no words). Null lang or source count as ''. Repeated
-rows are judged each for itself. An empty table gives an empty result. Columns of the input that clash with names
-returned here are replaced; judge() keeps all others."""
+Edge cases: a null or empty text has no words and fails the base rules. Very long texts are counted whole, in one pass a
+row. Null lang or source count as ''. Ties: a value on a fence is kept. Repeated rows are judged each for itself. An empty
+table gives an empty result. Columns of the input that clash with names returned here are replaced in judge(), which keeps
+all others; keep() returns the columns of the input alone."""
 
 from __future__ import annotations
 
@@ -31,8 +34,8 @@ FENCES = {
     "m_repeats": (3, None, 80),
     "m_upper": (3, None, 30),
 }
-#: Groups of fewer rows use the sketch of their language, or of all rows.
-LEAST_ROWS = 100
+#: Rows that the fence of the coarser group counts for.
+PRIOR_ROWS = 100
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -130,18 +133,22 @@ def _fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
         is_m = F.col("metric") == m
         out += [F.max(F.when(is_m, F.col("q3") + up * spread)).alias(f"{tag}_{m}_hi")]
         if down is not None:
-            out += [F.max(F.when(is_m, F.col("q1") - down * spread)).alias(f"{tag}_{m}_lo")]
+            out += [F.max(F.when(is_m, F.greatest(F.col("q1") - down * spread, F.lit(0)))).alias(f"{tag}_{m}_lo")]
     return quart.groupBy(*keys).agg(*out)
 
 
-def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(lang, source, <metric>_hi, <metric>_lo): one row for each pair of language and source."""
     base = sketches(counted, lang_col, source_col)
     own, lang, every = _fences(base, ["lang", "source"], "s"), _fences(merge(base, ["lang"]), ["lang"], "l"), _fences(merge(base, []), [], "a")
     both = own.join(lang, "lang").join(every.withColumn("_qm_one", F.lit(1)), F.lit(True), "inner")
-    pick = lambda c: F.when(F.col("s_rows") >= least_rows, F.col(f"s_{c}")).when(F.col("l_rows") >= least_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+
+    def drawn(c: str) -> Column:
+        of_lang = f"((l_rows * l_{c} + {prior_rows} * a_{c}) div (l_rows + {prior_rows}))"
+        return F.expr(f"(s_rows * s_{c} + {prior_rows} * {of_lang}) div (s_rows + {prior_rows})")
+
     names = [f"{m}_hi" for m in FENCES] + [f"{m}_lo" for m, f in FENCES.items() if f[1] is not None]
-    return both.select("lang", "source", *(pick(c).cast("long").alias(c) for c in names))
+    return both.select("lang", "source", *(drawn(c).cast("long").alias(c) for c in names))
 
 
 def apply_thresholds(counted: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -156,23 +163,30 @@ def apply_thresholds(counted: DataFrame, limits: DataFrame, lang_col: str = "lan
     return joined.withColumn("kept", ok).drop(*(c for c in limits.columns))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """docs plus the counts and kept. The texts are read twice: for the sketches, then for the verdicts in place."""
-    counted = with_counts(docs, text_col)
-    limits = materialize(thresholds(counted, lang_col, source_col, least_rows), "quality-limits")
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """docs plus the counts and kept. Every text is counted once: rows are written with their counts, which the sketches
+    read without the texts, and judged where they are."""
+    counted = materialize(with_counts(docs, text_col), "quality-rows")
+    # Written: a small table of its own is broadcast while it is small, and else joined with skewed pairs split.
+    limits = materialize(thresholds(counted, lang_col, source_col, prior_rows), "quality-limits")
     return apply_thresholds(counted, limits, lang_col, source_col)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs."""
+    packed = docs.select(F.struct("*").alias("_qm_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    counted = with_counts(packed.withColumn("_qm_text", F.col("_qm_row")[text_col]), "_qm_text").drop("_qm_text")
+    counted = materialize(counted, "quality-rows")
+    return apply_thresholds(counted, materialize(thresholds(counted, prior_rows=prior_rows), "quality-limits")).where("kept").select("_qm_row.*")
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row for each document: id, base counts, metrics, base_failed, kept. Counts are taken once and written."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     counted = materialize(with_counts(slim).drop("text"), "quality-counts")
-    # Written: a small table of its own is broadcast while it is small, and else joined with skewed pairs split.
-    limits = materialize(thresholds(counted, least_rows=least_rows), "quality-limits")
+    limits = materialize(thresholds(counted, prior_rows=prior_rows), "quality-limits")
     return apply_thresholds(counted, limits).select("doc_id", *BASE, *FENCES, "base_failed", "kept")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-

@@ -9,45 +9,53 @@
    replicated into the regions of its first n - ceil(t * n) + 1 shingles, and any two linked sets meet in one.
 3. Inside a region, counts of shingles in fixed cells (a vector per set, at least n / 8 cells) bound the number of shingles
    that two sets differ in from below: this metric prunes by the triangle inequality. What may still be linked becomes
-   one larger region by connected components.
+   one larger region by connected components. Regions of common shingles are parted by the sets' sizes first (linked sets
+   lie in one band of sizes or in neighbouring ones); a band of over MAX_BAND sets is one region without being gathered.
 4. There the join is exact, by document pivots: sets within the radius r of a pivot are linked to it; by the triangle
    inequality only sets between r and 2r from the pivot can link to those, so that window alone is compared with them; what
-   lies beyond r is the next region, joined recursively. Regions over MAX_REGION shingles are never gathered: pivots (one
-   of each group not yet linked) are joined to all sets of the region, round by round, until every pair left over lies in
-   one group.
+   lies beyond r is the next region, joined recursively.
+5. Regions of over MAX_REGION shingles are never gathered: they are parted once more as in 2 and 3, by the exact counts of
+   shingles inside the region, as long as that makes them smaller. What stays large meets pivots (one of each of some
+   groups not yet linked, twice as many each round) joined to all its sets, until every pair left over lies in one group.
 
 Returned: one row per document with its class and its component, never all pairs. Nothing of the corpus comes to the
-driver but cell counts and bitmaps of fixed size. Shuffled: (1 - t) * n rows of two longs per document, and the sets of
+driver but cell counts and bitmaps of bounded size. Shuffled: (1 - t) * n rows of two longs per document, and the sets of
 documents in regions.
 
 Edge cases: null and blank texts have an empty set, no links and their own id as component; a null id is kept, links with
 nothing and has a null component; repeated rows of one id are one document; fewer words than a shingle make one shingle of
-the whole sequence. Hashes have 64 bits."""
+the whole sequence; very long texts are shingled whole; a similarity of exactly num / den links; shingles equally common
+are ordered by their hash, and the least id names a class; an empty table gives an empty result. Only the id and text
+columns are read, so other columns never clash. Hashes have 64 bits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmap
 from . import textkernel as K
 from .components import components
-from .scratch import bounded, materialize
+from .scratch import bounded, discard, materialize
 
 #: Cells of the shingle counts (4 MB while they are counted, 1 MB as an order).
 CELLS = 1 << 20
 CELL_CHUNK = 1 << 14
 #: Classes that a task remembers, to name each once.
 SEEN = 500_000
-#: Sets of a pivot shingle's region that are compared in memory (some MB); beyond it they stay one region.
+#: Pivot shingles with fewer sets (copies counted) than this, or four times the mean cell, are dealt by the shingle alone.
+COMMON = 512
+#: Sets of a region that are compared in memory (some MB); beyond it they stay one region.
 MAX_BUCKET = 4096
+MAX_BAND = 512
 #: Shingles of one region that a task may hold (32 MB).
 MAX_REGION = 4_000_000
-#: Pivots of one region and round, where regions are too large for a task.
+#: Pivots of one region in the first round, where regions are too large for a task.
 PIVOTS = 32
 _U = np.uint64
 
@@ -69,6 +77,10 @@ class Threshold:
         """Shingles, from the first on, of which a linked set has one."""
         return size - -(-self.num * size // self.den) + 1
 
+    def band(self, size: Column) -> Column:
+        """Number of a band of sizes, a little wider than linked sets can be apart."""
+        return F.floor(F.log(size.cast("double")) / F.lit(np.log(self.den / self.num) * 1.001 + 1e-9)).cast("long")
+
     def may(self, differ: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         """Whether sets that differ in at least so many shingles can be linked."""
         return differ * (self.den + self.num) <= (a + b) * (self.den - self.num)
@@ -89,7 +101,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of all documents counted in CELLS cells; each task adds up its own before anything is shuffled."""
+    """Ranks of shingles by how common they are, from counts over all documents in CELLS cells; from 128 on a cell is common.
+    Each task adds up its own before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -113,8 +126,10 @@ def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
     out = np.zeros((CELLS // CELL_CHUNK, CELL_CHUNK), np.uint64)
     for c, x in zip(found["chunk"].to_pylist(), found["counts"], strict=True):
         out[c] = np.frombuffer(x.as_buffer(), np.uint64)
-    # An eighth of an octave is fine enough to tell common from rare.
-    return np.minimum(255, np.log2(out.ravel() + 1.0) * 6).astype(np.uint8)
+    counts = out.ravel()
+    # A quarter of an octave is fine enough to tell common from rare; the last rank bit says that a cell is common.
+    common = counts >= max(COMMON, 4 * int(counts.mean()))
+    return np.minimum(126, np.log2(counts + 1.0) * 4).astype(np.uint8) | (common.astype(np.uint8) << np.uint8(7))
 
 
 def vector(own: np.ndarray) -> np.ndarray:
@@ -129,8 +144,8 @@ def folded(counts: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _with_sets(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """(doc_id, n_shingles, class, first, cells) of each row; first (pivot shingles) and cells (vector) only where the task
-    meets the class for the first time."""
+    """(doc_id, n_shingles, class, first, rare, cells) of each row; first (pivot shingles, of which so many are rare) and cells
+    (vector) only where the task meets the class for the first time."""
     sent = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,25 +155,27 @@ def _with_sets(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 part, texts = ids.slice(at, 1000), batch.column("text").slice(at, 1000)
                 known = part.is_valid().to_pylist()
-                n, cls, first, cells = [], [], [], []
+                n, cls, first, rare, cells = [], [], [], [], []
                 for i, own in shingle_sets(texts, k):
                     n.append(len(own))
                     c = int(K.mix(np.array([np.add.reduce(K.mix(own + _U(1)), dtype=np.uint64) + _U(len(own))], np.uint64))[0])
                     cls.append(c)
                     if not len(own) or not known[i] or c in seen:
-                        first.append(None)
-                        cells.append(None)
+                        for x in (first, rare, cells):
+                            x.append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
                     take = limit.window(len(own))
-                    order = np.argsort(rank[(own >> _U(44)).astype(np.int64)], kind="stable")[:take]  # own is sorted: ties go by hash
+                    ranks = rank[(own >> _U(44)).astype(np.int64)]
+                    order = np.argsort(ranks, kind="stable")[:take]  # own is sorted: ties go by hash
                     first.append(K.signed(own[order]))
+                    rare.append(int((ranks[order] < 128).sum()))
                     cells.append(vector(own).tobytes())
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(K.signed(np.array(cls, np.uint64))), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "class", "first", "cells"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(K.signed(np.array(cls, np.uint64))), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "class", "first", "rare", "cells"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, first array<bigint>, cells binary")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, first array<bigint>, rare int, cells binary")
 
 
 def link_bucket(sizes: list[int], cells: list[bytes], limit: Threshold) -> list[int]:
@@ -201,16 +218,44 @@ def link_bucket(sizes: list[int], cells: list[bytes], limit: Threshold) -> list[
     return [find(i) for i in range(m)]
 
 
+#: Key of a set of members: their number, least and largest, and two sums of independent hashes.
+_MEMBERS = ["c", "lo", "hi", "h", "g"]
+
+
+def _members(over=lambda x: x) -> list[Column]:
+    """The key of the classes of a pivot."""
+    cls = F.col("class")
+    return [over(x).alias(n) for n, x in zip(_MEMBERS, (F.count("*"), F.min(cls), F.max(cls), F.sum(F.xxhash64(cls) % 2**40), F.sum(F.xxhash64(cls, F.lit(1)) % 2**40)), strict=True)]
+
+
+def _one_each(pivots: DataFrame) -> DataFrame:
+    """Many pivots of near copies have the same members: one of them is enough."""
+    return pivots.groupBy(*_MEMBERS).agg(F.min("pivot").alias("pivot"))
+
+
+def _common_regions(rows: DataFrame, vectors: DataFrame, limit: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(pivot, class, cells, n) of the size bands of common pivots, and edges (u, v) of the bands too large to compare. Counts
+    are partial before they are shuffled, so a pivot that a third of all sets hold fills no task."""
+    common = rows.select("class", F.explode(F.slice("first", F.col("rare") + 1, F.size("first"))).alias("pivot"))
+    pick = materialize(_one_each(common.groupBy("pivot").agg(*_members()).where("lo < hi")).select("pivot"), "common-pivots")
+    own = common.join(pick, "pivot", "left_semi").join(vectors.select("class", "n"), "class")
+    own = own.select("class", F.explode(F.array(limit.band(F.col("n")), limit.band(F.col("n")) - 1)).alias("_qm_band"), F.col("pivot").alias("_qm_pivot")).select(F.xxhash64("_qm_pivot", "_qm_band").alias("pivot"), "class").distinct()
+    own = materialize(own, "common-bands")
+    bands = materialize(_one_each(own.groupBy("pivot").agg(*_members()).where("lo < hi")), "bands")
+    small = own.join(bands.where(F.col("c") <= MAX_BAND).select("pivot"), "pivot", "left_semi").join(vectors, "class").select("pivot", "class", "cells", "n")
+    return small, own.join(bands.where(F.col("c") > MAX_BAND).select("pivot", "lo"), "pivot").select(F.col("class").alias("u"), F.col("lo").alias("v"))
+
+
 def _regions(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """(node, component) of classes that may be linked with another."""
-    member = rows.where("first is not null").select("class", F.explode("first").alias("pivot"))
+    """(node, component) of classes that may be linked with another, from (class, n_shingles, first, rare, cells)."""
+    rows = rows.where("first is not null")
+    member = rows.select("class", F.explode(F.slice("first", F.lit(1), F.col("rare"))).alias("pivot"))
     w = Window.partitionBy("pivot")
-    meet = member.withColumns({"lo": F.min("class").over(w), "hi": F.max("class").over(w), "c": F.count("*").over(w), "h": F.sum(F.xxhash64("class") % 2**40).over(w)}).where("lo < hi").select("pivot", "class", "c", "h")
-    meet = materialize(meet, "meetings")
-    # Many pivots of near copies have the same members: one of them is enough.
-    pick = meet.groupBy("c", "h").agg(F.min("pivot").alias("pivot")).select("pivot")
-    vectors = rows.where("first is not null").groupBy("class").agg(F.first("cells").alias("cells"), F.first("n_shingles").cast("long").alias("n"))
-    own = meet.join(pick, "pivot", "left_semi").select("pivot", "class").join(vectors, "class")
+    meet = materialize(member.select("pivot", "class", *_members(lambda x: x.over(w))).where("lo < hi"), "meetings")
+    vectors = rows.groupBy("class").agg(F.first("cells").alias("cells"), F.first("n_shingles").cast("long").alias("n"))
+    own = meet.join(_one_each(meet), "pivot", "left_semi").select("pivot", "class").join(vectors, "class").select("pivot", "class", "cells", "n")
+    banded, edges = _common_regions(rows, vectors, limit)
+    own = own.unionByName(banded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, classes, sizes, cells, hub = None, [], [], [], None
@@ -242,8 +287,8 @@ def _regions(rows: DataFrame, limit: Threshold) -> DataFrame:
         done()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    edges = own.repartition("pivot").sortWithinPartitions("pivot", "class").mapInArrow(run, "u bigint, v bigint")
-    return components(edges)
+    found = own.repartition("pivot").sortWithinPartitions("pivot", "class").mapInArrow(run, "u bigint, v bigint")
+    return components(found.union(edges))
 
 
 def _counts(flat: np.ndarray, first: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -304,18 +349,23 @@ def join_region(ids: list[int], sets: list[np.ndarray], limit: Threshold) -> lis
 
 def _sets_of(docs: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     """(region, rep, own): the sets of the documents in regions. A bitmap of their ids spares all others the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap.collect(regions, "rep"))
+    table = bitmap.collect(regions, "rep")
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    docs = docs.where("doc_id is not null")
+    if table is None:  # too many for a bitmap: the texts are joined before they are shingled
+        docs = docs.join(regions, docs["doc_id"] == regions["rep"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bitmap.contains(sent.value, batch.column("doc_id").to_numpy())))
+            if sent.value is not None:
+                batch = batch.filter(pa.array(bitmap.contains(sent.value, batch.column("doc_id").to_numpy())))
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 sets = [K.signed(own) for _, own in shingle_sets(part.column("text"), k)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "own"])
 
-    sets = docs.where("doc_id is not null").mapInArrow(run, "doc_id bigint, own array<bigint>")
+    sets = docs.mapInArrow(run, "doc_id bigint, own array<bigint>")
     return sets.join(regions, sets["doc_id"] == regions["rep"]).select("region", "rep", "own")
 
 
@@ -345,17 +395,44 @@ def _small_regions(sets: DataFrame, limit: Threshold) -> DataFrame:
     return sets.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(run, "rep bigint, component bigint")
 
 
-def _large_regions(sets: DataFrame, limit: Threshold) -> DataFrame:
-    """(rep, component) of regions of any size: rounds of pivots against all sets of their region."""
-    sets = materialize(sets.dropDuplicates(["region", "rep"]), "large-regions")
+def _parted(sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(rep, component): regions within regions, by the exact counts of shingles inside each; sets without a region stand
+    alone and are linked with none."""
+    shingles = sets.select("region", "rep", F.explode("own").alias("s"))
+    counts = shingles.groupBy("region", "s").agg(F.count("*").alias("c"))
+    # A shingle of one set makes no link: it needs no row, but it counts as one of the rarest.
+    shared = shingles.join(counts.where("c > 1"), ["region", "s"]).groupBy("region", "rep").agg(F.collect_list(F.struct("c", F.xxhash64("region", "s").alias("s"))).alias("shared"))
+    both = sets.join(shared, ["region", "rep"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                n, first, rare, cells = [], [], [], []
+                for own, shared in zip(part.column("own"), part.column("shared"), strict=True):
+                    own = own.values.to_numpy().view(np.uint64)
+                    ordered = sorted((x["c"], x["s"]) for x in shared.as_py())
+                    ordered = ordered[: max(0, limit.window(len(own)) - (len(own) - len(ordered)))]
+                    n.append(len(own))
+                    first.append([s for _, s in ordered])
+                    rare.append(sum(c < COMMON for c, _ in ordered))
+                    cells.append(vector(own).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(cells, pa.binary())], names=["class", "n_shingles", "first", "rare", "cells"])
+
+    rows = materialize(both.select("rep", "own", "shared").mapInArrow(run, "class bigint, n_shingles bigint, first array<bigint>, rare int, cells binary"), "parted")
+    return _regions(rows, limit).select(F.col("node").alias("rep"), "component")
+
+
+def _pivot_rounds(sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(rep, component) of regions of any size: rounds of pivots against all sets of their region, twice as many each time."""
     labels = materialize(sets.select("region", "rep", F.col("rep").alias("component"), F.lit(False).alias("done")), "labels")
-    edges = None
+    edges, most = None, PIVOTS
     while True:
         # Only pairs of sets that have not been pivots and lie in different groups are still open.
         groups = labels.where("not done").groupBy("region", "component").agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
         open_regions = groups.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-        ranked = groups.join(open_regions, "region", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("rep", F.lit(7)))))
-        chosen = materialize(ranked.where(F.col("k") <= PIVOTS).select("region", "rep"), "pivots")
+        dealt = groups.join(open_regions, "region", "left_semi").groupBy("region", F.pmod(F.xxhash64("rep", F.lit(most)), F.lit(most)).alias("k")).agg(F.min("rep").alias("rep"))
+        chosen = materialize(dealt.select("region", "rep"), "pivots")
         if chosen.isEmpty():
             return labels.select("rep", "component")
         pivots = chosen.join(sets, ["region", "rep"]).select("region", F.col("rep").alias("pivot"), F.col("own").alias("p_own"))
@@ -365,13 +442,35 @@ def _large_regions(sets: DataFrame, limit: Threshold) -> DataFrame:
         found = near.where(both * limit.den >= (total - both) * limit.num).select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
         edges = materialize(found if edges is None else edges.union(found), "links")
         comp = components(edges)
-        labels = materialize(
+        after = materialize(
             labels.drop("component")
             .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .join(chosen.select("rep", F.lit(True).alias("p")), "rep", "left")
             .select("region", "rep", F.coalesce("component", "rep").alias("component"), (F.col("done") | F.coalesce("p", F.lit(False))).alias("done")),
             "labels",
         )
+        discard(labels)
+        labels, most = after, most * 2
+
+
+def _joined_regions(sets: DataFrame, limit: Threshold, max_region: int) -> DataFrame:
+    """(rep, component) of the sets (region, rep, own): small regions in a task each, large ones parted again."""
+    sets = materialize(sets.dropDuplicates(["region", "rep"]).withColumn("above", F.lit(1 << 59)), "region-sets")
+    parts = []
+    while True:
+        weight = materialize(sets.groupBy("region").agg(F.sum(F.size("own")).alias("w"), F.first("above").alias("above")), "region-weights")
+        large = F.col("w") > max_region
+        parts.append(_small_regions(sets.join(weight.where(~large).select("region"), "region", "left_semi"), limit))
+        # A region that parting has made smaller by a tenth or more is parted again.
+        shrinks = F.col("w") * 10 <= F.col("above") * 9
+        stuck = weight.where(large & ~shrinks).select("region")
+        if not stuck.isEmpty():
+            parts.append(_pivot_rounds(materialize(sets.join(stuck, "region", "left_semi").drop("above"), "stuck-regions"), limit))
+        wide = weight.where(large & shrinks).select("region", "w")
+        if wide.isEmpty():
+            return reduce(DataFrame.union, parts)
+        now = materialize(sets.drop("above").join(wide, "region").withColumnRenamed("w", "above"), "large-regions")
+        sets = materialize(now.join(_parted(now, limit), "rep").select(F.col("component").alias("region"), "rep", "own", "above"), "region-sets")
 
 
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_region: int = MAX_REGION) -> DataFrame:
@@ -384,12 +483,7 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str
     linked = _regions(rows, limit).withColumnRenamed("node", "class")
     regions = materialize(linked.join(classes, "class").select("rep", F.col("component").alias("region")), "regions")
 
-    sets = materialize(_sets_of(slim, regions, k), "region-sets")
-    weight = materialize(sets.groupBy("region").agg(F.sum(F.size("own")).alias("w")), "region-weights")
-    parts = [_small_regions(sets.join(weight.where(F.col("w") <= max_region), "region", "left_semi"), limit)]
-    if not weight.where(F.col("w") > max_region).isEmpty():
-        parts.append(_large_regions(sets.join(weight.where(F.col("w") > max_region), "region", "left_semi"), limit))
-    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    found = _joined_regions(_sets_of(slim, regions, k), limit, max_region)
     named = classes.join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull() | (F.col("n_shingles") == 0)

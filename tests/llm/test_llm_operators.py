@@ -92,10 +92,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_bitmap_never_forgets(spark):
+def test_bitmap_never_forgets(spark, monkeypatch):
     v = [5, -3, 2**62, 77]
-    table = bitmap.collect(spark.createDataFrame([(x,) for x in v], "x long"), "x")
+    values = spark.createDataFrame([(x,) for x in v], "x long")
+    table = bitmap.collect(values, "x")
     assert bitmap.contains(table, np.array(v)).all() and not bitmap.contains(table, np.array([6, 8])).any()
+    many = bitmap.collect(spark.range(20_000), "id")
+    assert len(many) * 64 >= bitmap.LEAST_BITS_EACH * 20_000 and bitmap.contains(many, np.arange(20_000)).all()
+    docs = docs_of(spark, ["a", "b", "c"], [5, None, 9])
+    assert [x.count() for x in bitmap.split(docs, "doc_id", table)] == [1, 2]
+    monkeypatch.setattr(bitmap, "MAX_BITS", 1)
+    assert bitmap.collect(values, "x") is None and [x.count() for x in bitmap.split(docs, "doc_id", None)] == [3, 0]
 
 
 # 1 URL filters.
@@ -258,12 +265,38 @@ def test_empty_tables(spark):
     assert url_filters.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_fences_are_drawn_by_weight(spark):
+    """Against plain Python: quartiles of bucketed values, Tukey's fences, shrunk towards language and all rows."""
+    rng = random.Random(8)
+    texts = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(25, 40))) for _ in range(90)]
+    d = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 60, "en").when(F.col("doc_id") < 80, "de")).withColumn("source", F.when(F.col("doc_id") % 7 == 0, "a").otherwise("b"))
+    counted = quality_rules.with_counts(d)
+    got = {(r["lang"], r["source"]): (r.m_word_len_lo, r.m_word_len_hi) for r in quality_rules.thresholds(counted).collect()}
+    rows = [(r["lang"] or "", r["source"], r.m_word_len) for r in counted.where("not base_failed").collect()]
+
+    def fence(values):
+        v = sorted(x >> max(0, x.bit_length() - 5) << max(0, x.bit_length() - 5) for x in values)
+        at = lambda k: v[-(-k * len(v) // 4) - 1]
+        spread = max(at(3) - at(1), 50)
+        return len(v), max(0, at(1) - 3 * spread), at(3) + 3 * spread
+
+    drawn = lambda fine, f, coarse: (fine * f + 100 * coarse) // (fine + 100)
+    every = fence([v for *_, v in rows])
+    for (lang, source), limits in got.items():
+        of_lang, own = fence([v for x, _, v in rows if x == lang]), fence([v for x, y, v in rows if (x, y) == (lang, source)])
+        assert limits == tuple(drawn(own[0], own[k], drawn(of_lang[0], of_lang[k], every[k])) for k in (1, 2))
+    assert len(got) == 6
+
+
 def test_quality_outliers_go_and_columns_stay(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["pump", "valve", "steel", "bolts", "rings"]) + str(rng.randrange(1000)) for _ in range(40)) for _ in range(150)] + [" ".join(f"word{rng.randrange(9999)}$$$###" for _ in range(40))]
     d = docs_of(spark, texts)
     kept = quality_rules.judge(d).where("kept")
     assert kept.count() == 150 and set(d.columns) <= set(kept.columns)
+    clash = d.withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit("x"))
+    same = quality_rules.keep(clash)
+    assert same.columns == clash.columns and same.count() == 150 and same.where("n_words = 'clash' and kept = 'x'").count() == 150
     both = quality_rules.report(d.union(d)).groupBy("doc_id").agg(F.count("*").alias("c"), F.count_distinct("kept").alias("k")).distinct().collect()
     assert {(r.c, r.k) for r in both} == {(2, 1)}
 
@@ -299,13 +332,35 @@ def test_jaccard_is_exact(spark, k, num, limit):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == jaccard(enumerate(texts), k, num, 100)
 
 
-def test_jaccard_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("small", [{"MAX_BUCKET": 3}, {"COMMON": 2, "MAX_BAND": 3}, {"COMMON": 1, "MAX_BAND": 1000}])
+def test_jaccard_large_buckets(spark, monkeypatch, small):
     texts = random_texts(9)
-    monkeypatch.setattr(jaccard_join, "MAX_BUCKET", 3)
-    out = jaccard_join.link(docs_of(spark, texts), 3, 90, 100).collect()
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(bitmap, "MAX_BITS", 1)
+    out = jaccard_join.link(docs_of(spark, texts).withColumn("class", F.lit("clash")).withColumn("region", F.lit(1)), 3, 90, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == jaccard(enumerate(texts), 3, 90, 100)
 
 
+def test_large_regions_take_few_rounds(spark, monkeypatch):
+    """Sets of one region with a common part are parted at once; those of a small universe need rounds that double."""
+    rng = random.Random(4)
+    written = collections.Counter()
+    keep = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: written.update([name]) or keep(df, name))
+    common = [rng.getrandbits(60) for _ in range(40)]
+    apart = [(1, i, common + [rng.getrandbits(60) for _ in range(60)]) for i in range(2000)]
+    apart += [(1, 5000 + i, apart[i][2][:-1] + [7]) for i in range(20)]
+    limit, schema = jaccard_join.Threshold(90, 100), "region long, rep long, own array<long>"
+    tidy = lambda rows: spark.createDataFrame([(g, r, sorted(set(own))) for g, r, own in rows], schema)
+    out = {r.rep: r.component for r in jaccard_join._joined_regions(tidy(apart), limit, 5000).collect()}
+    assert {i: c for i, c in out.items() if c != i} == {5000 + i: i for i in range(20)} and written["pivots"] == 0 and written["parted"] <= 2
+    dense = [(2, i, rng.sample(range(100), 60)) for i in range(300)]
+    dense += [(2, 1000 + i, dense[i][2][:-1]) for i in range(0, 300, 10)]
+    out = {r.rep: r.component for r in jaccard_join._joined_regions(tidy(dense), limit, 2000).collect()}
+    assert {i: c for i, c in out.items() if c != i} == {1000 + i: i for i in range(0, 300, 10)} and written["pivots"] <= 6
+
+
 def test_bucket_bounds_never_cut_a_link():
     rng = np.random.default_rng(1)
     limit = jaccard_join.Threshold(80, 100)
@@ -694,6 +749,14 @@ def test_substrings(spark, window, gram):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == removal(enumerate(texts), window)
 
 
+def test_substrings_without_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(bitmap, "MAX_BITS", 1)
+    texts = random_texts(10)
+    d = docs_of(spark, texts).withColumn("anchor", F.lit("clash")).withColumn("start", F.lit(1)).withColumn("starts", F.lit(1))
+    out = substring_dedup.dedup(d.union(d.where("doc_id < 30")), window=10, gram=4).collect()
+    assert len(out) == len(texts) + 30 and {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == removal(enumerate(texts), 10)
+
+
 def test_substring_edges(spark):
     t = " ".join(f"w{i}" for i in range(60))
     out = sorted(((r.doc_id, r.n_removed) for r in substring_dedup.dedup(docs_of(spark, [t, t, t, None, t + " x"], [None, 1, 1, 2, 9])).collect()), key=str)

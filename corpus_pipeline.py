@@ -6,26 +6,27 @@ empty table passes all stages."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bitmap, bpe, decontaminate, jaccard_join, pii, quality_rules
-from quillmark.llm.scratch import materialize
+from quillmark.llm.scratch import materialize, scope, scratch_dir
 
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    rows = docs.select(F.struct("*").alias("_qm_row"), "text", "lang", "source")
-    return quality_rules.judge(rows).where("kept").select("_qm_row.*")
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by a Jaccard similarity of 0.8 or more."""
     linked = materialize(jaccard_join.link(docs, SHINGLE_WORDS, NUM, DEN).select("doc_id", "component_id"), "linked")
-    drop = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_qm_drop")).distinct()
+    drop = materialize(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_qm_drop")).distinct(), "duplicates")
     # A bitmap of the ids to drop spares the texts of all other documents the shuffle.
     maybe, others = bitmap.split(docs, "doc_id", bitmap.collect(drop, "_qm_drop"))
     kept = others.unionByName(maybe.join(drop, maybe["doc_id"] == drop["_qm_drop"], "left_anti"))
@@ -61,5 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):  # a stage's own tables go once its result is written
+            done = stage(spark, docs, sf_dir)
+            path = f"{scratch_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+            done.write.parquet(path)
+            docs = spark.read.schema(done.schema).parquet(path)
     return docs

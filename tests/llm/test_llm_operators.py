@@ -720,6 +720,47 @@ def test_shards(spark):
     assert dict(zip(out.doc_id, out.shard)) == dict(zip(again.doc_id, again.shard))
 
 
+def test_tree_by_plain_recursion(spark):
+    """Every cut lies along the widest dimension and as near to its goal as the points let it."""
+    rng = random.Random(12)
+    rows = [(i, rng.randint(50, 400), *(rng.choice([rng.randrange(1 << 30), 5]) for _ in kd_shards.DIMS)) for i in range(1500)]
+    points = spark.createDataFrame(rows, "point long, w long, " + ", ".join(f"d{k} long" for k in range(len(kd_shards.DIMS))))
+    room = [1.0, 2.0, 1.0, 0.0, 1.0]
+    found, splits = kd_shards.assign(points, room)
+    spread = lambda own, k: max(r[2 + k] for r in own) - min(r[2 + k] for r in own)
+    shard, nodes, todo = {}, {0: rows}, {0: (0, 5)}
+    for p in splits:
+        own, (a, b) = nodes.pop(p["node"]), todo.pop(p["node"])
+        wide = [spread(own, k) / max(1, spread(rows, k)) for k in range(len(kd_shards.DIMS))]
+        assert wide[p["dim"]] == max(wide) and p["middle"] == (a + b) // 2
+        left, right = [r for r in own if r[2 + p["dim"]] < p["cut"]], [r for r in own if r[2 + p["dim"]] >= p["cut"]]
+        total = sum(r[1] for r in own)
+        goal = total * sum(room[a : p["middle"]]) / sum(room[a:b])
+        ties = collections.Counter()
+        for r in own:
+            ties[r[2 + p["dim"]]] += r[1]
+        at, best = 0, abs(goal)
+        for v in sorted(ties):
+            at += ties[v]
+            best = min(best, abs(goal - at))
+        assert abs(sum(r[1] for r in left) - goal) <= best + kd_shards.TOLERANCE * total / (b - a) + 1e-6
+        for name, part, span in ((p["first"], left, (a, p["middle"])), (p["first"] + 1, right, (p["middle"], b))):
+            nodes[name], todo[name] = part, span
+    for name, own in nodes.items():
+        shard |= {r[0]: todo[name][0] for r in own}
+    assert {r.point: r.shard for r in found.collect()} == shard
+
+
+def test_equal_texts_stay_together(spark):
+    """Groups of equal texts stay in one shard unless they can't fit one; shards are near equal all the same."""
+    texts = [f"group {g} " * 60 for g in range(6) for _ in range(30 + 9 * g)] + ["the hot one " * 50] * 500 + [f"text {i} " * (3 + i % 60) for i in range(1500)]
+    out = kd_shards.shard(docs_of(spark, texts), 8).toPandas()
+    by = out.groupby("shard")["size"].sum()
+    assert len(by) == 8 and by.max() <= 1.05 * by.mean() and by.min() >= 0.95 * by.mean()
+    spans = out.groupby("text_crc32").agg(n=("shard", "nunique"), w=("size", "sum"))
+    assert (spans.n <= -(-spans.w // by.mean()) + 1).all() and (spans[spans.w < 0.7 * by.mean()].n == 1).all()
+
+
 def test_shards_by_target_and_edges(spark):
     d = docs_of(spark, ["abc def " * 50] * 3 + [f"text {i} " * 30 for i in range(60)], [None, 5, 5, *range(60)])
     assert kd_shards.shard(d, target_bytes=4000).select("shard").distinct().count() == 4

@@ -499,41 +499,47 @@ def tokenizer():
 
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = bpe.read_ranks(path)
-    return path, P.PATTERN, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+    with open(path, "rb") as f:
+        data = f.read()
+    return data, P.PATTERN, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_bpe_of_any_text(tokenizer, text):
-    path, pattern, enc, _ = tokenizer
-    own = bpe.Encoder.load(path, pattern)
+    data, pattern, enc, _ = tokenizer
+    own = bpe.Encoder.load(data, pattern)
     text = text.encode("utf-8", "ignore").decode()
     assert own.encode(text) == enc.encode_ordinary(text) and own.decode(own.encode(text)) == text.encode()
 
 
 def test_bpe_long_words(tokenizer):
-    path, pattern, enc, ranks = tokenizer
+    data, pattern, enc, ranks = tokenizer
     for t in ("a" * 3000, "ab" * 700 + "<|endoftext|>", " " * 500, "éß" * 300):
-        assert bpe.Encoder.load(path, pattern).encode(t) == enc.encode_ordinary(t)
+        assert bpe.Encoder.load(data, pattern).encode(t) == enc.encode_ordinary(t)
     assert bpe._fold_long(b"international", {**{bytes([i]): i for i in range(256)}, b"in": 300, b"at": 299, b"nt": 298}) == bpe.fold(b"international", {**{bytes([i]): i for i in range(256)}, b"in": 300, b"at": 299, b"nt": 298})
 
 
 def test_bpe_fold_in_spark(spark, tokenizer):
     _, _, enc, ranks = tokenizer
-    words = ["", "hello", "therothing", "éèau", " thionerre", "a", "zzqqx"]
+    words = ["", "hello", "therothing", "éèau", " thionerre", "a", "zzqqx", "ab", "aaaaaaaaa", " the", "hellohello"]
     out = bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
     assert {r.word: list(r.ids) for r in out} == {w: enc.encode_ordinary(w) for w in words}
 
 
 def test_bpe_rows(spark, tokenizer):
-    path, pattern, enc, _ = tokenizer
+    data, pattern, enc, _ = tokenizer
     texts = [None, "", "Hello, world", "x" * 100, "a\u00a0 b"]
-    out = {r.doc_id: r for r in bpe.digest(docs_of(spark, texts), path, pattern).collect()}
+    out = {r.doc_id: r for r in bpe.digest(docs_of(spark, texts), data, pattern).collect()}
     for i, t in enumerate(texts):
         ids = enc.encode_ordinary(t or "")
         assert out[i].n_tokens == len(ids) and out[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and out[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
-    full = bpe.encoded(docs_of(spark, texts), path, pattern)
+    full = bpe.encoded(docs_of(spark, texts), data, pattern)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in full.collect()) and "extra" in full.columns
+    clash = docs_of(spark, texts * 2).withColumn("ids", F.lit("x")).withColumn("decoded", F.lit("x"))
+    again = bpe.encoded(clash, data, pattern)
+    assert all(list(r.ids) == enc.encode_ordinary(r.text or "") for r in again.collect()) and again.count() == 10
+    assert bpe.encoded(clash.limit(0), data, pattern).count() == 0 and bpe.digest(clash.limit(0), data, pattern).count() == 0
 
 
 # 6 Personal data.

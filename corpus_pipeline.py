@@ -49,7 +49,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether the ids decode to the text."""
-    out = bpe.encoded(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        out = bpe.encoded(docs, f.read(), tokenizers.PATTERN)
     return out.withColumn("round_trip", F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).drop("decoded")
 
 

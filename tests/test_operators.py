@@ -233,14 +233,33 @@ def test_degradation_is_seeded_by_row(spark):
         cfg.rate("x")
 
 
-def test_degradation_words():
-    import random
-
+def test_degradation_words(spark):
     lex = degrade.read_lexicon()
     assert len(lex) == 49 and lex["number"] == "no"
-    assert degrade.abbreviate("Temperature TEMPERATURE temperatures", random.Random(1), 1.0, lex) == "temp TEMP temperatures"
-    assert degrade.char_noise("   ", random.Random(1), 1.0) == "   "
-    assert degrade.vary_units("", random.Random(1), 1.0) == ""
+    text, draws = F.col("t"), degrade.Draws(F.lit("7|x"))
+    one = lambda t, edit: spark.createDataFrame([(t,)], "t string").select(edit.alias("t")).first().t
+    assert one("Temperature TEMPERATURE temperatures, temperature", degrade.abbreviate(text, draws, 1.0, lex)) == "temp TEMP temperatures, temp"
+    assert one("   ", degrade.char_noise(text, draws, 1.0)) == "   "
+    for edit in (degrade.vary_units, degrade.char_noise, degrade.vary_case, degrade.vary_spaces):
+        assert one("", edit(text, draws, 1.0)) == "" and one(None, edit(text, draws, 1.0)) is None and one("ab 2V", edit(text, draws, 0.0)) == "ab 2V"
+    assert one("a 1.5 kW, 230V x", degrade.vary_units(text, draws, 1.0)).lower().replace(" ", "").replace(",5", ".5") == "a1.5kw,230vx"
+    assert one("o'neil-SMITH pump", degrade.vary_case(text, draws, 1.0)).lower() == "o'neil-smith pump"
+    assert one("a b c", degrade.vary_spaces(text, draws, 1.0)).replace(" ", "") == "abc"
+
+
+def test_char_noise_edits_as_often_as_told(spark):
+    import random
+
+    rng = random.Random(2)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) if i % 7 else " " for i in range(3000))
+    out = spark.createDataFrame([(str(i), text) for i in range(4)], "i string, t string").select(degrade.char_noise(F.col("t"), degrade.Draws(F.col("i")), 0.2).alias("t")).collect()
+    assert len({r.t for r in out}) == 4
+    for r in out:
+        assert abs(len(r.t) - len(text)) < 100 and r.t.count(" ") == text.count(" ")
+        import difflib
+
+        same = sum(m.size for m in difflib.SequenceMatcher(None, text, r.t, autojunk=False).get_matching_blocks())
+        assert 0.75 < same / len(text) < 0.95
 
 
 def test_distractors(spark):

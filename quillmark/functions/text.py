@@ -36,15 +36,15 @@ def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, APOSTROPHES, ""), r"\p{P}", " ")
 
 
-def normalise(text: Column) -> Column:
-    """Normal form by built-in functions: exact for texts that are NFKC already, carry no cp1252 damage and whose case
-    folding is that of lower() and sharp s. The operators call normalise_exact(), which covers the rest."""
+def normalise_plain(text: Column) -> Column:
+    """Normal form by built-in functions, for texts that needs_exact() clears: exact for texts that are NFKC already, carry no cp1252 damage and whose case
+    folding is that of lower() and sharp s. The operators call normalise(), which covers the rest."""
     folded = F.replace(F.lower(strip_control(F.coalesce(text, F.lit("")))), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(strip_punctuation(folded), r"(?U)\s+", " "))
 
 
 def needs_exact(text: Column) -> Column:
-    """Whether a text may differ between normalise() and normalise_exact()."""
+    """Whether a text may differ between normalise_plain() and normalise()."""
     return F.coalesce(text.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]|[" + MOJIBAKE_SIGNALS + "]"), F.lit(False))
 
 
@@ -92,10 +92,10 @@ def _exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(normalise_str)
 
 
-def normalise_exact(text: Column) -> Column:
+def normalise(text: Column) -> Column:
     """The normal form of any text: only texts that need it pay for Python (the others go through as null)."""
     hard = F.when(needs_exact(text), text)
-    return F.when(needs_exact(text), _exact(hard)).otherwise(normalise(text))
+    return F.when(needs_exact(text), _exact(hard)).otherwise(normalise_plain(text))
 
 
 def key_of(normal: Column) -> Column:
@@ -103,9 +103,9 @@ def key_of(normal: Column) -> Column:
     return F.regexp_replace(normal, "[^0-9a-z]+", "")
 
 
-def normalise_frame(df: DataFrame, columns: Iterable[str] = ("title", "description"), exact: bool = False) -> DataFrame:
+def normalise_frame(df: DataFrame, columns: Iterable[str] = ("title", "description"), exact: bool = True) -> DataFrame:
     """Adds <c>_norm and <c>_key; columns that are missing are skipped."""
-    make = normalise_exact if exact else normalise
+    make = normalise if exact else normalise_plain
     there = [c for c in columns if c in df.columns]
     return df.withColumns({f"{c}_norm": make(F.col(c)) for c in there}).withColumns({f"{c}_key": key_of(F.col(f"{c}_norm")) for c in there})
 

@@ -6,12 +6,13 @@ self-join: that cap is part of the operator, and its report counts what it drops
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import choose_two
-from ..functions.text import LEADING_STOPWORDS, gram_key, leading_token, normalise_exact, token_grams
+from ..functions.text import LEADING_STOPWORDS, gram_key, leading_token, normalise, token_grams
 
 MAX_BLOCK = 500
 
@@ -22,7 +23,7 @@ class SchemeUnavailable(ValueError):
 
 def gram_blocks(df: DataFrame, n: int = 3, k: int = 4, mode: str = "per_gram") -> DataFrame:
     """One block per distinct gram, or one key of the first k grams."""
-    title = normalise_exact(F.col("title"))
+    title = normalise(F.col("title"))
     if mode == "per_gram":
         return df.select(F.explode(token_grams(title, n)).alias("block_key"), "record_id")
     if mode == "single_key":
@@ -31,7 +32,7 @@ def gram_blocks(df: DataFrame, n: int = 3, k: int = 4, mode: str = "per_gram") -
 
 
 def leading_blocks(df: DataFrame, stopwords: Iterable[str] = LEADING_STOPWORDS) -> DataFrame:
-    return df.select(leading_token(normalise_exact(F.col("title")), stopwords).alias("block_key"), "record_id").where("block_key is not null")
+    return df.select(leading_token(normalise(F.col("title")), stopwords).alias("block_key"), "record_id").where("block_key is not null")
 
 
 def buyer_blocks(df: DataFrame) -> DataFrame:
@@ -133,27 +134,59 @@ def positives(truth: DataFrame) -> DataFrame:
     return ordered(truth.where("label = 1").select("left_id", "right_id"))
 
 
-def evaluate(candidates: DataFrame, truth: DataFrame | None, n_records: Column | int) -> DataFrame:
+@dataclass
+class SameBlock:
+    """Truth by a key: records (record_id, block_key), one row each, are true pairs where their keys are equal. Pairs are
+    counted and looked up, never listed, so a key of any size costs its members."""
+
+    blocks: DataFrame
+
+    def total(self) -> DataFrame:
+        return block_sizes(self.blocks).agg(F.coalesce(F.sum(choose_two(F.col("size"))), F.lit(0)).cast("long").alias("n_true"))
+
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        for side in ("left", "right"):
+            pairs = pairs.join(self.blocks.select(F.col("record_id").alias(f"{side}_id"), F.col("block_key").alias(f"_{side}")), f"{side}_id", "left")
+        return pairs.withColumn("_t", F.when(F.col("_left") == F.col("_right"), 1)).drop("_left", "_right")
+
+
+@dataclass
+class ListedPairs:
+    """Truth by pairs (left_id, right_id, label)."""
+
+    pairs: DataFrame
+
+    def total(self) -> DataFrame:
+        return positives(self.pairs).agg(F.count("*").alias("n_true"))
+
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(positives(self.pairs).withColumn("_t", F.lit(1)), ["left_id", "right_id"], "left")
+
+
+def as_truth(truth: DataFrame | SameBlock) -> SameBlock | ListedPairs:
+    return ListedPairs(truth) if isinstance(truth, DataFrame) else truth
+
+
+def evaluate(candidates: DataFrame, truth: DataFrame | SameBlock | None, n_records: Column | int) -> DataFrame:
     """One row: candidates, true pairs, those retained, pair completeness and reduction ratio."""
     c = ordered(candidates.select("left_id", "right_id"))
     out = c.agg(F.count("*").alias("n_candidates"))
     if truth is None:
         out = out.select("n_candidates", F.lit(None).cast("long").alias("n_true"), F.lit(None).cast("long").alias("n_retained"))
     else:
-        t = positives(truth)
-        out = out.join(t.agg(F.count("*").alias("n_true")), F.lit(True)).join(t.join(c, ["left_id", "right_id"], "left_semi").agg(F.count("*").alias("n_retained")), F.lit(True))
+        t = as_truth(truth)
+        out = t.marked(c).agg(F.count("*").alias("n_candidates"), F.count("_t").alias("n_retained")).join(t.total(), F.lit(True)).select("n_candidates", "n_true", "n_retained")
     n = F.lit(n_records) if isinstance(n_records, int) else n_records
     possible = choose_two(n)
     return out.withColumns({"n_possible": possible, "pair_completeness": F.when(F.col("n_true") > 0, F.col("n_retained") / F.col("n_true")), "reduction_ratio": F.when(possible > 0, 1 - F.col("n_candidates") / possible)})
 
 
-def sweep(shared: DataFrame, truth: DataFrame, n_records: int, thresholds: Iterable[int]) -> DataFrame:
+def sweep(shared: DataFrame, truth: DataFrame | SameBlock, n_records: int, thresholds: Iterable[int]) -> DataFrame:
     """Metrics at every threshold from one table of shared counts: counts per value, then sums from the top."""
     ts = shared.sparkSession.createDataFrame([(int(t),) for t in thresholds], "threshold int")
-    t = positives(truth)
-    hit = shared.join(t.withColumn("_t", F.lit(1)), ["left_id", "right_id"], "left")
-    counts = hit.groupBy("shared").agg(F.count("*").alias("c"), F.count("_t").alias("k"))
-    total = t.agg(F.count("*").alias("n_true"))
+    t = as_truth(truth)
+    counts = t.marked(shared).groupBy("shared").agg(F.count("*").alias("c"), F.count("_t").alias("k"))
+    total = t.total()
     out = ts.join(counts, F.col("shared") >= F.col("threshold"), "left").groupBy("threshold").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_candidates"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_retained")).join(total, F.lit(True))
     possible = n_records * (n_records - 1) // 2
     return out.withColumns({"pair_completeness": F.when(F.col("n_true") > 0, F.col("n_retained") / F.col("n_true")), "reduction_ratio": F.lit(1.0) - F.col("n_candidates") / F.lit(float(possible)) if possible else F.lit(None).cast("double")})
@@ -167,21 +200,21 @@ def operating_point(curve: DataFrame, floor: float = 0.98) -> DataFrame:
     return curve.agg(best.alias("selected"), F.max(F.when(good, F.col("reduction_ratio"))).alias("reduction_ratio"), F.max_by("threshold", F.struct("pair_completeness", -F.col("threshold"))).alias("best_threshold"))
 
 
-def sweep_single_key(df: DataFrame, truth: DataFrame, n_records: int, ks: Iterable[int], n: int = 3, most: int = MAX_BLOCK) -> DataFrame:
+def sweep_single_key(df: DataFrame, truth: DataFrame | SameBlock, n_records: int, ks: Iterable[int], n: int = 3, most: int = MAX_BLOCK) -> DataFrame:
     """Metrics of single-key blocking for every k: one pass, k being part of the block key."""
-    grams = df.select("record_id", F.array_sort(token_grams(normalise_exact(F.col("title")), n)).alias("g")).where(F.size("g") > 0)
+    grams = df.select("record_id", F.array_sort(token_grams(normalise(F.col("title")), n)).alias("g")).where(F.size("g") > 0)
     keyed = grams.select("record_id", F.explode(F.array(*(F.lit(int(k)) for k in ks))).alias("k"), "g").select("k", "record_id", F.concat_ws("#", "k", F.array_join(F.expr("slice(g, 1, k)"), "|")).alias("block_key"))
-    own = keyed.withColumn("size", F.count("*").over(Window.partitionBy("block_key"))).where(F.col("size").between(2, most))
+    own = cap_blocks(keyed, most)
     a, b = own.select("k", "block_key", F.col("record_id").alias("left_id")), own.select("block_key", F.col("record_id").alias("right_id"))
     pairs = a.join(b, "block_key").where("left_id < right_id").select("k", "left_id", "right_id").distinct()
-    t = positives(truth)
-    found = pairs.join(t.withColumn("_t", F.lit(1)), ["left_id", "right_id"], "left").groupBy("k").agg(F.count("*").alias("n_candidates"), F.count("_t").alias("n_retained"))
-    out = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int").join(found, "k", "left").fillna(0).join(t.agg(F.count("*").alias("n_true")), F.lit(True))
+    t = as_truth(truth)
+    found = t.marked(pairs).groupBy("k").agg(F.count("*").alias("n_candidates"), F.count("_t").alias("n_retained"))
+    out = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int").join(found, "k", "left").fillna(0).join(t.total(), F.lit(True))
     possible = max(1, n_records * (n_records - 1) // 2)
     return out.withColumns({"pair_completeness": F.when(F.col("n_true") > 0, F.col("n_retained") / F.col("n_true")), "reduction_ratio": 1 - F.col("n_candidates") / possible})
 
 
-def evaluate_corpus(df: DataFrame, truth: DataFrame | None, most: int = MAX_BLOCK, options: dict[str, dict] | None = None) -> DataFrame:
+def evaluate_corpus(df: DataFrame, truth: DataFrame | SameBlock | None, most: int = MAX_BLOCK, options: dict[str, dict] | None = None) -> DataFrame:
     """One row per scheme and one for their union: report counts and metrics. A scheme whose column is missing or empty has
     a reason instead of figures."""
     n, there, out = df.count(), applicable(df), None

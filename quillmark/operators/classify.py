@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_rate
-from ..functions.text import normalise_exact, padded_grams
+from ..functions.text import normalise, padded_grams
 
 
 def _labels(train: DataFrame, label_col: str) -> list[str]:
@@ -31,7 +31,7 @@ class TfidfSvm:
         self.features, self.max_iter = features, max_iter
 
     def _terms(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_terms", padded_grams(normalise_exact(F.col("text")), 2, 5))
+        return df.withColumn("_terms", padded_grams(normalise(F.col("text")), 2, 5))
 
     def fit(self, train: DataFrame, label_col: str = "label") -> TfidfSvm:
         from pyspark.ml import Pipeline
@@ -153,5 +153,6 @@ def macro_weighted_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def best_by_score(df: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    """The row of best score of each key; of equal scores the least in all columns."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), *(c for c in sorted(df.columns) if c not in (*keys, "score")))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -99,5 +99,7 @@ def shortlist(queries: DataFrame, labels: DataFrame, k: int = 12, block_rows: in
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, label_id {labels.schema['label_id'].dataType.simpleString()}, score double"
         part = queries.select("query_id", unit(F.col("vector")).alias("vector")).mapInPandas(run, kinds)
         out = part if out is None else out.union(part)
+    if out is None:
+        return queries.select("query_id").where(F.lit(False)).select("query_id", F.lit(None).cast(labels.schema["label_id"].dataType).alias("label_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "label_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

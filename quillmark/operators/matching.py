@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, safe_rate
-from ..functions.text import key_of, normalise_exact, padded_grams, text_of
+from ..functions.text import key_of, normalise, padded_grams, text_of
 from .blocking import MAX_BLOCK, block_pairs, hub_pairs
 
 
 def record_texts(records: DataFrame) -> DataFrame:
     """(record_id, text): the normal form of title and description."""
     d = F.col("description") if "description" in records.columns else F.lit(None).cast("string")
-    return records.select("record_id", normalise_exact(text_of(F.col("title"), d)).alias("text"))
+    return records.select("record_id", normalise(text_of(F.col("title"), d)).alias("text"))
 
 
 def record_keys(records: DataFrame) -> DataFrame:
@@ -149,17 +149,22 @@ def band_stats(scored: DataFrame, lower: float, upper: float) -> DataFrame:
 def running(scored: DataFrame, ties: str = "range", order: str | None = None) -> DataFrame:
     """Per distinct score (ties='range') or per row (ties='rows', then `order` is the tie-break): score, tp, fp.
 
-    The range form counts per score first, and the running sum goes over score buckets: totals of coarse buckets come
-    before each one, so no task holds all rows."""
+    Running sums go over buckets of scores: the totals of the buckets above come first, so no task holds all rows. Scores
+    outside [-1, 2] share the buckets at the ends, so there are at most 3002 buckets. The range form counts per score first."""
+    bucket = F.floor(F.greatest(F.least(F.col("score"), F.lit(2.0)), F.lit(-1.0)) * 1000)
+    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = lambda own: own.select("bucket", *(F.coalesce(F.sum(f"b{c}").over(above), F.lit(0)).alias(f"a{c}") for c in "pqn"))
     if ties == "rows":
-        w = Window.orderBy(F.desc("score"), order)
-        return scored.select("score", F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"), F.sum(1 - F.col("label")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fp"), F.row_number().over(w).alias("rank"))
+        rows = scored.select("score", "label", F.col(order).alias("_order")).withColumn("bucket", bucket)
+        own = rows.groupBy("bucket").agg(F.sum("label").alias("bp"), F.sum(1 - F.col("label")).alias("bq"), F.count("*").cast("int").alias("bn"))
+        w = Window.partitionBy("bucket").orderBy(F.desc("score"), "_order")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return rows.join(totals(own), "bucket").select("score", (F.sum("label").over(upto) + F.col("ap")).alias("tp"), (F.sum(1 - F.col("label")).over(upto) + F.col("aq")).alias("fp"), (F.row_number().over(w) + F.col("an")).cast("int").alias("rank"))
     if ties != "range":
         raise ValueError(f"unknown ties {ties!r}")
-    per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).withColumn("bucket", F.floor(F.col("score") * 1000))
-    own = per.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))
-    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    before = own.select("bucket", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bq").over(above), F.lit(0)).alias("aq"))
+    per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).withColumn("bucket", bucket)
+    own = per.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"), F.count("*").alias("bn"))
+    before = totals(own)
     w = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return per.join(before, "bucket").select("score", (F.sum("p").over(w) + F.col("ap")).alias("tp"), (F.sum("q").over(w) + F.col("aq")).alias("fp"))
 
@@ -188,7 +193,7 @@ def similar_in_group(docs: DataFrame, group: str, least: float = 0.75, low: int
     absence would leave less than `least` (prefix filter); the kept pairs are then scored over all terms."""
     w = tfidf(docs, padded_grams(F.col("text"), low, high), group, sublinear=False)
     # Rest of the squared weight after the terms that are rarer; while it is >= least**2 a pair may still reach `least`.
-    df = w.withColumn("df", F.count("*").over(Window.partitionBy(group, "term")))
+    df = w.join(w.groupBy(group, "term").agg(F.count("*").alias("df")), [group, "term"])
     rare = Window.partitionBy(group, "record_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     prefix = df.withColumn("rest", 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare), F.lit(0.0))).where(F.col("rest") >= least * least - 1e-9).where("df > 1")
     a, b = prefix.select(group, "term", F.col("record_id").alias("left_id")), prefix.select(group, "term", F.col("record_id").alias("right_id"))

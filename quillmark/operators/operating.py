@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_rate
@@ -29,8 +29,9 @@ def automated_share(points: DataFrame, target: float = DEFAULT_TARGET) -> DataFr
     return points.agg(F.coalesce(F.min(F.when(good, F.col("threshold"))), F.lit(float("nan"))).alias("threshold"), F.coalesce(F.max(F.when(good, F.col("automated_share"))), F.lit(0.0)).alias("automated_share"))
 
 
-def residual_effort(n: int, share: float, mean_seconds: float) -> dict[str, float]:
-    """Hours by hand, hours that remain and hours saved. The mean has no default: it must have been measured."""
+def residual_effort(n: int | Column, share: float | Column, mean_seconds: float | Column) -> dict:
+    """Hours by hand, hours that remain and hours saved. The mean has no default: it must have
+    been measured. Takes numbers or columns."""
     base = n * mean_seconds / 3600
     return {"baseline_hours": base, "residual_hours": base * (1 - share), "hours_saved": base * share}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_exact, token_grams, tokens
+from ..functions.text import normalise, token_grams, tokens
 
 
 def route(rows: DataFrame, matches: DataFrame, supported: DataFrame, duplicate_from: float, new_to: float, auto_from: float) -> DataFrame:
@@ -36,9 +36,10 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 
 
 def search(register: DataFrame, query: str, fields: dict[str, str], limit: int | None = None) -> DataFrame:
-    """register rows that hold every word of the query in some field, with a rank: summed weights of the matching words."""
+    """register rows that hold every word of the query in some field, with a rank: summed weights of the matching words.
+    Rows of one rank are in order of their id."""
     words = sorted({w for w in query.lower().split() if w})
-    text = {c: tokens(normalise_exact(F.col(c))) for c in fields}
+    text = {c: tokens(normalise(F.col(c))) for c in fields}
     rank, every = F.lit(0.0), F.lit(True)
     for w in words:
         hits = [F.array_contains(t, w) for t in text.values()]
@@ -48,7 +49,7 @@ def search(register: DataFrame, query: str, fields: dict[str, str], limit: int |
             some = some | h
         every = every & some
     out = register.withColumn("rank", rank).where(every)
-    return out.orderBy(F.desc("rank")).limit(limit) if limit else out
+    return out.orderBy(F.desc("rank"), "record_id").limit(limit) if limit else out
 
 
 def map_headers(headers: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
@@ -91,7 +92,7 @@ def with_hazard(records: DataFrame, hazards: dict[str, tuple[str, int]] = HAZARD
 
 def evidence(pairs: DataFrame, records: DataFrame, most: int = 10) -> DataFrame:
     """pairs plus matched: the first grams in order that both titles share, as what a reviewer sees."""
-    g = records.select("record_id", token_grams(normalise_exact(F.col("title"))).alias("g"))
+    g = records.select("record_id", token_grams(normalise(F.col("title"))).alias("g"))
     for side in ("left", "right"):
         pairs = pairs.join(g.select(F.col("record_id").alias(f"{side}_id"), F.col("g").alias(f"_{side}")), f"{side}_id", "left")
     shared = F.array_sort(F.array_intersect("_left", "_right"))

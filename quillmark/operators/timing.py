@@ -56,7 +56,11 @@ def gaps(events: DataFrame, key: str, at: str, order: str, idle: float) -> DataF
     return events.withColumn("seconds", s).where("seconds is not null").withColumn("abandoned", F.col("seconds") > idle)
 
 
-def rolling_sum(value: Column, partition: str, at: str, seconds: int = 60) -> Column:
-    """Sum over the last `seconds`; what is exactly that old has left the window."""
-    ms = F.unix_millis(F.col(at).cast("timestamp"))
-    return F.sum(value).over(Window.partitionBy(partition).orderBy(ms).rangeBetween(-(seconds * 1000 - 1), 0))
+def rolling_sum(events: DataFrame, value: str, partition: str, at: str, seconds: int = 60, chunk_seconds: int = 3600) -> DataFrame:
+    """events plus rolling: the sum over the last `seconds`; what is exactly that old has left the window. A key's events
+    are dealt into chunks of time, each with the events just before it once more, so a key of many events fills no task."""
+    ms, span, chunk = F.unix_millis(F.col(at).cast("timestamp")), seconds * 1000, max(chunk_seconds, seconds) * 1000
+    own = events.withColumn("_ms", ms).withColumn("_own", F.floor(F.col("_ms") / chunk))
+    both = own.withColumn("_chunk", F.explode(F.when(F.col("_ms") > (F.col("_own") + 1) * chunk - span, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(partition, "_chunk").orderBy("_ms").rangeBetween(-(span - 1), 0)
+    return both.withColumn("rolling", F.sum(value).over(w)).where("_own = _chunk or _own is null").drop("_ms", "_own", "_chunk")

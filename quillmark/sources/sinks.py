@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", *partition: str) -> None:
@@ -20,6 +26,27 @@ def write_corpus(df: DataFrame, report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(f"{path}/report.json")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; where it is unset, in a temporary one if all runs on one
+    machine."""
+    shared = (spark.conf.get("spark.checkpoint.dir", "") or "").rstrip("/")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="quillmark-work-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        shared = "file://" + _LOCAL[0]
+    return f"{shared}/work/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to a table of its own and read back: lineage ends here, whoever reads it."""
+    path = work_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

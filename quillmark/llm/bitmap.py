@@ -1,7 +1,7 @@
 """A bitmap that tells workers which values can be skipped.
 
-Its size follows the number of values, at least LEAST_BITS_EACH bits for each, up to MAX_BITS (32 MB), so it can be
-broadcast at any scale; more values than fit have no bitmap (None), and the caller joins instead. Values that share a bit
+Its size follows the number of values, BITS_EACH bits or more for each while that stays within MAX_BITS (32 MB), so it can
+be broadcast at any scale; more values than have LEAST_BITS_EACH bits there get no bitmap (None), and the caller joins. Values that share a bit
 only let more rows through: whoever uses it must not rely on a set bit."""
 
 from __future__ import annotations
@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded
 
-MIN_BITS, MAX_BITS, LEAST_BITS_EACH = 1 << 16, 1 << 28, 8
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
+BITS_EACH, LEAST_BITS_EACH = 32, 8
 
 
 def collect(values: DataFrame, column: str) -> np.ndarray | None:
     """The bitmap of a column of longs (a written table: it is read twice). Bits are joined in Spark; at most MAX_BITS / 64
     rows come to the driver."""
     n = values.count()
-    bits = max(MIN_BITS, 1 << (n * LEAST_BITS_EACH).bit_length())
-    if bits > MAX_BITS:
+    if max(MIN_BITS, n * LEAST_BITS_EACH) > MAX_BITS:
         return None
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (n * BITS_EACH).bit_length()))
     words = values.select(F.pmod(column, F.lit(bits)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     table = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)

@@ -434,3 +434,45 @@ def test_profile(spark):
     assert (r.n_groups, r.n_notices, r.n_shared_titles) == (1, 2, 1)
     assert profile.profile(df).first().n_records_all == 4
     assert json.dumps(profile.excluded_share(df, ["30"], []).first().asDict())
+
+
+def test_truth_by_key_is_that_by_pairs(spark):
+    df = recs(spark, [f"pump valve {i % 3} steel" for i in range(12)], buyer_id=[str(i % 4) if i else None for i in range(12)])
+    blocks = blocking.buyer_blocks(df)
+    listed = blocking.block_pairs(blocks, 1 << 30).withColumn("label", F.lit(1))
+    shared = blocking.shared_grams(df)
+    for truth in (listed, blocking.SameBlock(blocks)):
+        assert blocking.evaluate(shared, truth, 12).first() == blocking.evaluate(shared, listed, 12).first()
+        assert got(blocking.sweep(shared, truth, 12, [1, 3])) == got(blocking.sweep(shared, listed, 12, [1, 3]))
+    assert blocking.SameBlock(blocks.limit(0)).total().first().n_true == 0
+
+
+def test_rolling_sums_cross_chunks(spark):
+    rows = [(i, "k", 1_700_000_000 + s) for i, s in enumerate([0, 30, 59, 60, 3599, 3600, 3601, 3659, 3660, 7200])] + [(99, "k", None)]
+    df = spark.createDataFrame(rows, "i long, k string, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("v", F.lit(1.0))
+    for chunk in (60, 100, 3600):
+        out = {r.i: r.rolling for r in timing.rolling_sum(df, "v", "k", "ts", chunk_seconds=chunk).collect()}
+        assert {i: n for i, n in out.items() if i != 99} == {i: float(sum(t is not None and s - 60 < t <= s for _, _, t in rows)) for i, _, s in rows if s is not None} and len(out) == len(rows)
+
+
+def test_ranks_by_rows_cross_buckets(spark):
+    rows = [(i, [0.5, 0.5001, 7.0, -3.0, 0.5, 1.0][i % 6], i % 2) for i in range(60)]
+    out = sorted((r["rank"], r.score, r.tp, r.fp) for r in matching.running(spark.createDataFrame(rows, "i long, score double, label int"), "rows", "i").collect())
+    tp = fp = 0
+    for (k, score, a, b), (_, s, label) in zip(out, sorted(rows, key=lambda r: (-r[1], r[0])), strict=True):
+        tp, fp = tp + label, fp + 1 - label
+        assert (score, a, b) == (s, tp, fp) and k == tp + fp
+
+
+def test_shortlist_without_labels(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    out = embedding.shortlist(q, spark.createDataFrame([], "label_id string, vector array<double>"))
+    assert out.count() == 0 and out.columns == ["query_id", "label_id", "score", "rank"]
+
+
+def test_limits_follow_headers(tmp_path):
+    told = {"x-ratelimit-limit-requests": "50", "x-ratelimit-limit-tokens": "900", "x-ratelimit-remaining-requests": "n/a"}
+    c = adjudicate.Client("m", lambda _: (200, {"text": "a", "tokens_in": 1, "tokens_out": 1}, told), tmp_path, sleep=lambda _: None, clock=lambda: 0.0)
+    before = c.limits
+    c.complete(adjudicate.Request("1", "s", "p", max_tokens=5))
+    assert (c.limits.rpd, c.limits.tpm) == (50, 900) and (c.limits.rpm, c.limits.tpd) == (before.rpm, before.tpd) and c.quota.requests_left is None

@@ -484,7 +484,7 @@ def test_html_text_in_several_containers():
 
 
 def test_html_rows(spark):
-    df = spark.createDataFrame([(1, None, "<p>a"), (1, "u", "<p>a"), (2, "u", None)], "page_id int, url string, html string")
+    df = spark.createDataFrame([(1, None, "<p>a"), (1, "u", "<p>a"), (2, "u", None)], "page_id int, url string, html string").withColumns({"text": F.lit(7), "n_chars": F.lit("clash")})
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
@@ -603,7 +603,7 @@ def test_many_spans_take_linear_time():
 
 def test_pii_rows_and_masks(spark):
     texts = [None, "", "mail é a@b.co or +44 20 7946 0958", "4111 1111 1111 1111 and 10.0.0.256 10.0.0.1"]
-    out = {r.doc_id: r for r in pii.scan(docs_of(spark, texts)).collect()}
+    out = {r.doc_id: r for r in pii.scan(docs_of(spark, texts).withColumns({"spans": F.lit(1), "n_email": F.lit("clash")})).collect()}
     assert (out[2].n_email, out[2].n_phone, out[3].n_card, out[3].n_ip) == (1, 1, 1, 1)
     assert out[0].base_sha256 == hashlib.sha256(b"").hexdigest() and out[2].spans == "email:7:13,phone:17:33"
     masked = {r.doc_id: r.text for r in pii.masked(docs_of(spark, texts)).collect()}
@@ -711,7 +711,7 @@ def test_leak_rows(spark, monkeypatch):
 def test_shards(spark):
     rng = random.Random(8)
     texts = [None, ""] + ["same text " * 30] * 120 + [" ".join(str(rng.random()) for _ in range(rng.randint(1, 40))) for _ in range(600)]
-    d = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("lang")))
+    d = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("lang"))).withColumns({"shard": F.lit("clash"), "point": F.lit("clash"), "size": F.lit(None)})
     out = kd_shards.shard(d, 7).toPandas()
     import zlib
 
@@ -829,6 +829,7 @@ def test_model_edges(spark):
     d = docs_of(spark, [None, "", "a b c", "x " * 500], [1, 2, None, 3])
     none = quality_model.train(d, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality_model.score(d, none).collect()} == {0.5}
+    d = d.withColumns({"score": F.lit("clash"), "quality": F.lit(None), "held_out": F.lit(3)})
     m = quality_model.train(d, spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, None)], "doc_id long, quality int"))
     assert quality_model.score(d, m).count() == 4 and quality_model.score(d.limit(0), m).count() == 0
 

@@ -1,8 +1,11 @@
 """Training-corpus pipeline over the documents table: rules, near duplicates, benchmark leaks, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller writes it as Parquet and reads it back as the
-next stage's docs. Rows with null ids or texts go through every stage; the quality rules drop texts without words. An
-empty table passes all stages."""
+next stage's docs. Rows with null ids or texts go through every stage; the quality rules drop texts without words. Very long
+texts are read whole by every stage. Of near duplicates the document of the least id stays; rows that repeat that id with an
+equal text become one, those with another text all stay. Columns of documents keep their names and values whatever they are
+called, but for text and n_chars under the mask and the three that the last stage adds (ids, n_tokens, round_trip), which
+replace columns of those names. An empty table passes all stages."""
 
 from __future__ import annotations
 

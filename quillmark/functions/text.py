@@ -44,8 +44,10 @@ def normalise_plain(text: Column) -> Column:
 
 
 def needs_exact(text: Column) -> Column:
-    """Whether a text may differ between normalise_plain() and normalise()."""
-    return F.coalesce(text.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]|[" + MOJIBAKE_SIGNALS + "]"), F.lit(False))
+    """Whether a text may differ between normalise_plain() and normalise(). Damage by cp1252 can only be undone where every
+    accented letter is followed by another character beyond ASCII, as the bytes of UTF-8 are."""
+    other, signal, sound = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]", f"[{MOJIBAKE_SIGNALS}]", r"[À-ÿ](?:[\x00-\x7F]|$)"
+    return F.coalesce(text.rlike(other) | (text.rlike(signal) & ~text.rlike(sound)), F.lit(False))
 
 
 def repair_encoding(text: str) -> str:

@@ -1,4 +1,5 @@
-"""DuckDB SQL for the queries that it can express: URL filters, quality rules, Jaccard join, substring removal."""
+"""DuckDB SQL for the queries that it can express: URL filters, quality rules, Jaccard join, substring removal, Merkle
+manifest, lexical search."""
 
 from __future__ import annotations
 
@@ -69,4 +70,40 @@ SUBSTRING = f"""WITH w AS (SELECT doc_id, {SPLIT.format("coalesce(text, '')")} w
  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) t, count(*) c FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
  SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(c, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_url_filters": url_filters(), "op2_quality_rules": quality_rules(), "op3_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING}
+
+def merkle(levels: int = 6, crown: int = 2) -> str:
+    """levels and crown bound the trees that the SQL follows (8**levels rows a language, 8**crown languages)."""
+    field = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    sql = f"""WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+ crc AS (SELECT row_number() OVER () r, *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) crc FROM documents, tbl),
+ lf AS MATERIALIZED (SELECT r, doc_id, coalesce('1' || lang, '0') k, {leaf("text")} leaf, CASE WHEN crc % 3 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END found FROM crc),
+ a0 AS MATERIALIZED (SELECT r, doc_id, leaf h, coalesce(found, leaf) f, k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, r) - 1 p, count(*) OVER (PARTITION BY k) width FROM lf)"""
+
+    def tree(name: str, height: int) -> str:
+        out = ""
+        for i in range(height):
+            run = "PARTITION BY k, p // 8 ORDER BY p ROWS BETWEEN"
+            out += f""", {name}s{i} AS MATERIALIZED (SELECT k, p, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') l, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') g FROM {name}{i} WHERE width > 1),
+ {name}{i + 1} AS MATERIALIZED (SELECT k, p, h, count(*) OVER (PARTITION BY k) width FROM (SELECT k, p // 8 p, sha256(string_agg(h, '' ORDER BY p)) h FROM {name}{i} WHERE width > 1 GROUP BY 1, 2))"""
+        return out + f", {name}top AS (" + " UNION ALL ".join(f"SELECT k, h FROM {name}{i} WHERE width = 1" for i in range(height + 1)) + ")"
+
+    sql += tree("a", levels) + ", c0 AS MATERIALIZED (SELECT k g, '' k, h, row_number() OVER (ORDER BY k) - 1 p, count(*) OVER () width FROM atop)" + tree("c", crown)
+    steps = [(f"as{i}", f"s.k = d.k AND s.p = d.p // {8**i}") for i in range(levels)] + [(f"cs{i}", f"s.p = d.q // {8**i}") for i in range(crown)]
+    sql += ", d0 AS (SELECT a0.r, doc_id, a0.k, a0.p, a0.h leaf, c0.h subroot, c0.p q, f, '' proof FROM a0 JOIN c0 ON c0.g = a0.k)"
+    for i, (name, on) in enumerate(steps):
+        sql += f", d{i + 1} AS (SELECT d.* REPLACE (CASE WHEN s.l IS NULL THEN f ELSE sha256(s.l || f || s.g) END AS f, proof || coalesce(s.l || s.g, '') AS proof) FROM d{i} d LEFT JOIN {name} s ON {on})"
+    return sql + f" SELECT doc_id, leaf, subroot, ctop.h root, sha256(proof) proof_sha256, f folded_root, f = ctop.h verified FROM d{len(steps)}, ctop"
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(UPPER, LOWER)
+
+SEARCH = f"""WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () r, {TERMS} w FROM documents),
+ c AS MATERIALIZED (SELECT count(*) FILTER (len(w) > 0) n_docs, CAST(sum(len(w)) AS BIGINT) n_terms FROM t), p AS MATERIALIZED (SELECT r, term, count(*) tf FROM (SELECT r, unnest(w) term FROM t) GROUP BY 1, 2),
+ q AS MATERIALIZED (SELECT item_id, term, count(*) times FROM (SELECT item_id, unnest({TERMS}) term FROM benchmark) GROUP BY 1, 2),
+ d AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) weight FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+ m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms m FROM t, c),
+ s AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) score FROM q JOIN d USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY 1, 2, 3)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
+ORACLE: dict[str, str] = {"op1_url_filters": url_filters(), "op2_quality_rules": quality_rules(), "op3_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op12_merkle_manifest": merkle(), "op13_lexical_search": SEARCH}

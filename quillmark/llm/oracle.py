@@ -106,4 +106,11 @@ SEARCH = f"""WITH t AS MATERIALIZED (SELECT doc_id, row_number() OVER () r, {TER
  s AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) score FROM q JOIN d USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY 1, 2, 3)
  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
 
-ORACLE: dict[str, str] = {"op1_url_filters": url_filters(), "op2_quality_rules": quality_rules(), "op3_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op12_merkle_manifest": merkle(), "op13_lexical_search": SEARCH}
+SUFFIX = """WITH t AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, hex(encode(coalesce(text, ''))) x FROM documents), win AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) g FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) i FROM t)),
+ hit AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1), o AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true)::INT b FROM hit), n AS (SELECT r, i, sum(b) OVER (PARTITION BY r ORDER BY i) s FROM o),
+ sp AS (SELECT r, s, min(i) a, max(i) + 200 z FROM n GROUP BY 1, 2), l AS (SELECT r, list(a ORDER BY a) a, list(z ORDER BY a) z FROM sp GROUP BY 1),
+ k AS (SELECT doc_id, x, coalesce(a, []) a, coalesce(z, []) z FROM t LEFT JOIN l USING (r))
+ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) n_removed, CAST(len(a) AS BIGINT) n_spans,
+ sha256(unhex(array_to_string(list_transform(list_append(a, len(x) // 2), lambda q, i: substr(x, CASE WHEN i = 1 THEN 1 ELSE 2 * z[i - 1] + 1 END, 2 * (q - CASE WHEN i = 1 THEN 0 ELSE z[i - 1] END))), ''))) kept_sha256 FROM k"""
+
+ORACLE: dict[str, str] = {"op1_url_filters": url_filters(), "op2_quality_rules": quality_rules(), "op3_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op11_suffix_dedup": SUFFIX, "op12_merkle_manifest": merkle(), "op13_lexical_search": SEARCH}

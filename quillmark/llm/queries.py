@@ -14,8 +14,9 @@ from .pii import op6_pii
 from .quality_model import op10_quality_model
 from .quality_rules import op2_quality_rules
 from .substring_dedup import op9_substring_dedup
+from .suffix_array import op11_suffix_dedup
 from .url_filters import op1_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_jaccard_join, op4_html_text, op5_byte_bpe, op6_pii, op7_decontaminate, op8_kd_shards, op9_substring_dedup, op10_quality_model, op12_merkle_manifest, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op3_jaccard_join, op4_html_text, op5_byte_bpe, op6_pii, op7_decontaminate, op8_kd_shards, op9_substring_dedup, op10_quality_model, op11_suffix_dedup, op12_merkle_manifest, op13_lexical_search)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import blocking as B
-from ..operators import classify, degrade, embedding, ledger, matching, operating, profile, records, register, sampling, splits, taxonomy, timing
+from ..operators import classify, cosine_join, degrade, embedding, ledger, matching, operating, profile, records, register, sampling, splits, taxonomy, timing
 from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,23 +400,20 @@ def vectors(spark, d) -> DataFrame:
 
 DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 UNIT = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))"
-COSINE = f"cs AS (SELECT CAST(a.vec_id AS VARCHAR) left_id, CAST(b.vec_id AS VARCHAR) right_id, {DOT} / ({UNIT('a')} * {UNIT('b')}) s FROM embeddings a JOIN embeddings b ON a.\"label\" = b.\"label\" AND a.vec_id // 200 = b.vec_id // 200 AND CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR))"
+#: Cosines of one label: copies as links to their least record, other pairs between least records.
+REPS = """reps AS MATERIALIZED (SELECT "label", embedding, min(CAST(vec_id AS VARCHAR)) record_id, count(*) w FROM embeddings GROUP BY 1, 2)"""
+COSINE = f"""{REPS}, cs AS (SELECT least(a.record_id, b.record_id) left_id, greatest(a.record_id, b.record_id) right_id, a.w * b.w w, {DOT} / ({UNIT('a')} * {UNIT('b')}) s FROM reps a JOIN reps b ON a."label" = b."label" AND a.record_id < b.record_id)"""
 
 
-def label_pairs(spark, d) -> DataFrame:
-    """Pairs of one label among every 200 vectors in a row, so blocks stay small."""
-    v = vectors(spark, d).select(F.concat_ws("#", "label", F.expr("cast(record_id as bigint) div 200")).alias("block_key"), "record_id")
-    return B.block_pairs(v)
-
-
-@query(f"WITH {COSINE} SELECT left_id, right_id, round(s, 4) + 0.0 score FROM cs")
+@query(f"""WITH {COSINE} SELECT left_id, right_id, round(s, 4) + 0.0 score FROM cs WHERE s >= 0.25 UNION ALL SELECT r.record_id, CAST(vec_id AS VARCHAR), 1.0 FROM embeddings e JOIN reps r ON r."label" = e."label" AND r.embedding = e.embedding WHERE r.record_id < CAST(vec_id AS VARCHAR)""")
 def embedding_cosine_pairs(spark, d):
-    return embedding.cosine_pairs(label_pairs(spark, d), vectors(spark, d)).withColumn("score", F.round("score", 4))
+    return cosine_join.cosine_join(vectors(spark, d), "label", 0.25).withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {COSINE} SELECT count(*) n_pairs, count(*) FILTER (s > 0.2 AND s < 0.6) n_adjudicated, round(count(*) FILTER (s > 0.2 AND s < 0.6) / count(*), 6) band_fraction FROM cs")
+@query(f"""WITH {COSINE}, n AS (SELECT CAST(sum(c * (c - 1) // 2) AS BIGINT) n_pairs FROM (SELECT count(*) c FROM embeddings GROUP BY "label"))
+ SELECT n_pairs, CAST(coalesce(sum(w) FILTER (s > 0.2 AND s < 0.6), 0) AS BIGINT) n_adjudicated, round(coalesce(sum(w) FILTER (s > 0.2 AND s < 0.6), 0) / n_pairs, 6) band_fraction FROM cs, n GROUP BY n_pairs""")
 def cascade_bands(spark, d):
-    return rounded(matching.band_stats(embedding.cosine_pairs(label_pairs(spark, d), vectors(spark, d)), 0.2, 0.6), "band_fraction")
+    return rounded(cosine_join.band_stats(vectors(spark, d), "label", 0.2, 0.6), "band_fraction")
 
 
 def label_table(spark, d) -> DataFrame:

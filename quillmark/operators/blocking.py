@@ -75,10 +75,10 @@ def block_pairs(blocks: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     return a.join(b, "block_key").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
-def hub_pairs(blocks: DataFrame, above: int = MAX_BLOCK) -> DataFrame:
-    """Distinct pairs of the least member with each other member, for blocks of more than `above` members. Where all
-    members of a block are equal these say all that its pairs do, in as many rows as it has members."""
-    hubs = blocks.groupBy("block_key").agg(F.count("*").alias("size"), F.min("record_id").alias("left_id")).where(F.col("size") > above).drop("size")
+def hub_pairs(blocks: DataFrame) -> DataFrame:
+    """Distinct pairs of each block's least member with every other member. Where all members of a block are equal these say
+    all that its pairs do, in as many rows as it has members."""
+    hubs = blocks.groupBy("block_key").agg(F.min("record_id").alias("left_id"), F.max("record_id").alias("_last")).where("left_id < _last").drop("_last")
     return blocks.join(hubs, "block_key").where("left_id < record_id").select("left_id", F.col("record_id").alias("right_id")).distinct()
 
 

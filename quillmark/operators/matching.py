@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, safe_rate
 from ..functions.text import key_of, normalise, padded_grams, text_of
-from .blocking import MAX_BLOCK, block_pairs, hub_pairs
+from .blocking import hub_pairs
 
 
 def record_texts(records: DataFrame) -> DataFrame:
@@ -73,13 +73,10 @@ class ExactMatcher(Matcher):
         """The same from (record_id, key), for callers that have them already."""
         return with_both(pairs, keys, ["key"]).withColumn("score", (F.col("left_key") == F.col("right_key")).cast("double")).drop("left_key", "right_key")
 
-    def equal_pairs(self, keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
-        """(left_id, right_id, score) of records with one key, for groups of every size: all pairs of groups of up to
-        `most`, and the least record_id with each other member of larger ones. Equality is transitive, so no
-        match is lost: members of one group are linked directly or through its least record_id."""
-        blocks = keys.withColumnRenamed("key", "block_key")
-        large = hub_pairs(blocks, most).withColumn("score", F.lit(1.0))  # by their keys; joins by left_id would be skewed
-        return large.unionByName(self.score_keys(block_pairs(blocks, most), keys))
+    def equal_pairs(self, keys: DataFrame) -> DataFrame:
+        """(left_id, right_id, score) of records with one key: the least record_id of a group with each other member, in groups
+        of every size. Equality is transitive, so these links say all that the pairs do, in as many rows as records."""
+        return hub_pairs(keys.withColumnRenamed("key", "block_key")).withColumn("score", F.lit(1.0))
 
 
 class TfidfMatcher(Matcher):

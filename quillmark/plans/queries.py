@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import blocking as B
-from ..operators import classify, cosine_join, degrade, embedding, ledger, matching, operating, profile, records, register, sampling, splits, taxonomy, timing
+from ..operators import classify, cosine_join, degrade, embedding, ledger, matching, operating, profile, records, register, sampling, splits, sweep, taxonomy, timing
 from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,10 +317,9 @@ def match_evidence(spark, d):
 # Matching.
 
 
-@query(f"""WITH {REC}, k AS (SELECT record_id, {key("coalesce(title, '') || ' ' || coalesce(description, '')")} k FROM rec), b AS (SELECT k FROM k GROUP BY k HAVING count(*) BETWEEN 2 AND 500) SELECT x.record_id left_id, y.record_id right_id, CAST(1 AS DOUBLE) score FROM k x JOIN k y ON x.k = y.k AND x.record_id < y.record_id JOIN b ON b.k = x.k""")
+@query(f"""WITH {REC}, k AS (SELECT record_id, {key("coalesce(title, '') || ' ' || coalesce(description, '')")} k FROM rec), h AS (SELECT k, min(record_id) left_id FROM k GROUP BY k) SELECT left_id, record_id right_id, CAST(1 AS DOUBLE) score FROM k JOIN h USING (k) WHERE left_id < record_id""")
 def exact_match_pairs(spark, d):
-    # The SQL gives groups of up to 500 only; larger ones are added here, as links to their least record.
-    keys = sinks.settled(matching.record_keys(doc_records(spark, d)))  # read seven times; every text is normalised once
+    keys = sinks.settled(matching.record_keys(doc_records(spark, d)))  # read twice; every text is normalised once
     return matching.ExactMatcher().equal_pairs(keys)
 
 
@@ -646,10 +645,15 @@ def degrade_records(spark: SparkSession, d: str) -> DataFrame:
     return own.select("record_id", "title", F.when(F.col("record_id").cast("long") % 7 != 0, F.col("description")).alias("description"))
 
 
-def _degrade_sql(seed: int, severity: float) -> str:
-    below = f"'{int(severity * 16**8):08x}'"
-    draw = lambda kind, at: f"md5('{seed}|' || record_id || '|' || field || '|{kind}|' || CAST({at} AS VARCHAR))"
-    happens = lambda h: f"substr({h}, 1, 8) < {below}"
+def below(severity: str) -> str:
+    """The digits under which a draw happens at a severity under 1."""
+    return f"lpad(lower(to_hex(CAST(floor({severity} * 4294967296) AS BIGINT))), 8, '0')"
+
+
+def _degrade_sql(rows: str) -> str:
+    """f7 (cell, record_id, field, t): the degraded fields of rows (cell, seed, below, record_id, title, description)."""
+    draw = lambda kind, at: f"md5(seed || '|' || record_id || '|' || field || '|{kind}|' || CAST({at} AS VARCHAR))"
+    happens = lambda h: f"substr({h}, 1, 8) < below"
     one_of = lambda h, n, nth=0: f"CAST('0x' || substr({h}, {9 + 4 * nth}, 4) AS INTEGER) % {n}"
     lexicon = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in degrade.read_lexicon().items()) + "}"
     short = f"{lexicon}[lower(w)]"
@@ -658,24 +662,37 @@ def _degrade_sql(seed: int, severity: float) -> str:
     number, unit = f"regexp_extract(x, '{degrade.UNIT}', 1)", f"regexp_extract(x, '{degrade.UNIT}', 2)"
     changed = f"CASE WHEN {one_of(u, 2)} = 0 THEN translate({number}, '.,', ',.') ELSE {number} END || CASE WHEN {one_of(u, 2, 2)} = 0 THEN '' ELSE ' ' END || CASE WHEN {one_of(u, 2, 1)} = 0 THEN lower({unit}) ELSE upper({unit}) END"
     swap = lambda i: f"(coalesce(p[{i}], -1) = 3 AND ({i} = 1 OR coalesce(p[{i} - 1], -1) <> 3) AND {i} < len(c) AND NOT regexp_matches(c[{i} + 1], '\\s'))"
-    title = r"array_to_string(list_transform(regexp_extract_all(w, '\p{L}+|[^\p{L}]+'), lambda y: upper(y[1]) || lower(y[2:])), '')"
+    title = r"array_to_string(list_transform(regexp_extract_all(w, '\p{L}+|[^\p{L}]+'), lambda y: upper(replace(y[1], 'ß', 'SS')) || lower(y[2:])), '')"
     pad = lambda name: f"CASE WHEN {happens(draw(name, 0))} THEN repeat(' ', {one_of(draw(name, 0), 3)} + 1) ELSE '' END"
-    whole = lambda kind: f"substr(md5('{seed}|' || record_id || '||{kind}|0'), 1, 8) < {below}"
-    each = lambda body: f"SELECT record_id, field, CASE WHEN length(t) > 0 THEN {body} ELSE t END t FROM"
-    return f"""{PART}, r AS (SELECT record_id, title, CASE WHEN CAST(record_id AS BIGINT) % 7 <> 0 THEN 'temperature number ' || record_id || ', rated 230V at 1.5 kW' END description FROM prt),
- m AS (SELECT *, description IS NOT NULL AND {whole("merge")} moved, description IS NOT NULL AND {whole("omit")} gone FROM r), f0 AS (SELECT record_id, 'title' field, CASE WHEN moved THEN title || ' ' || description ELSE title END t FROM m UNION ALL SELECT record_id, 'description', CASE WHEN NOT moved AND NOT gone THEN description END FROM m),
+    whole = lambda kind: f"substr(md5(seed || '|' || record_id || '||{kind}|0'), 1, 8) < below"
+    each = lambda body: f"SELECT cell, seed, below, record_id, field, CASE WHEN length(t) > 0 THEN {body} ELSE t END t FROM"
+    return f"""{rows},
+ m AS (SELECT *, coalesce(description, '') <> '' AND {whole("merge")} moved, coalesce(description, '') <> '' AND {whole("omit")} gone FROM r), f0 AS (SELECT cell, seed, below, record_id, 'title' field, CASE WHEN moved THEN title || ' ' || description ELSE title END t FROM m UNION ALL SELECT cell, seed, below, record_id, 'description', CASE WHEN NOT moved AND NOT gone THEN description END FROM m),
  f1 AS MATERIALIZED ({each(f"array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]+'), lambda w, i: CASE WHEN {short} IS NOT NULL AND {happens(a)} THEN CASE WHEN w = upper(w) THEN upper({short}) ELSE {short} END ELSE w END), '')")} f0),
  f2 AS MATERIALIZED ({each(f"array_to_string(list_transform(string_split_regex(t, '{degrade.UNIT}'), lambda b, i: b || coalesce(list_transform([regexp_extract_all(t, '{degrade.UNIT}')[i]], lambda x: CASE WHEN {happens(u)} THEN {changed} ELSE x END)[1], '')), '')")} f1),
  f3 AS MATERIALIZED (SELECT *, string_split(t, '') c FROM f2), f4 AS MATERIALIZED (SELECT *, list_transform(c, lambda x, i: CASE WHEN regexp_matches(x, '\\s') OR NOT ({happens(c)}) THEN -1 ELSE {one_of(c, 4)} END) p FROM f3),
  f5 AS MATERIALIZED ({each(f"array_to_string(list_transform(c, lambda x, i: CASE WHEN {swap('i')} THEN c[i + 1] || x WHEN i > 1 AND {swap('(i - 1)')} THEN '' WHEN p[i] = 0 THEN x || chr(97 + {one_of(c, 26, 1)}) WHEN p[i] = 1 THEN '' WHEN p[i] = 2 THEN chr(97 + {one_of(c, 26, 1)}) ELSE x END), '')")} f4),
- f6 AS MATERIALIZED ({each(f"array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE WHEN NOT ({happens(w)}) THEN w WHEN {one_of(w, 3)} = 0 THEN upper(w) WHEN {one_of(w, 3)} = 1 THEN lower(w) ELSE {title} END), ' ')")} f5),
+ f6 AS MATERIALIZED ({each(f"array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE WHEN NOT ({happens(w)}) THEN w WHEN {one_of(w, 3)} = 0 THEN upper(replace(w, 'ß', 'SS')) WHEN {one_of(w, 3)} = 1 THEN lower(w) ELSE {title} END), ' ')")} f5),
  f7 AS ({each(f"{pad('before')} || array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE WHEN i = 1 THEN '' WHEN NOT ({happens(g)}) THEN ' ' WHEN {one_of(g, 2)} = 0 THEN '  ' ELSE '' END || w), '') || {pad('after')}")} f6)"""
 
 
-@query(f"WITH {_degrade_sql(7, 0.2)} SELECT record_id, max(md5(t)) FILTER (field = 'title') title_md5, max(md5(t)) FILTER (field = 'description') description_md5 FROM f7 GROUP BY 1")
+DIGESTS = "max(md5(t)) FILTER (field = 'title') title_md5, max(md5(t)) FILTER (field = 'description') description_md5"
+DIRTY_PARTS = f"{PART}, r AS (SELECT 0 cell, 7 seed, {below('0.2')} below, record_id, title, CASE WHEN CAST(record_id AS BIGINT) % 7 <> 0 THEN 'temperature number ' || record_id || ', rated 230V at 1.5 kW' END description FROM prt)"
+DIRTY_DOCUMENTS = f"{REC}, r AS (SELECT seed cell, seed, {below('0.2')} below, record_id, title, description FROM rec, (SELECT unnest([7, 8]) seed))"
+
+
+def _digests(df: DataFrame, *others) -> DataFrame:
+    return df.select("record_id", *others, F.md5(F.col("title").cast("binary")).alias("title_md5"), F.md5(F.col("description").cast("binary")).alias("description_md5"))
+
+
+@query(f"WITH {_degrade_sql(DIRTY_DOCUMENTS)} SELECT record_id, {DIGESTS} FROM f7 WHERE cell = 7 GROUP BY 1")
 def degrade_roundtrip(spark, d):
-    out = degrade.degrade_frame(degrade_records(spark, d), degrade.Degradation(0.2), 7)
-    return out.select("record_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), F.md5(F.col("description").cast("binary")).alias("description_md5"))
+    return _digests(degrade.degrade_frame(doc_records(spark, d), degrade.Degradation(0.2), 7))
+
+
+@query(f"WITH {_degrade_sql(DIRTY_PARTS)} SELECT record_id, {DIGESTS} FROM f7 GROUP BY 1")
+def degrade_titles(spark, d):
+    return _digests(degrade.degrade_frame(degrade_records(spark, d), degrade.Degradation(0.2), 7))
 
 
 @query(f"WITH {REC} SELECT record_id || '::x' record_id, md5(title) title_md5, md5(description) description_md5 FROM rec")
@@ -684,10 +701,11 @@ def degrade_nothing(spark, d):
     return out.select("record_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), F.md5(F.col("description").cast("binary")).alias("description_md5"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) || '::a' left_id, CAST(doc_id AS VARCHAR) || '::b' right_id, 1 \"label\" FROM documents")
+@query(f"""WITH {_degrade_sql(DIRTY_DOCUMENTS)}, c AS (SELECT cell, record_id, {DIGESTS} FROM f7 GROUP BY 1, 2)
+ SELECT a.record_id || '::a' left_id, b.record_id || '::b' right_id, 1 "label", a.title_md5 left_title_md5, a.description_md5 left_description_md5, b.title_md5 right_title_md5, b.description_md5 right_description_md5 FROM c a JOIN c b USING (record_id) WHERE a.cell = 7 AND b.cell = 8""")
 def duplicate_pairs(spark, d):
-    _, pairs = degrade.duplicate_pairs(doc_records(spark, d), degrade.Degradation(0.2), 7)
-    return pairs
+    copies, pairs = degrade.duplicate_pairs(doc_records(spark, d), degrade.Degradation(0.2), 7)
+    return matching.with_both(pairs, _digests(copies), ["title_md5", "description_md5"])
 
 
 @query(f"""WITH {GROUP_SQL}, facts AS (SELECT record_id, buyer_id, {norm('title')} t FROM prt), pr AS (SELECT g, left_id, right_id FROM sim JOIN facts a ON a.record_id = left_id JOIN facts b ON b.record_id = right_id WHERE NOT (a.buyer_id = b.buyer_id AND a.t = b.t))
@@ -697,8 +715,17 @@ def distractor_pairs(spark, d):
     return degrade.distractors(r, "cf", 7)
 
 
-@query(f"""WITH {PART}, b AS (SELECT record_id, {leading(norm('title'))} k FROM prt), few AS (SELECT * FROM b WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('7|' || record_id), record_id) <= 4), pr AS (SELECT x.k, x.record_id left_id, y.record_id right_id FROM few x JOIN few y ON x.k = y.k AND x.record_id < y.record_id)
- SELECT DISTINCT left_id, right_id, 0 "label" FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('7|' || left_id || '|' || right_id), left_id, right_id) <= 5)""")
+def _floyd(most: int) -> str:
+    """ix (k, t): `most` different numbers under n of each block (k, n), drawn one by one."""
+    draw = "CAST('0x' || substr(md5('7|' || k || '|' || CAST(j AS VARCHAR)), 1, 15) AS BIGINT) % (j + 1)"
+    sql = "d0 AS (SELECT k, n, CAST([] AS BIGINT[]) s FROM sizes)"
+    for i in range(most):
+        sql += f", d{i + 1} AS (SELECT k, n, CASE WHEN j >= n OR j < 0 THEN s WHEN list_contains(s, {draw}) THEN list_append(s, j) ELSE list_append(s, {draw}) END s FROM (SELECT *, greatest(n - {most}, 0) + {i} j FROM d{i}))"
+    return sql + f", ix AS (SELECT k, unnest(s) t FROM d{most})"
+
+
+@query(f"""WITH {PART}, b AS (SELECT record_id, {leading(norm('title'))} k FROM prt), m AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY record_id) - 1 r, count(*) OVER (PARTITION BY k) c FROM b WHERE k IS NOT NULL), sizes AS (SELECT k, c * (c - 1) // 2 n FROM m WHERE r = 0), {_floyd(5)},
+ ij AS (SELECT k, t - j * (j - 1) // 2 i, j FROM (SELECT k, t, CAST(floor((1 + sqrt(8 * t + 1)) / 2) AS BIGINT) j FROM ix)) SELECT DISTINCT x.record_id left_id, y.record_id right_id, 0 "label" FROM ij JOIN m x ON x.k = ij.k AND x.r = i JOIN m y ON y.k = ij.k AND y.r = j""")
 def distractor_pairs_by_token(spark, d):
     return degrade.distractors(part_records(spark, d), "abtbuy", 7)
 
@@ -796,11 +823,27 @@ def residual_effort(spark, d):
     return one.select(*(F.round(c, 4).alias(k) for k, c in hours.items()))
 
 
-@query("SELECT CAST(doc_id % 5 AS DOUBLE) / 4 severity, 'toxic' metric, round(avg(v), 6) mean, round(stddev(v), 6) sd, count(*) n_seeds FROM (SELECT min(doc_id) % 5 doc_id, avg(toxic) v FROM labels GROUP BY doc_id % 5, doc_id % 3) GROUP BY 1")
+SEVERITIES, SEEDS = [0.0, 0.1, 0.2, 0.3, 0.4], [7, 11, 13]
+#: Every cell degrades each title twice, blocks by buyer and leading token, and scores pairs by shared grams, at one threshold.
+SWEEP_ROWS = f"""{PART}, grid AS (SELECT * FROM (SELECT unnest({SEVERITIES}) severity), (SELECT unnest({SEEDS}) base)), cells AS (SELECT severity, base, {below('severity')} below, x.z, base + x.z seed, CAST(severity AS VARCHAR) || '#' || CAST(base AS VARCHAR) || '#' || CAST(x.z AS VARCHAR) cell FROM grid, (SELECT unnest([0, 1]) z) x),
+ r AS (SELECT cell, seed, below, record_id, title, NULL::VARCHAR description FROM prt, cells)"""
+CELLS = f"""{_degrade_sql(SWEEP_ROWS)}, own AS MATERIALIZED (SELECT severity, base, z, f7.record_id, buyer_id || '#' || {leading(norm('t'))} k, {grams(norm('t'))} g FROM f7 JOIN cells USING (cell) JOIN prt USING (record_id) WHERE field = 'title'),
+ full_blocks AS (SELECT severity, base, k FROM own WHERE k IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 2 AND 500), kept AS (SELECT own.* FROM own JOIN full_blocks USING (severity, base, k)),
+ scored AS (SELECT a.severity, a.base, a.record_id = b.record_id truth, len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1) >= 0.6 predicted FROM kept a JOIN kept b ON a.severity = b.severity AND a.base = b.base AND a.k = b.k AND (a.record_id, a.z) < (b.record_id, b.z)),
+ n AS (SELECT count(*) n FROM prt), met AS (SELECT severity, base seed, count(predicted) n_candidates, count(*) FILTER (truth) n_retained, count(*) FILTER (truth AND predicted) tp, count(*) FILTER (NOT truth AND predicted) fp FROM grid LEFT JOIN scored USING (severity, base) GROUP BY 1, 2),
+ ev AS (SELECT met.*, n - tp fn, n_retained / n pair_completeness, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END "precision", tp / n recall, 2 * tp / (tp + fp + n) f1 FROM met, n)"""
+
+
+@query(f"""WITH {CELLS} SELECT severity, seed, n_candidates, n_retained, tp, fp, fn, round(pair_completeness, 6) pair_completeness, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1 FROM ev""")
+def severity_sweep(spark, d):
+    out = sweep.severity_sweep(part_records(spark, d), operating.severity_grid(spark, SEVERITIES, SEEDS), 0.6)
+    return rounded(out, "pair_completeness", "precision", "recall", "f1")
+
+
+@query(f"""WITH {CELLS}, long AS (UNPIVOT (SELECT severity, seed, pair_completeness, "precision", recall, f1 FROM ev) ON pair_completeness, "precision", recall, f1 INTO NAME metric VALUE v) SELECT severity, metric, round(avg(v), 6) mean, round(stddev(v), 6) + 0.0 sd, count(*) n_seeds FROM long GROUP BY 1, 2""")
 def severity_summary(spark, d):
-    cells = table(spark, d, "labels").groupBy((F.col("doc_id") % 5).alias("s"), (F.col("doc_id") % 3).alias("seed")).agg(F.avg("toxic").alias("value"))
-    out = operating.sweep_summary(cells.select((F.col("s").cast("double") / 4).alias("severity"), "seed", F.lit("toxic").alias("metric"), "value"))
-    return rounded(out, "mean", "sd")
+    cells = sweep.severity_sweep(part_records(spark, d), operating.severity_grid(spark, SEVERITIES, SEEDS), 0.6)
+    return rounded(operating.sweep_summary(sweep.by_metric(cells)), "mean", "sd")
 
 
 @query("SELECT header, target, CAST(distance AS INTEGER) distance FROM (SELECT n_name header, r_name target, levenshtein(regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g')) distance FROM nation, region) WHERE distance <= 6 QUALIFY row_number() OVER (PARTITION BY header ORDER BY distance, target) = 1")

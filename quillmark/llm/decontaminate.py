@@ -4,7 +4,8 @@ An item of m characters that stands in a text with at most k edits shares m - Q
 inside a band of diagonals no wider than k. Hits of q-grams are counted in overlapping bands (2k wide, every k);
 neighbouring bands that reach the bound form a region, which is aligned within the band, and the text is contaminated when
 the item fits within its edit budget k = floor(EDITS * m). Items under Q characters have no q-gram: they count where they
-stand exactly, with no letter or digit beside them. Texts and items are compared case-folded, white space as one space.
+stand exactly, with no letter or digit beside them. Items for which the bound is under 1 (13 to 15 characters) are parted
+into k + 1 pieces, of which one must stand exactly; one automaton finds these and the short items in one pass. Texts and items are compared case-folded, white space as one space.
 
 Repeated q-grams (rules of dashes, say) would give hits x places of the item. A slice of text with more than MOST_HITS of
 them is halved down to LEAST_SLICE characters; beyond that its costliest q-grams are left out of the count, and the bound
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,7 @@ _BASE = [_U(pow(_B1, e, 2**64)) for e in (1, 2, 4)]
 _SPREAD = _U(0xD6E8FEB86659FD93)
 TABLE_BITS = 22
 END = "\0"
+FAR = 1 << 40
 
 
 def normal(text: str) -> str:
@@ -94,19 +97,18 @@ class Index:
     """Q-grams of a block of items, and the search of texts for them."""
 
     def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
-        self.short: dict[int, list[tuple[int | None, str]]] = {}
-        for i, t in items:
-            if 0 < len(t) < Q:
-                self.short.setdefault(len(t), []).append((i, t))
+        short = [x for x in items if 0 < len(x[1]) < Q]
         items = [x for x in items if len(x[1]) >= Q]
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.points = [code_points(t) for t in self.texts]
         self.size = np.array([len(p) for p in self.points], np.int64)
         self.budget = np.floor(self.size * edits + 1e-9).astype(np.int64)
-        self.budget = np.minimum(self.budget, (self.size - Q) // Q).clip(0)  # beyond it the lemma says nothing
         self.least = self.size - Q + 1 - self.budget * Q
         self.reach = int((self.size + self.budget).max(initial=0))
-        own = [grams(p) for p in self.points]
+        weak = np.flatnonzero(self.least < 1)  # here the lemma says nothing
+        self.least[weak] = FAR
+        self.exact = self._automaton(short, weak.tolist())
+        own = [grams(p) if n < FAR else np.zeros(0, np.uint64) for p, n in zip(self.points, self.least, strict=True)]
         every = np.concatenate(own) if own else np.zeros(0, np.uint64)
         where = np.repeat(np.arange(len(own), dtype=np.int32), [len(g) for g in own])
         place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in own]) if own else np.zeros(0, np.int32)
@@ -118,6 +120,24 @@ class Index:
         self.table[(self.gram >> _U(64 - TABLE_BITS)).astype(np.int64)] = True
         self.memo: dict[tuple[int, str], int | None] = {}
 
+    def _automaton(self, short: list[tuple[int | None, str]], weak: list[int]) -> ahocorasick.Automaton | None:
+        """Short items as they are, and pieces of the weak ones: k + 1 pieces, of which k edits leave one as it is."""
+        keys: dict[str, list[tuple[bool, int | None, int]]] = {}
+        for i, t in short:
+            keys.setdefault(t, []).append((True, i, 0))
+        for i in weak:
+            n, k = len(self.texts[i]), int(self.budget[i]) + 1
+            for j in range(k):
+                a, z = n * j // k, n * (j + 1) // k
+                keys.setdefault(self.texts[i][a:z], []).append((False, i, a))
+        if not keys:
+            return None
+        out = ahocorasick.Automaton()
+        for key, told in keys.items():
+            out.add_word(key, (len(key), told))
+        out.make_automaton()
+        return out
+
     def search(self, texts: list[str]) -> list[dict[int | None, int]]:
         """{item id: least edits} for each normalised text."""
         found: list[dict[int, int]] = [{} for _ in texts]
@@ -131,24 +151,28 @@ class Index:
             if self.ids:
                 self._pieces(texts, pieces, found)
             at = to
-        out: list[dict[int | None, int]] = [{self.ids[i]: e for i, e in x.items()} for x in found]
-        if self.short:
-            for d, text in enumerate(texts):
-                out[d] |= dict.fromkeys(self._short_in(text), 0)
+        out: list[dict[int | None, int]] = [{} for _ in texts]
+        for d, text in enumerate(texts):
+            if self.exact is not None:
+                out[d] |= self._exact_in(text, found[d])
+            out[d] |= {self.ids[i]: e for i, e in found[d].items()}
         return out
 
-    def _short_in(self, text: str) -> list[int | None]:
-        """Ids of the items under Q characters that stand in a text with no letter or digit beside them."""
-        out: list[int | None] = []
-        for items in self.short.values():
-            for i, t in items:
-                at = text.find(t)
-                while at >= 0:
-                    to = at + len(t)
-                    if not (at and text[at - 1].isalnum()) and not (to < len(text) and text[to].isalnum()):
-                        out.append(i)
-                        break
-                    at = text.find(t, at + 1)
+    def _exact_in(self, text: str, found: dict[int, int]) -> dict[int | None, int]:
+        """One pass for whatever must stand exactly: the items under Q characters with no letter or digit beside them, and pieces
+        of weak items, around which those are aligned (into found)."""
+        out: dict[int | None, int] = {}
+        for end, (size, told) in self.exact.iter(text):
+            a, z = end + 1 - size, end + 1
+            for whole, i, at in told:
+                if whole:
+                    if i not in out and not (a and text[a - 1].isalnum()) and not (z < len(text) and text[z].isalnum()):
+                        out[i] = 0
+                elif found.get(i, 1) > 0:
+                    k, low = int(self.budget[i]), a - at
+                    e = self._edits(i, text[max(0, low - k) : low + int(self.size[i]) + k])
+                    if e is not None and e < found.get(i, k + 1):
+                        found[i] = e
         return out
 
     def _pieces(self, texts: list[str], pieces: list[tuple[int, int, int]], found: list[dict[int, int]]) -> None:

@@ -2,12 +2,12 @@
 
 Every element of the page's tree gets its characters, link characters, tags and link tags; its density is characters per
 tag, corrected by a logarithm of how much of it is linked. The sum of the densities of its children is an element's
-score, and the element of the largest score holds the main text, with subtrees beside its path that are as dense (see
-main_nodes). The least density on that path to body is the threshold: elements inside that stay below it and are mostly
-links are dropped as well. Elements that are boilerplate by name (navigation, footers, forms and so on) or by a class or
-role that says so are cut before any counting. Inside an article or main element a word that may also name content
-(related, search, social and so on) as a part of a class, or in an id, is a hint alone: such an element goes when it is
-mostly links or stays below the threshold. Headings are never cut by such words.
+score, and the element of the largest score holds the main text, with subtrees beside its path that are as dense, and prose
+that is next to it (see main_nodes). The least density on that path to body is the threshold: elements inside that stay below
+it and are mostly links are dropped as well. Elements that are boilerplate by name (navigation, footers, forms and so on), or
+by a class, id or role that is nothing but a word for it (comments, ad-box, site-footer) are cut before any counting. Words
+that may also name content (related-work, search, notice), or that stand beside others (cookie-recipes), are hints alone, in
+an article or not: such an element goes when it is mostly links or stays below the threshold. Headings are never cut.
 
 Edge cases: a null or empty page has an empty text; a page without markup is one block; a page cut off anywhere is read
 as far as it goes (a tag cut off at the end is dropped); elements left open end with their parent. Of nodes of equal score
@@ -29,27 +29,31 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--|<[!?]|</?([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
 MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"}
-SKIP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label", "fieldset"}
+SKIP = RAW | {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: What a start tag ends: open elements of these names, up to the nearest border.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDER = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html", "blockquote"}
 #: A block of this kind ends an open paragraph.
 ENDS_P = BORDER | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "form", "header", "footer", "nav", "aside", "figure", "hr", "address", "details"}
+#: Words of classes, ids and roles that name boilerplate.
 BOILER_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "copyright", "disclaimer", "disqus",
-    "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies",
-    "responses", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search", "login", "header", "alert",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "masthead", "nav", "navbar",
+    "navigation", "newsletter", "pager", "pagination", "popup", "promo", "promoted", "replies", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "contentinfo", "complementary",
 }
-#: Those that may also name content, and are but hints as a part of a class inside an article.
-HINTS = {"banner", "copyright", "disclaimer", "menu", "modal", "notice", "notices", "recommended", "related", "responses", "search", "share", "sharing", "skip", "social", "header", "alert", "login", "widget", "cookie", "cookies", "consent"}
+#: Those that may also name content: hints, wherever they stand.
+HINTS = {"banner", "copyright", "disclaimer", "menu", "modal", "notice", "notices", "recommended", "related", "responses", "search", "share", "sharing", "skip", "social", "header", "alert", "login", "widget"}
+#: What may stand beside a word of BOILER_WORDS in a name without making it one of content (ad-box, site-footer).
+PARTS = {"", "area", "bar", "block", "body", "bottom", "box", "col", "column", "container", "content", "entry", "form", "global", "group", "header", "inner", "item", "left", "links", "list", "main", "outer", "page", "panel", "post", "reader", "readers", "right", "section", "site", "slot", "thread", "top", "unit", "user", "wrap", "wrapper"}
 #: Those that also tell an article element from the main one.
-ARTICLE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored"}
+ARTICLE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "promoted", "replies", "reply", "sponsor", "sponsored"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 SPLIT_MARK = re.compile(r"[^a-z]+")
 _RAW_ENDS: dict[str, re.Pattern] = {}
 
@@ -68,19 +72,18 @@ def _boiler(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """(whether an element is boilerplate by its names, whether they hint at it)."""
     if name in SKIP or (name == "header" and not inside):
         return True, False
-    if name in ("body", "html", "main") or name in HEADINGS or not attributes:
+    if name in ("body", "html", "main") or name in HEADINGS or (not attributes and name != "fieldset"):
         return False, False
     words = BOILER_WORDS if name != "article" else ARTICLE_WORDS
-    hint = False
+    hint = name == "fieldset"
     for m in MARK.finditer(attributes):
-        is_id = m[0].lstrip()[:2].lower() == "id"
         for mark in (m[1] or m[2] or m[3] or "").lower().split():
-            found = words.intersection(SPLIT_MARK.split(mark))
-            if not found:
-                continue
-            if not inside or found - HINTS or (mark in words and not is_id):
-                return True, False
-            hint = True
+            parts = set(SPLIT_MARK.split(mark))
+            if found := parts & words:
+                if not parts - found - PARTS - HINTS:
+                    return True, False
+                hint = True
+            hint |= name != "article" and bool(parts & HINTS)
     return False, hint
 
 
@@ -122,6 +125,7 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     path = _Path(root)
     at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
     muted, depth = "", 0  # inside a boilerplate element: its name and how many of that name are open
     while at < n:
         m = TOKEN.search(page, at)
@@ -129,9 +133,13 @@ def parse(page: str) -> Node:
             path.node.kids.append(page[at : m.start() if m else n])
         if m is None:
             break
-        at = m.end()
-        name = (m[1] or "").lower()
-        if not name or (at == n and page[-1] != ">"):
+        if m[1] is None:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            continue
+        at = _tag_end(page, m.end(), last)
+        name, attributes = m[1].lower(), page[m.end() : at - 1]
+        if at == n and page[-1] != ">":
             continue
         closing = page[m.start() + 1] == "/"
         if muted:
@@ -163,9 +171,9 @@ def parse(page: str) -> Node:
         if name in VOID:
             path.node.kids.append("\n" if name in ("br", "hr") else "")
             continue
-        if m[2].endswith("/") and name not in INLINE and name not in ENDS_P:
+        if attributes.endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        cut, hint = _boiler(name, m[2], path.inside())
+        cut, hint = _boiler(name, attributes, path.inside())
         if cut:
             muted, depth = name, 1
         else:
@@ -173,6 +181,15 @@ def parse(page: str) -> Node:
     return root
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The end of a tag from within it. A quote that nothing closes (`last` has the last place of each kind) is a character."""
+    while (m := STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.end()
+        at = m.end() if m.start() >= last[m[0]] else page.find(m[0], m.end()) + 1
+    return len(page)
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
@@ -229,22 +246,53 @@ def _densest(x: Node) -> float:
     return most
 
 
+def _is_prose(k: Node) -> bool:
+    return k.chars > 0 and not k.hint and not _mostly_links(k)
+
+
+def _has_blocks(x: Node) -> bool:
+    return any(type(k) is Node and k.name not in INLINE and k.density > 0 for k in x.kids)
+
+
 def main_nodes(root: Node) -> tuple[list[Node], float]:
     """The nodes that hold the main text, in the order of the page, and the threshold of the path from the node of the
-    largest density sum to body. That node is widened to the outermost article or main element around it; beside its path,
-    all subtrees not mostly links are taken that somewhere reach the threshold or the density of the sparsest child of the
-    node that is no heading."""
+    largest density sum to body. That node is widened to the outermost article or main element around it. Beside its path, a
+    subtree not mostly links is taken as well
+
+    * if it has blocks, and somewhere reaches the mean density of the node's children;
+    * if it is an article with blocks, or has blocks where no article is around the node, and somewhere reaches the threshold
+      or the density of the node's sparsest child that is no heading (unless a word hints at boilerplate);
+    * if it lies between two that are taken, or, where no article is around the node, is a paragraph or heading next to
+      one. Nothing of that kind is too short."""
     order = measure(root)
     best = max(reversed(order), key=lambda x: x.score)
     if best.score <= 0:
         best = root
     path = list(_up(best))
     threshold = min((x.density for x in path if x.density > 0), default=0.0)
-    least = min([threshold, *(k.density for k in best.kids if type(k) is Node and k.density > 0 and k.name not in HEADINGS and k.name not in INLINE)])
+    own = [k.density for k in best.kids if type(k) is Node and k.density > 0 and k.name not in HEADINGS and k.name not in INLINE]
+    least, mean = min([threshold, *own]), sum(own) / len(own) if own else threshold
     top = next((k for k in range(len(path) - 1, 0, -1) if path[k].name in ("article", "main")), 0)
+    within = path[top].name in ("article", "main")
     on_path, good = {id(x) for x in path}, {id(path[top])}
     for x in path[top + 1 :]:
-        good |= {id(k) for k in x.kids if type(k) is Node and id(k) not in on_path and k.chars > 0 and not _mostly_links(k) and _densest(k) >= least}
+        kids = [k for k in x.kids if type(k) is Node and k.chars > 0]
+        kept = []
+        for k in kids:
+            taken = id(k) in on_path
+            if not taken and not _mostly_links(k):
+                dense = _densest(k)
+                taken = _has_blocks(k) and (dense >= mean or (dense >= least and not k.hint and (k.name == "article" or not within)))
+            kept.append(taken)
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for i in range(first, last):
+            kept[i] = kept[i] or _is_prose(kids[i])
+        if not within:
+            for step, i in ((-1, first - 1), (1, last + 1)):
+                while 0 <= i < len(kids) and kids[i].name in PROSE and _is_prose(kids[i]):
+                    kept[i] = True
+                    i += step
+        good |= {id(k) for k, taken in zip(kids, kept, strict=True) if taken and id(k) not in on_path}
     found, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -278,9 +326,9 @@ def extract(page: str | None) -> str:
         elif x is None:
             flush()
         else:
-            if id(x) not in tops and x.name not in INLINE:
+            if id(x) not in tops and x.name not in INLINE and x.name not in HEADINGS:
                 sparse, linked = x.density < threshold, _mostly_links(x)
-                if (sparse and linked) or (x.hint and (sparse or linked)):
+                if (sparse and linked) or (x.hint and (linked or _densest(x) < threshold)):
                     continue
             block = x.name not in INLINE
             if block:

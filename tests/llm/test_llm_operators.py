@@ -409,6 +409,38 @@ def test_html_of_anything(page):
     assert isinstance(html_text.extract(page), str)
 
 
+PROSE = "<p>" + "Some words of prose that go on and on, with commas. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("mark", ["id=related-work", "id=search-algorithms", "class=social-history", "class=menu-planning", "class=header-text", "class=notice-board"])
+def test_words_that_may_name_content_never_drop_prose(mark):
+    section = f"<div {mark}><h2>Title</h2>{PROSE.replace('Some', 'Kept')}</div>"
+    for page in (f"<div>{PROSE}{PROSE}{section}{PROSE}</div>", f"<div><div>{PROSE}{PROSE}</div>{section}</div>", f"<article>{PROSE}{section}</article>"):
+        assert "Title Kept words" in html_text.extract(f"<body><nav><a href=x>x</a></nav>{page}</body>")
+
+
+def test_prose_beside_the_container_stays():
+    assert html_text.extract(f"<body><p>Short lead.</p><div>{PROSE}{PROSE}</div><p>The end.</p></body>").startswith("Short lead. Some")
+    assert html_text.extract(f"<body><p>Short lead.</p><div>{PROSE}{PROSE}</div><p>The end.</p></body>").endswith("commas. The end.")
+    inside = html_text.extract(f"<article>{PROSE}<section class=related>{PROSE.replace('Some', 'Kept')}</section><fieldset>{PROSE.replace('Some', 'Field')}</fieldset><h2><a href=#x>Permalink</a></h2>{PROSE}</article>")
+    assert all(w in inside for w in ("Kept", "Field", "Permalink"))
+
+
+def test_an_advert_falls_by_density():
+    """A sentence in a bare element beside the article has no density sum of its own, whatever its class."""
+    page = f"<body><div>Buy this thing today, it is good for you.</div><article><h1>T</h1>{PROSE}<p>Short one.</p></article></body>"
+    assert html_text.extract(page) == html_text.extract(page.replace("<div>", "<div class=ad>")) == "T " + " ".join((PROSE[3:-4] + " Short one.").split())
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<div class='a' ", '<p "', "<p '\">", "<!--", '<a b="c>', "</a '"])
+def test_broken_tags_take_linear_time(broken):
+    import time
+
+    began = time.process_time()
+    html_text.extract(broken * (1_000_000 // len(broken)) + '"')
+    assert time.process_time() - began < 4
+
+
 def test_html_density_finds_the_text():
     links = "".join(f"<a href=/{i}>link number {i}</a> " for i in range(30))
     page = f"<body><div><div>{links}</div><div id=x><p>{'A long sentence of the text. ' * 20}</p><p>{'Another one follows here. ' * 20}</p></div><div>{links}</div></div></body>"
@@ -636,6 +668,19 @@ def edited(rng, text, k):
     return "".join(m)
 
 
+@pytest.mark.parametrize("size", [*range(8, 41)])
+def test_leaks_of_any_length(size):
+    """Items of 8 to 40 characters with up to k + 1 edits, k = floor(0.08 m): what a full alignment finds."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items = list(dict.fromkeys(t for t in (decontaminate.normal("x" + text(size - 2) + "y") for _ in range(6)) if len(t) >= 8))
+    index, budget = decontaminate.Index(list(enumerate(items))), [len(t) * 8 // 100 for t in items]
+    texts = [decontaminate.normal(f"{text(20)} {edited(rng, items[i], e)} {text(20)}") for i in range(len(items)) for e in range(budget[i] + 2) for _ in range(3)]
+    for t, found in zip(texts, index.search(texts), strict=True):
+        want = {i: best_distance(item, t) for i, item in enumerate(items)}
+        assert found == {i: e for i, e in want.items() if e <= budget[i]}
+
+
 def test_leaks_within_the_budget_are_found():
     rng = random.Random(11)
     items = [decontaminate.normal(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(6, 40)))) for _ in range(25)]

@@ -91,13 +91,14 @@ def normalise_str(text: str | None) -> str:
 @F.pandas_udf(StringType())
 def _exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(normalise_str)
+        yield s if s.isna().all() else s.map(normalise_str, na_action="ignore")
 
 
 def normalise(text: Column) -> Column:
-    """The normal form of any text: only texts that need it pay for Python (the others go through as null)."""
-    hard = F.when(needs_exact(text), text)
-    return F.when(needs_exact(text), _exact(hard)).otherwise(normalise_plain(text))
+    """The normal form of any text: only texts that need it pay for Python (the others go through as null, and ASCII is not even
+    looked at)."""
+    hard = F.when((F.octet_length(text) > F.length(text)) & needs_exact(text), text)
+    return F.coalesce(_exact(hard), normalise_plain(text))
 
 
 def key_of(normal: Column) -> Column:

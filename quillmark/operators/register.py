@@ -52,14 +52,34 @@ def search(register: DataFrame, query: str, fields: dict[str, str], limit: int |
     return out.orderBy(F.desc("rank"), "record_id").limit(limit) if limit else out
 
 
+def edit_candidates(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Distinct (l, r) of left (l) and right (r) that may be within `most` edits: r is parted into most + 1 pieces, of which so
+    many edits leave one as it is, at most `most` places from its own. Pieces are join keys, so the tables meet by hash; strings
+    too short to part meet by their length."""
+    n, pieces = F.length("r"), most + 1
+    cut = lambda size, j: F.floor(size * j / pieces).cast("int")
+    keyed = right.select("r", F.explode(F.when(n < pieces, F.array(F.concat_ws("|", n, F.lit("*")))).otherwise(F.array(*(F.concat_ws("|", n, F.lit(j), F.expr("r").substr(cut(n, j) + 1, cut(n, j + 1) - cut(n, j))) for j in range(pieces))))).alias("k"))
+    sizes = F.sequence(F.greatest(F.length("l") - most, F.lit(0)), F.length("l") + most)
+
+    def own(size: Column) -> Column:
+        shifts = F.sequence(F.lit(-most), F.lit(most))
+        at = lambda j, x: F.col("l").substr(cut(size, j) + x + 1, cut(size, j + 1) - cut(size, j))
+        there = lambda j, x: cut(size, j) + x >= 0
+        parts = [F.filter(F.transform(shifts, lambda x, j=j: F.when(there(j, x), F.concat_ws("|", size, F.lit(j), at(j, x)))), lambda k: k.isNotNull()) for j in range(pieces)]
+        return F.when(size < pieces, F.array(F.concat_ws("|", size, F.lit("*")))).otherwise(F.concat(*parts))
+
+    probes = left.select("l", F.explode(sizes).alias("size")).select("l", F.explode(F.array_distinct(own(F.col("size")))).alias("k"))
+    return probes.join(keyed, "k").select("l", "r").distinct()
+
+
 def map_headers(headers: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
-    """(header, target, distance): the nearest target or alias of each header within `most` edits. Both tables are headers of
-    one sheet and fields of one schema, held in blocks of the other."""
-    h = headers.select("header", F.regexp_replace(F.lower("header"), "[^a-z0-9]", "").alias("_h"))
-    t = targets.select("target", F.regexp_replace(F.lower("alias"), "[^a-z0-9]", "").alias("_t"))
-    pairs = h.join(t, F.levenshtein("_h", "_t") <= most)
+    """(header, target, distance): the nearest target or alias of each header within `most` edits; of equal ones the first by
+    name."""
+    h = headers.select("header", F.regexp_replace(F.lower("header"), "[^a-z0-9]", "").alias("l"))
+    t = targets.select("target", F.regexp_replace(F.lower("alias"), "[^a-z0-9]", "").alias("r"))
+    near = edit_candidates(h.select("l").distinct(), t.select("r").distinct(), most).withColumn("distance", F.levenshtein("l", "r")).where(F.col("distance") <= most)
     w = Window.partitionBy("header").orderBy("distance", "target")
-    return pairs.withColumn("distance", F.levenshtein("_h", "_t")).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("header", "target", "distance")
+    return h.join(near, "l").join(t, "r").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("header", "target", "distance")
 
 
 def service_state(assets: DataFrame, events: DataFrame, today: Column, soon_days: int = 30) -> DataFrame:

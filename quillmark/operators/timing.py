@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 IDLE_SECONDS = 120.0
 LEAST_TIMINGS = 30
 
@@ -37,9 +39,12 @@ def append(path: str | Path, record: dict) -> None:
 
 
 def summary(timings: DataFrame) -> DataFrame:
-    """One row over (seconds, abandoned): counts, mean, median and 90th percentile (interpolated) of what was kept."""
-    s = F.when(~F.col("abandoned"), F.col("seconds"))
-    return timings.agg(F.count(s).alias("n"), F.count_if(F.col("abandoned")).alias("n_abandoned"), F.avg(s).alias("mean_seconds"), F.percentile(s, 0.5).alias("median_seconds"), F.percentile(s, 0.9).alias("p90_seconds"), F.coalesce(F.sum(s), F.lit(0.0)).alias("total_seconds"))
+    """One row over (seconds, abandoned): counts, mean, median and 90th percentile (interpolated) of what was kept. The
+    percentiles are exact and found by rounds of counts (ranks.percentiles)."""
+    own = F.when(~F.col("abandoned"), F.col("seconds"))
+    median, p90 = percentiles(timings.select(own.alias("s")), "s", [0.5, 0.9])
+    totals = timings.agg(F.count(own).alias("n"), F.count_if(F.col("abandoned")).alias("n_abandoned"), F.avg(own).alias("mean_seconds"), F.coalesce(F.sum(own), F.lit(0.0)).alias("total_seconds"))
+    return totals.select("n", "n_abandoned", "mean_seconds", F.lit(median).cast("double").alias("median_seconds"), F.lit(p90).cast("double").alias("p90_seconds"), "total_seconds")
 
 
 def checked_summary(timings: DataFrame, least: int = LEAST_TIMINGS) -> dict:

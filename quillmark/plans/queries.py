@@ -390,6 +390,13 @@ def automated_share(spark, d):
     return rounded(operating.automated_share(operating.curve(scored_documents(spark, d)), 0.95), "automated_share")
 
 
+@query(f"""WITH {SCORED}, k AS (SELECT least(greatest(floor(score * 1000), 0), 1000) b, score, "label" FROM sc), cu AS (SELECT unnest(range(0, 1002)) c), ac AS MATERIALIZED (SELECT c, count(b) a, coalesce(sum("label"), 0) p, min(score) s FROM cu LEFT JOIN k ON b >= c GROUP BY 1), rj AS MATERIALIZED (SELECT c d, count(b) z, coalesce(sum("label"), 0) w, max(score) s FROM cu LEFT JOIN k ON b < c GROUP BY 1), t AS (SELECT count(*) n FROM k)
+ SELECT coalesce(rj.s, '-infinity'::DOUBLE) "lower", coalesce(ac.s, 'infinity'::DOUBLE) "upper", n n_pairs, a n_accepted, z n_rejected, n - a - z n_adjudicated, round((n - a - z) / n, 6) band_fraction FROM ac, rj, t WHERE d <= c AND p >= 0.9 * a AND z - w >= 0.9 * z ORDER BY n - a - z, c, z DESC, d DESC LIMIT 1""")
+def cascade_bounds(spark, d):
+    """The SQL tries all pairs of cuts."""
+    return rounded(operating.cascade_thresholds(operating.score_histogram(scored_documents(spark, d)), 0.9), "band_fraction")
+
+
 # Embeddings.
 
 

@@ -127,6 +127,27 @@ def cosine_join(vectors: DataFrame, group: str, least: float, pivots: int = PIVO
     return pairs.unionByName(copies)
 
 
+def cosine_links(vectors: DataFrame, group: str, least: float, pivots: int = PIVOTS, size: int = CHUNK) -> DataFrame:
+    """(record_id, class_id, n_links) of records in a group: class_id is the least record_id with the record's vector, n_links the
+    number of classes whose cosine with it is `least` (over 0) or more. Rows grow with the records, not with their pairs."""
+    if not 0 < least <= 1:
+        raise ValueError(f"least must be in (0, 1], got {least}")
+    reps = settled(classes(vectors, group))
+    kind = dict(vectors.dtypes)["record_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, s, ids_a, ids_b, _, _ in _scored(batch):
+                near = s >= least
+                for ids, n in ((ids_a, near.sum(axis=1)), (ids_b, near.sum(axis=0))):
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n)], names=["class_id", "n"]).filter(pa.array(n > 0))
+
+    links = _matched(chunks(reps, pivots, size), least).mapInArrow(run, f"class_id {kind}, n bigint").groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    known = reps.join(links, F.col("record_id") == F.col("class_id"), "left").select("grp", "vector", F.col("record_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = vectors.select(F.col(group).alias("grp"), "record_id", F.col("vector").cast("array<float>").alias("vector"))
+    return own.join(known, ["grp", "vector"]).select("record_id", "class_id", "n_links")
+
+
 def pair_counts(vectors: DataFrame, group: str, cuts: list[float], pivots: int = PIVOTS, size: int = CHUNK) -> DataFrame:
     """One row: n_pairs, all pairs of one group, and above, for each cut (ascending, over 0) the pairs of a greater cosine and of
     that cosine or a greater one, as (gt, ge). Counts come from chunks and weights; no pair is a row."""

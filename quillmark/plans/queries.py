@@ -416,6 +416,12 @@ def embedding_cosine_pairs(spark, d):
     return cosine_join.cosine_join(vectors(spark, d), "label", 0.25).withColumn("score", F.round("score", 4))
 
 
+@query(f"""WITH {COSINE}, k AS (SELECT left_id r FROM cs WHERE s >= 0.25 UNION ALL SELECT right_id FROM cs WHERE s >= 0.25), c AS (SELECT r, count(*) n FROM k GROUP BY 1)
+ SELECT CAST(vec_id AS VARCHAR) record_id, reps.record_id class_id, coalesce(n, 0) n_links FROM embeddings e JOIN reps ON reps."label" = e."label" AND reps.embedding = e.embedding LEFT JOIN c ON r = reps.record_id""")
+def embedding_cosine_links(spark, d):
+    return cosine_join.cosine_links(vectors(spark, d), "label", 0.25)
+
+
 @query(f"""WITH {COSINE}, n AS (SELECT CAST(sum(c * (c - 1) // 2) AS BIGINT) n_pairs FROM (SELECT count(*) c FROM embeddings GROUP BY "label"))
  SELECT n_pairs, CAST(coalesce(sum(w) FILTER (s > 0.2 AND s < 0.6), 0) AS BIGINT) n_adjudicated, round(coalesce(sum(w) FILTER (s > 0.2 AND s < 0.6), 0) / n_pairs, 6) band_fraction FROM cs, n GROUP BY n_pairs""")
 def cascade_bands(spark, d):
@@ -748,6 +754,15 @@ def corpus_profile(spark, d):
 # Sources and sinks: tables that go through a format and back.
 
 
+@query("SELECT doc_id, md5(text) text_md5, lang, source FROM documents WHERE text IS NOT NULL")
+def csv_split_roundtrip(spark, d):
+    """Whole texts, with their quotes and line ends, as CSV files that many tasks read."""
+    folder = sinks.work_folder(spark, "split-csv")
+    table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).write.csv(folder, header=True, quote='"', escape='"', quoteAll=True)
+    back = readers.read_csv(spark, folder)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source")
+
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) id, s_name || chr(10) || '\"quoted\", ' || CAST(s_suppkey % 7 AS VARCHAR) title, CASE s_suppkey % 3 WHEN 0 THEN '' ELSE s_name END note FROM supplier")
 def csv_roundtrip(spark, d):
     """Quotes, line ends and blanks through the strict reader, with its header verified."""

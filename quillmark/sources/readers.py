@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ledger import LEDGER_SCHEMA
@@ -22,13 +23,81 @@ NOTICE_COLUMNS = [
 CLASSIFICATION_FILES = {"main.csv": ("tender_classification_id", "tender_classification_description"), "tender_additionalClassifications.csv": ("id", "description")}
 
 
+_RECORDS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("kind", pa.string()), ("first", pa.bool_()), ("text", pa.string())])
+
+
 class SchemaMismatch(RuntimeError):
     """A file's columns differ from those agreed. Reconcile them; nothing is coerced."""
 
 
+def _stitched(pieces: DataFrame) -> DataFrame:
+    """(file, first, record): records that lie in several blocks, from their pieces (file, block, opens, first, text)."""
+    w = Window.partitionBy("file").orderBy("block", "opens")
+    numbered = pieces.withColumn("n", F.sum(F.col("opens").cast("int")).over(w))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("block", "opens", "text"))), lambda p: p["text"])
+    return numbered.groupBy("file", "n").agg(F.bool_or("first").alias("first"), F.array_join(lines, "\n").alias("record")).select("file", "first", "record")
+
+
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, first, record): the records of quoted CSV files as text; first marks those that begin a file. Files are read by
+    lines in byte ranges, so many tasks share one. A line end is inside a field where the quotes before it are odd in number:
+    their parity is summed per range, then over the ranges before (a small table), and each task cuts its range into records
+    with the parity it begins with. What reaches over a range's edge is put together from its pieces, at most two a range."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).cast("int").alias("odd"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = odd.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("inside"))
+    marked = lines.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "inside", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, inside, head, held, number = None, False, False, [], 0
+        out: list[dict] = []
+
+        def piece(kind: str) -> dict:
+            text = "\n".join(held)
+            held.clear()
+            return {"file": at[0], "block": at[1], "kind": kind, "first": at[1] == 0 and number == 0, "text": text}
+
+        for batch in batches:
+            for file, block, odd_start, line in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (file, block) != at:
+                    if held:  # reaches into the next range, or is all of this one inside a field
+                        out.append(piece("middle" if head else "opens"))
+                    at, inside, number = (file, block), bool(odd_start), 0
+                    head = inside
+                held.append(line)
+                inside ^= line.count('"') % 2 == 1
+                if not inside:
+                    out.append(piece("ends" if head else "whole"))
+                    head, number = False, number + 1
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _RECORDS)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_pylist([piece("middle" if head else "opens")], _RECORDS)
+
+    from ..sources.sinks import settled
+
+    cut = settled(marked.mapInArrow(run, "file string, block bigint, kind string, first boolean, text string"))
+    whole = cut.where("kind = 'whole'").select("file", "first", F.col("text").alias("record"))
+    long = _stitched(cut.where("kind <> 'whole'").select("file", "block", (F.col("kind") == "opens").alias("opens"), "first", "text"))
+    return whole.unionByName(long)
+
+
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Quoted CSV with newlines inside fields; every column is a string, and a blank is an empty string."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, maxCharsPerColumn=-1, encoding="UTF-8", mode="FAILFAST").fillna("")
+    """Quoted CSV with newlines inside fields; every column is a string, and a blank is an empty string. Columns are those of
+    the header; a record of another number of fields, or another header in a further file, is an error."""
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "mode": "FAILFAST", "multiLine": "true"}
+    header = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", **options)
+    text = F.regexp_replace("record", "\r$", "")
+    records = csv_records(spark, path).withColumn("record", F.when(F.col("first"), F.regexp_replace(text, "^\ufeff", "")).otherwise(text)).where("record <> ''")
+    schema = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in header.columns)
+    rows = records.select("first", F.from_csv("record", schema, options).alias("r"))
+    own = F.array(*(F.coalesce(F.col("r")[c], F.lit("")) for c in header.columns))
+    told = F.array(*(F.lit(c) for c in header.columns))
+    checked = rows.where(~F.col("first") | F.when(own == told, F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("header differs: "), F.array_join(own, ","))).cast("boolean")))
+    return checked.select("r.*").fillna("")
 
 
 def verify_columns(df: DataFrame, expected: Iterable[str], path: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import json
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,35 @@ def test_stream(spark, tmp_path):
 def test_token_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:05", 10, 1), ("2024-01-01 00:00:50", 5, 0)], "ts string, input_tokens int, output_tokens int")
     assert incremental.token_windows(df).agg(F.max("tokens")).first()[0] == 16
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
+def test_csv_of_any_split_size(spark, tmp_path, size):
+    """Fields with line ends, quotes and blanks, some longer than a range: equal rows however the files are split."""
+    rng = random.Random(size)
+    field = lambda: "".join(rng.choice(['a', 'ß', ',', '"', '\n', '\r\n', ' ', 'word']) for _ in range(rng.choice([0, 1, 5, 40, 300])))
+    rows = [[str(i), field(), field()] for i in range(60)]
+    for k in range(2):
+        with open(tmp_path / f"p{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=["\n", "\r\n"][k], quoting=csv.QUOTE_ALL)
+            w.writerows([["id", "te\"xt", "no\nte"], *rows[k * 30 : k * 30 + 30]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = readers.read_csv(spark, str(tmp_path))
+        assert out.columns == ["id", 'te"xt', "no\nte"]
+        got = sorted((list(r) for r in out.collect()), key=lambda r: int(r[0]))
+        assert got == rows
+        tasks = readers.csv_records(spark, str(tmp_path / "p0.csv")).count() and spark.read.text(str(tmp_path / "p0.csv")).rdd.getNumPartitions()
+        assert size > 1000 or tasks > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"id","text"\n"1","x"\n')
+    (tmp_path / "b.csv").write_text('"id","other"\n"2","y"\n')
+    with pytest.raises(Exception, match="header differs"):
+        readers.read_csv(spark, str(tmp_path)).collect()

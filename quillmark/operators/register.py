@@ -62,11 +62,12 @@ def edit_candidates(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     sizes = F.sequence(F.greatest(F.length("l") - most, F.lit(0)), F.length("l") + most)
 
     def own(size: Column) -> Column:
-        shifts = F.sequence(F.lit(-most), F.lit(most))
-        at = lambda j, x: F.col("l").substr(cut(size, j) + x + 1, cut(size, j + 1) - cut(size, j))
-        there = lambda j, x: cut(size, j) + x >= 0
-        parts = [F.filter(F.transform(shifts, lambda x, j=j: F.when(there(j, x), F.concat_ws("|", size, F.lit(j), at(j, x)))), lambda k: k.isNotNull()) for j in range(pieces)]
-        return F.when(size < pieces, F.array(F.concat_ws("|", size, F.lit("*")))).otherwise(F.concat(*parts))
+        def near(j: int) -> Column:
+            a, z = cut(size, j), cut(size, j + 1)
+            begins = F.sequence(F.greatest(a - most, F.lit(0)), a + most)
+            return F.transform(begins, lambda x: F.concat_ws("|", size, F.lit(j), F.col("l").substr(x + 1, z - a)))
+
+        return F.when(size < pieces, F.array(F.concat_ws("|", size, F.lit("*")))).otherwise(F.concat(*(near(j) for j in range(pieces))))
 
     probes = left.select("l", F.explode(sizes).alias("size")).select("l", F.explode(F.array_distinct(own(F.col("size")))).alias("k"))
     return probes.join(keyed, "k").select("l", "r").distinct()

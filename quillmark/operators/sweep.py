@@ -37,7 +37,8 @@ def severity_sweep(records: DataFrame, grid: DataFrame, threshold: float, most:
     of their grams, a threshold that is carried over unchanged from clean records."""
     copies = degraded_copies(records, grid, factors, lexicon)
     title = normalise(F.col("title"))
-    own = copies.select("severity", "seed", "copy", "record_id", F.coalesce("buyer_id", F.lit("")).alias("buyer"), title.alias("t"))
+    # Written once: degraded and normalised titles are read by keys and grams, and the filter on keys stays above Python.
+    own = settled(copies.select("severity", "seed", "copy", "record_id", F.coalesce("buyer_id", F.lit("")).alias("buyer"), title.alias("t")))
     lead = leading_token(F.col("t"))
     cell = F.concat_ws("#", F.col("severity").cast("string"), F.col("seed").cast("string"), "buyer", lead)
     blocks = settled(own.select("severity", "seed", "record_id", "copy", F.when(lead.isNotNull(), cell).alias("block_key"), token_grams(F.col("t")).alias("grams")).where("block_key is not null"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bitmap, bpe, decontaminate, jaccard_join, pii, quality_rules
-from quillmark.llm.scratch import materialize, scope, scratch_dir
+from quillmark.llm.scratch import delete, materialize, scope, scratch_dir
 
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 
@@ -64,11 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         with scope(spark):  # a stage's own tables go once its result is written
             done = stage(spark, docs, sf_dir)
             path = f"{scratch_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
             done.write.parquet(path)
             docs = spark.read.schema(done.schema).parquet(path)
+        if before:  # nothing reads the stage before any more
+            delete(spark, before)
+        before = path
     return docs

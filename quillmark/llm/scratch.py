@@ -51,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -60,7 +60,7 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() wrote and nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/quillmark/" in folder:
-            _delete(df.sparkSession, folder)
+            delete(df.sparkSession, folder)
 
 
 @contextmanager
@@ -73,4 +73,4 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.pop()
         for path in held:
-            _delete(spark, path)
+            delete(spark, path)

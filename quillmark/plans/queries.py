@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import blocking as B
-from ..operators import classify, cosine_join, degrade, embedding, ledger, matching, operating, profile, records, register, sampling, splits, sweep, taxonomy, timing
+from ..operators import classify, cosine_join, degrade, embedding, ledger, matching, operating, profile, records, register, register_index, sampling, splits, sweep, taxonomy, timing
 from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,6 +650,14 @@ def register_search(spark, d):
     return rounded(register.search(part_records(spark, d), "red 5", {"title": "A", "buyer_id": "B"}).select("record_id", "rank"), "rank")
 
 
+@query(ORACLE["register_search"])
+def register_index_search(spark, d):
+    """The same search by an inverted index in buckets of words."""
+    path = sinks.work_folder(spark, "register-index")
+    register_index.build(part_records(spark, d), {"title": "A", "buyer_id": "B"}, path)
+    return rounded(register_index.search(spark, path, "red 5"), "rank")
+
+
 # Degradation: every edit is planned by an md5 of its place, so the SQL repeats it.
 
 

@@ -24,6 +24,11 @@ class Folder:
             return []
         return sorted(n for f in self._fs.listStatus(self._at("")) if f.isFile() and not (n := f.getPath().getName()).startswith((".", "_")))
 
+    def folders(self) -> list[str]:
+        if not self._fs.exists(self._at("")):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._at("")) if f.isDirectory())
+
     def write(self, name: str, text: str) -> None:
         """A file that is there whole or not at all; one that is there already is replaced."""
         new = self._at(f".{name}-{uuid.uuid4().hex}")

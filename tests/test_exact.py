@@ -4,12 +4,13 @@ import collections
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import cosine_join, degrade, operating, ranks, register, sweep
+from quillmark.operators import cosine_join, degrade, operating, ranks, register, register_index, sweep
 
 
 def vector_rows(seed, n=260):
@@ -193,3 +194,21 @@ def test_headers_within_edits(spark, most):
         if own := sorted((distance(a, b), f"T{b}") for b in right if (a, b) in near):
             want[f"{a} "] = own[0]
     assert {r.header: (r.distance, r.target) for r in out.collect()} == want
+
+
+def test_search_by_index_is_that_by_scan(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["red", "steel", "pump", "valve", "common", "common", "ring", "rare"]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([5, 8])]) for _ in range(rng.randrange(6)))
+    df = spark.createDataFrame([(f"{i:03}", text(), text() if i % 3 else None) for i in range(300)], "record_id string, title string, note string")
+    fields, path = {"title": "A", "note": "C"}, f"file://{tmp_path}/index"
+    register_index.build(df, fields, path, blocks=16)
+    for query in ("common", "Red common", "rare steel pump", "nothing red"):
+        want = sorted(((-round(r["rank"], 6), r.record_id) for r in register.search(df, query, fields).collect()))
+        assert sorted((-round(r["rank"], 6), r.record_id) for r in register_index.search(spark, path, query).collect()) == want
+        for limit in (1, 7, 1000):
+            assert [(-round(r["rank"], 6), r.record_id) for r in register_index.search(spark, path, query, limit).collect()] == want[:limit]
+    plan = register_index.postings(spark, path, ["red", "common"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "In(term" in plan
+    with pytest.raises(ValueError):
+        register_index.search(spark, path, " ")

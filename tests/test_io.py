@@ -2,6 +2,7 @@ import json
 
 import csv
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,14 +79,38 @@ def test_runs(spark, tmp_path):
 
 
 def test_incremental_import(spark, tmp_path):
+    """Rows that equal or resemble the register's or earlier ones of the batch; blank keys; replays; compaction."""
     reg, dec = str(tmp_path / "reg"), str(tmp_path / "dec")
-    one = spark.createDataFrame([("1", "red pump steel"), ("2", "microscope lens")], "record_id string, title string")
-    two = spark.createDataFrame([("3", "Red pump, steel"), ("4", "ring binder")], "record_id string, title string")
-    incremental.import_batch(spark, one, 0, reg, dec)
-    for _ in range(2):  # a replay changes nothing
-        incremental.import_batch(spark, two, 1, reg, dec)
+    batches = [
+        [("1", "red pump steel"), ("2", "microscope lens")],
+        [("3", "Red pump, steel"), ("4", "ring binder"), ("5", "Ring binder!"), ("6", "ring binder a4"), ("7", "12 34"), ("8", "99"), ("9", ""), ("a", None), ("b", "12 34")],
+        [("c", "ring binder"), ("d", "new thing"), ("e", "99")],
+    ]
+    frames = [spark.createDataFrame(rows, "record_id string, title string") for rows in batches]
+    for n, df in enumerate(frames):
+        for _ in range(2):  # a replay changes nothing
+            incremental.import_batch(spark, df, n, reg, dec)
+        if n == 1:
+            before = sorted(map(str, incremental.read_register(spark, reg).drop("bucket").collect()))
+            for _ in range(2):
+                incremental.compact(spark, reg, 1)
+            assert sorted(map(str, incremental.read_register(spark, reg).drop("bucket").collect())) == before
+            incremental.import_batch(spark, frames[2], 2, reg, dec)
+            incremental.compact(spark, reg, 2)
     got = {r.record_id: (r.decision, r.best_id) for r in spark.read.option("recursiveFileLookup", True).parquet(dec).collect()}
-    assert got["3"] == ("duplicate", "1") and got["4"][0] == "new" and spark.read.parquet(reg).count() == 3
+    assert got["3"] == ("duplicate", "1") and got["5"] == ("duplicate", "4") and got["6"][1] == "4" and got["b"] == ("duplicate", "7")
+    assert all(got[x] == ("new", None) for x in "1279ad8") and got["c"] == ("duplicate", "4") and got["e"] == ("duplicate", "8") and got["4"][0] == "new"
+    assert incremental.read_register(spark, reg).count() == len({x for x, (d, _) in got.items() if d == "new"})
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    reg, dec = str(tmp_path / "reg"), str(tmp_path / "dec")
+    incremental.import_batch(spark, spark.createDataFrame([(str(i), f"word{i} thing") for i in range(60)], "record_id string, title string"), 0, reg, dec)
+    incremental.compact(spark, reg, 0)
+    key = incremental.prepare(spark.createDataFrame([("x", "word7 other")], "record_id string, title string")).first()
+    rows = incremental.read_register(spark, reg, 1, [key.bucket])
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", rows._jdf.queryExecution().executedPlan().toString())
+    assert {r.bucket for r in rows.collect()} == {key.bucket} and 1 <= rows.count() < 10
 
 
 def test_stream(spark, tmp_path):
@@ -94,7 +119,7 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("record_id string, title string").parquet(str(src))
     q = incremental.start(stream, str(tmp_path / "reg"), str(tmp_path / "dec"), str(tmp_path / "cp"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "reg")).count() == 2
+    assert incremental.read_register(spark, str(tmp_path / "reg")).count() == 2
 
 
 def test_token_windows(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_rate
 from ..functions.text import normalise, padded_grams
+from . import margins
 
 
 def _labels(train: DataFrame, label_col: str) -> list[str]:
@@ -25,52 +26,26 @@ def _index(df: DataFrame, labels: list[str], label_col: str) -> DataFrame:
 
 
 class TfidfSvm:
-    """Character n-grams (2 to 5), smoothed idf, one linear machine per label, margins calibrated by a logistic."""
+    """Character n-grams (2 to 5), smoothed idf, one linear machine per label, margins calibrated by a logistic out of fold. All
+    labels are fitted in one chain of max_iter jobs (see margins)."""
 
-    def __init__(self, features: int = 1 << 16, max_iter: int = 50):
-        self.features, self.max_iter = features, max_iter
+    def __init__(self, features: int = 1 << 16, max_iter: int = 50, folds: int = margins.FOLDS):
+        self.features, self.max_iter, self.folds = features, max_iter, folds
 
-    def _terms(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_terms", padded_grams(normalise(F.col("text")), 2, 5))
+    def _hashed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("h", margins.hashed(padded_grams(normalise(F.col("text")), 2, 5), self.features))
 
     def fit(self, train: DataFrame, label_col: str = "label") -> TfidfSvm:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import LinearSVC, LogisticRegression
-        from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler
-
-        self.label_col, self.labels = label_col, _labels(train, label_col)
-        self.pipe = Pipeline(stages=[HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=self.features), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")])
-        rows = _index(self._terms(train), self.labels, label_col)
-        self.pipe = self.pipe.fit(rows)
-        rows = self.pipe.transform(rows).select("features", "_y").persist()
-        self.machines = []
-        try:
-            for i in range(len(self.labels)):
-                one = rows.withColumn("label", (F.col("_y") == i).cast("double"))
-                svm = LinearSVC(maxIter=self.max_iter).fit(one)
-                margins = svm.transform(one).select("label", _margin(F.col("rawPrediction")).alias("m"))
-                cal = LogisticRegression(featuresCol="v", labelCol="label").fit(VectorAssembler(inputCols=["m"], outputCol="v").transform(margins))
-                self.machines.append((svm, float(cal.coefficients[0]), float(cal.intercept)))
-        finally:
-            rows.unpersist()
+        self.labels = _labels(train, label_col)
+        fold = F.pmod(F.xxhash64("text"), F.lit(self.folds)).cast("int").alias("fold")
+        rows = _index(self._hashed(train.select("text", label_col)), self.labels, label_col).select("h", F.col("_y").cast("int").alias("y"), fold)
+        self.machines = margins.OneVsRest(len(self.labels), self.features, self.max_iter, self.folds).fit(rows)
         return self
 
     def scores(self, df: DataFrame) -> DataFrame:
         """df plus scores: array of (score, label), best first."""
-        out = self.pipe.transform(self._terms(df)).drop("_terms", "_tf", "_idf")
-        parts = []
-        for i, (svm, a, b) in enumerate(self.machines):
-            svm = svm.copy()
-            svm.setRawPredictionCol(f"_r{i}").setPredictionCol(f"_p{i}")
-            out = svm.transform(out)
-            parts.append(F.struct((1 / (1 + F.exp(-(F.lit(a) * _margin(F.col(f"_r{i}")) + F.lit(b))))).alias("score"), F.lit(self.labels[i]).alias("label")))
-        return out.withColumn("scores", ranked(F.array(*parts))).drop("features", *(f"_{k}{i}" for k in "rp" for i in range(len(parts))))
-
-
-def _margin(raw: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(raw)[1]
+        out = self.machines.scored(self._hashed(df), list(map(str, self.labels)))
+        return out.withColumn("scores", ranked(F.col("scores"))).drop("h")
 
 
 class EmbeddingLogistic:

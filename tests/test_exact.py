@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import cosine_join, degrade, operating, ranks, register, register_index, sweep
+from quillmark.operators import classify, cosine_join, degrade, margins, operating, ranks, register, register_index, sweep
 
 
 def vector_rows(seed, n=260):
@@ -212,3 +212,57 @@ def test_search_by_index_is_that_by_scan(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "In(term" in plan
     with pytest.raises(ValueError):
         register_index.search(spark, path, " ")
+
+
+def svm_rows(seed, n=150, labels=3):
+    rng = random.Random(seed)
+    words = [[f"w{k}{chr(97 + i)}x" for i in range(8)] for k in range(labels)]
+    return [(" ".join(rng.choice(words[rng.randrange(labels) if rng.random() < 0.3 else i % labels]) for _ in range(6)), f"L{i % labels}") for i in range(n)]
+
+
+def test_margins_are_those_of_plain_descent(spark):
+    """The same steps in dense numpy, for the machines of all rows and of each fold's complement; the fold's own rows don't count."""
+    model = classify.TfidfSvm(features=256, max_iter=12)
+    rows = svm_rows(1)
+    df = spark.createDataFrame(rows, "text string, label string").repartition(3)
+    model.fit(df)
+    own = model._hashed(df).select("h", "label", F.pmod(F.xxhash64("text"), F.lit(3)).alias("fold")).collect()
+    n = len(own)
+    tf = np.zeros((n, 256))
+    for i, r in enumerate(own):
+        np.add.at(tf[i], r.h, 1)
+    x = tf * (np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1)
+    x = np.c_[x / np.linalg.norm(x, axis=1)[:, None], np.ones(n)]
+    fold = np.array([r.fold for r in own])
+    for f in range(4):
+        use = fold != f if f < 3 else np.ones(n, bool)
+        for k, name in enumerate(model.labels):
+            y = np.array([1.0 if r.label == name else -1.0 for r in own])
+            before = ahead = np.zeros(257)
+            for t in range(12):
+                slope = -2 * y * np.maximum(0, 1 - y * (x @ ahead)) * use
+                now = ahead - margins.STEP * (x.T @ slope / use.sum() + margins.DECAY * ahead)
+                ahead, before = now + t / (t + 3) * (now - before), now
+            assert np.allclose(model.machines.weights[:, f * 3 + k], before, atol=1e-3)
+
+
+def test_calibration_is_out_of_fold(spark):
+    """Labels of no sense are learnt by heart by the machines of all rows; calibration knows that it means nothing. Labels of
+    some sense keep their scores."""
+    rng = random.Random(2)
+    noise = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)), rng.choice("AB")) for _ in range(120)]
+    for rows, least, most in ((noise, 0.0, 0.65), (svm_rows(5), 0.7, 1.0)):
+        model = classify.TfidfSvm(features=1 << 12, max_iter=25).fit(spark.createDataFrame(rows, "text string, label string"))
+        scores = [r.score for r in classify.result(model.scores(spark.createDataFrame(rows, "text string, truth string"))).select("score").collect()]
+        assert least <= sum(scores) / len(scores) <= most
+
+
+def test_jobs_of_a_fit_do_not_grow_with_labels(spark):
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for labels in (2, 6):
+        df = spark.createDataFrame(svm_rows(3, 60, labels), "text string, label string")
+        spark.sparkContext.setJobGroup(f"fit{labels}", "fit")
+        classify.TfidfSvm(features=128, max_iter=3).fit(df)
+        counts.append(len(tracker.getJobIdsForGroup(f"fit{labels}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]

@@ -809,6 +809,48 @@ def cache_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+
+
+@query(f"WITH {WATERFALL} SELECT record_id, md5(title) title_md5, md5(description) description_md5, cpv_code, CAST(release_date AS VARCHAR) release_date, CAST(2024 AS INTEGER) bundle_year FROM judged JOIN rec USING (record_id) WHERE discard_reason IS NULL AND title <> ''")
+def notices_roundtrip(spark, d):
+    """Documents as a bundle of notices: strict header, mapping to records, waterfall, corpus and report written and read."""
+    folder, corpus = sinks.work_folder(spark, "notices"), sinks.work_folder(spark, "corpus")
+    own = {"id": "record_id", "tender_title": "title", "tender_description": "description", "buyer_id": "buyer_id", "tender_classification_id": "cpv_code", "date": "release_date"}
+    _csv(doc_records(spark, d).select(*(F.coalesce(F.col(own[c]).cast("string"), F.lit("")).alias(c) if c in own else F.lit("").alias(c) for c in readers.NOTICE_COLUMNS)), f"{folder}/main.csv")
+    judged = sinks.settled(records.waterfall(records.to_records(readers.read_bundle(spark, folder), 2024)))
+    sinks.write_corpus(judged.where("discard_reason is null").drop("discard_reason"), records.discard_report(judged), corpus)
+    kept = spark.read.parquet(f"{corpus}/corpus.parquet")
+    return kept.select("record_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), F.md5(F.col("description").cast("binary")).alias("description_md5"), "cpv_code", F.col("release_date").cast("string").alias("release_date"), "bundle_year")
+
+
+@query("SELECT 'A:' || CAST(p_partkey AS VARCHAR) left_id, 'B:' || CAST(s_suppkey AS VARCHAR) right_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) \"label\", p_name left_title, s_name right_title FROM part JOIN supplier ON p_partkey = s_suppkey WHERE p_partkey % 5 = 4")
+def benchmark_roundtrip(spark, d):
+    """Two catalogues and their labelled pairs as a benchmark folder: read, references checked, the supplied split frozen, and the
+    pairs of its test part looked up."""
+    folder = sinks.work_folder(spark, "benchmark")
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    _csv(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("description")), f"{folder}/tableA.csv")
+    _csv(supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("description")), f"{folder}/tableB.csv")
+    pairs = part.join(supplier, part["p_partkey"] == supplier["s_suppkey"]).select(F.col("p_partkey").alias("ltable_id"), F.col("s_suppkey").alias("rtable_id"), (F.col("p_partkey") % 3 == 0).cast("int").alias("label"))
+    for k, split in enumerate(("train", "valid", "test")):
+        _csv(pairs.where(F.least(F.col("ltable_id") % 5, F.lit(4)).isin([[0, 1, 2], [3], [4]][k])), f"{folder}/{split}.csv")
+    items, labelled = readers.read_benchmark(spark, folder)
+    test = splits.select(labelled, splits.freeze_pairs(labelled), "test", ["left_id", "right_id"])
+    return matching.with_both(test.select("left_id", "right_id", "label"), items, ["title"])
+
+
+@query(ORACLE["taxonomy_build"])
+def codes_roundtrip(spark, d):
+    """Codes and descriptions through both classification files of a bundle, into the taxonomy."""
+    folder = sinks.work_folder(spark, "codes")
+    own = codes(spark, d).withColumn("first", F.crc32(F.col("code").cast("binary")) % 2 == 0)
+    _csv(own.where("first").select(F.col("code").alias("tender_classification_id"), F.col("description").alias("tender_classification_description")), f"{folder}/main.csv")
+    _csv(own.where("not first").select(F.col("code").alias("id"), F.concat(F.lit(" "), "description").alias("description")), f"{folder}/tender_additionalClassifications.csv")
+    return taxonomy.build(readers.read_codes(spark, [folder]))
+
+
 # Audits, sweeps, headers, commits, classifiers.
 
 

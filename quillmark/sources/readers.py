@@ -77,9 +77,13 @@ def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([piece("middle" if head else "opens")], _RECORDS)
 
-    from ..sources.sinks import settled
+    from ..sources.sinks import work_folder, write_table
 
-    cut = settled(marked.mapInArrow(run, "file string, block bigint, kind string, first boolean, text string"))
+    # One folder per kind, so that no expression over whole records is ever evaluated on a piece: as a plain filter, the kind may be
+    # checked after an expression that both sides of a predicate share, and a piece is malformed CSV.
+    cut, path = marked.mapInArrow(run, "file string, block bigint, kind string, first boolean, text string"), work_folder(spark, "csv")
+    write_table(cut, path, "errorifexists", "kind")
+    cut = spark.read.schema(cut.schema).parquet(path)
     whole = cut.where("kind = 'whole'").select("file", "first", F.col("text").alias("record"))
     long = _stitched(cut.where("kind <> 'whole'").select("file", "block", (F.col("kind") == "opens").alias("opens"), "first", "text"))
     return whole.unionByName(long)

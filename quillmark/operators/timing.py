@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from .ranks import percentiles
 
@@ -61,10 +62,20 @@ def gaps(events: DataFrame, key: str, at: str, order: str, idle: float) -> DataF
     return events.withColumn("seconds", s).where("seconds is not null").withColumn("abandoned", F.col("seconds") > idle)
 
 
+def _millis(events: DataFrame, at: str) -> Column:
+    """Milliseconds since 1970. A timestamp without a zone is taken as it is written: by way of the session's zone, hours that clocks
+    skip or repeat would change the distance of events."""
+    t = F.col(at)
+    if events.schema[at].dataType != TimestampNTZType():
+        return F.unix_millis(t.cast("timestamp"))
+    whole = F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return whole * 1000 + F.floor(F.date_part(F.lit("SECOND"), t) * 1000).cast("long")
+
+
 def rolling_sum(events: DataFrame, value: str, partition: str, at: str, seconds: int = 60, chunk_seconds: int = 3600) -> DataFrame:
     """events plus rolling: the sum over the last `seconds`; what is exactly that old has left the window. A key's events
     are dealt into chunks of time, each with the events just before it once more, so a key of many events fills no task."""
-    ms, span, chunk = F.unix_millis(F.col(at).cast("timestamp")), seconds * 1000, max(chunk_seconds, seconds) * 1000
+    ms, span, chunk = _millis(events, at), seconds * 1000, max(chunk_seconds, seconds) * 1000
     own = events.withColumn("_ms", ms).withColumn("_own", F.floor(F.col("_ms") / chunk))
     both = own.withColumn("_chunk", F.explode(F.when(F.col("_ms") > (F.col("_own") + 1) * chunk - span, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     w = Window.partitionBy(partition, "_chunk").orderBy("_ms").rangeBetween(-(span - 1), 0)

@@ -13,7 +13,7 @@ from . import margins
 
 
 def _labels(train: DataFrame, label_col: str) -> list[str]:
-    """Labels in order. Their number is that of the taxonomy's classes, not of the rows."""
+    """Labels in order. Their number is that of the taxonomy's classes, not of the rows, so each goes to all tasks."""
     return [r[0] for r in train.select(label_col).distinct().orderBy(label_col).collect()]
 
 
@@ -22,7 +22,13 @@ def _index(df: DataFrame, labels: list[str], label_col: str) -> DataFrame:
 
     spark: SparkSession = df.sparkSession
     table = spark.createDataFrame([(x, float(i)) for i, x in enumerate(labels)], f"{label_col} string, _y double")
-    return df.join(table, label_col)
+    # Sent to the rows: a join by merging would put all rows of a label into one task, and one file of what it writes.
+    return df.join(F.broadcast(table), label_col)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores, however few files or row groups it came in."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 class TfidfSvm:
@@ -38,13 +44,15 @@ class TfidfSvm:
     def fit(self, train: DataFrame, label_col: str = "label") -> TfidfSvm:
         self.labels = _labels(train, label_col)
         fold = F.pmod(F.xxhash64("text"), F.lit(self.folds)).cast("int").alias("fold")
-        rows = _index(self._hashed(train.select("text", label_col)), self.labels, label_col).select("h", F.col("_y").cast("int").alias("y"), fold)
+        # Equal rows are one row that counts for all; the steps cost far more than their texts weigh, so all cores share them.
+        once = _spread(train.groupBy("text", label_col).agg(F.count("*").alias("n")))
+        rows = _index(self._hashed(once), self.labels, label_col).select("h", F.col("_y").cast("int").alias("y"), fold, "n")
         self.machines = margins.OneVsRest(len(self.labels), self.features, self.max_iter, self.folds).fit(rows)
         return self
 
     def scores(self, df: DataFrame) -> DataFrame:
         """df plus scores: array of (score, label), best first."""
-        out = self.machines.scored(self._hashed(df), list(map(str, self.labels)))
+        out = self.machines.scored(self._hashed(_spread(df)), list(map(str, self.labels)))
         return out.withColumn("scores", ranked(F.col("scores"))).drop("h")
 
 

@@ -79,8 +79,10 @@ def discard_reason(code: Column, title: Column, description: Column, divisions:
 
 
 def waterfall(df: DataFrame, **rules) -> DataFrame:
-    """df plus discard_reason, in one pass."""
-    return df.withColumn("discard_reason", discard_reason(F.col("cpv_code"), normalise(F.col("title")), normalise(F.col("description")), **rules))
+    """df plus discard_reason, in one pass. Normal forms are columns of their own, so the rules share them."""
+    forms = {"_qm_title": normalise(F.col("title")), "_qm_description": normalise(F.col("description"))}
+    reason = discard_reason(F.col("cpv_code"), F.col("_qm_title"), F.col("_qm_description"), **rules)
+    return df.withColumns(forms).withColumn("discard_reason", reason).drop(*forms)
 
 
 def discard_report(judged: DataFrame, *keys: str) -> DataFrame:

@@ -18,6 +18,10 @@ from .register import WEIGHTS
 BUCKETS = 64
 #: Blocks of records; their bounds for one query are all that the driver sees.
 BLOCKS = 1024
+#: Tasks of each shuffle of a build. Left to itself, Spark makes as few as there are cores, whose memory grows with the register.
+TASKS = 256
+#: Parts of a bucket, by block: files of its folder.
+PARTS = 8
 
 
 def _bucket(term: Column) -> Column:
@@ -31,11 +35,12 @@ def build(register: DataFrame, fields: dict[str, str], path: str, blocks: int =
     texts = register.where("record_id is not null").select("record_id", *(normalise(F.col(c)).alias(c) for c in fields))
     weighted = lambda c, k: F.transform(F.array_distinct(tokens(F.col(c))), lambda w: F.struct(w.alias("term"), F.lit(WEIGHTS[k]).alias("w")))
     words = F.flatten(F.array(*(weighted(c, k) for c, k in fields.items())))
-    own = texts.select("record_id", F.explode(words).alias("x")).groupBy("x.term", "record_id").agg(F.sum("x.w").alias("w"))
-    block = F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int")
-    rows = own.withColumn("block", block).groupBy("term", "block").agg(F.max("w").alias("top"), F.array_sort(F.collect_list(F.struct("record_id", "w"))).alias("p"))
+    block = F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int").alias("block")
+    each = texts.select("record_id", block, F.explode(words).alias("x")).select("x.term", "record_id", "block", "x.w").repartition(TASKS, "block")
+    own = each.groupBy("term", "record_id", "block").agg(F.sum("w").alias("w"))  # both groupings stay inside a block's task
+    rows = own.groupBy("term", "block").agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("record_id", "w"))).alias("p"))
     out = rows.select(_bucket(F.col("term")).alias("bucket"), "term", "block", "top", F.transform("p", lambda x: x["record_id"]).alias("ids"), F.transform("p", lambda x: x["w"]).alias("weights"))
-    out.repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    out.repartition(TASKS, "bucket", F.col("block") % PARTS).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:

@@ -29,8 +29,8 @@ BLOCK = 4096
 
 
 def chunks(texts: DataFrame, group: str, low: int, high: int, size: int = CHUNK) -> DataFrame:
-    """The written index of texts (group, record_id, text, copies), all different in a group: (group, chunk, of, ids, texts,
-    copies, terms, idf) per chunk; `of` is the group's number of chunks. The idf is over all rows, copies included."""
+    """The written index of texts (group, record_id, text, copies), all different in a group: (group, chunk, of,
+    record_id, text, copies, term, idf), lists from record_id on, per chunk; `of` is the group's number of chunks. The idf is over all rows, copies included."""
     cut = ranked(texts.where("text <> ''"), [group], ["record_id"]).withColumn("chunk", F.expr(f"rank div {size}"))
     cut = settled(cut.withColumn("of", F.expr(f"(size - 1) div {size} + 1")).select(group, "chunk", "of", "record_id", "text", "copies"))
     n = texts.groupBy(group).agg(F.sum("copies").alias("n"))
